@@ -169,57 +169,37 @@ def drawing(file_name: Column, collection: Column) -> Column:
     """
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
     up = F.upper(stem)
-
-    def part(pattern: str, i: int, col: Column = stem) -> Column:
-        return F.regexp_extract(col, pattern, i)
-
-    def made(kind, subject: Column) -> Column:
-        kind = lit(kind) if isinstance(kind, str) else kind
-        return F.struct(kind.alias("kind"), subject.alias("subject"))
-
-    def padded(digits: Column) -> Column:
-        return F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    coded, numbered = collection == "coded", collection == "numbered"
 
     # fixed values: name patterns of the collections
-    coded = r"^V(\d+)([A-Z])([EO])"
-    coded_pair = r"^V(\d+)([A-Z])([A-Z])\d"
-    numbered = r"^(\d+)-\d+$"
-    four_digits = r"^(\d{4})-\d+$"
-    spiral = r"^(sp\d+)-[HP](\d+)$"
-    wave = r"^(mea\d+)-[HP](\d+)$"
-    circle = r"(?i)^(circA)-[HP](\d+)$"
-
-    def coded_as(p: str) -> Column:
-        return made(
-            F.when(part(p, 3, up) == "E", "spiral").otherwise("wave"),
-            F.concat(
-                F.when(part(p, 2, up) == "P", "PD_").otherwise("H_"), padded(part(p, 1, up))
-            ),
-        )
-
-    from_coded = (
-        F.when(up.rlike(coded), coded_as(coded))
-        .when(up.rlike(coded_pair), coded_as(coded_pair))
-        .otherwise(made("unknown", F.concat(lit("UNK_"), up)))
+    spiral_code = r"^V\d+[A-Z]E"
+    wave_code = r"^V\d+[A-Z](O|[A-Z]\d)"
+    spiral_tag = r"^(sp\d+|(?i:circA))-[HP]\d+$"
+    wave_tag = r"^mea\d+-[HP]\d+$"
+
+    kind = (
+        F.when(coded & up.rlike(spiral_code), "spiral")
+        .when(coded & up.rlike(wave_code), "wave")
+        .when(coded, "unknown")
+        .when(numbered, "both")
+        .when(stem.rlike(spiral_tag), "spiral")
+        .when(stem.rlike(wave_tag), "wave")
+        .otherwise("both")
     )
-    from_numbered = F.when(
-        stem.rlike(numbered), made("both", F.concat(lit("HPD_"), part(numbered, 1)))
-    ).otherwise(made("both", F.concat(lit("HPD_UNK_"), stem)))
-    from_tagged = (
-        F.when(stem.rlike(four_digits), made("both", F.concat(lit("NHPD_"), part(four_digits, 1))))
-        .when(stem.rlike(spiral), made("spiral", F.concat(
-            lit("NHPD_"), part(spiral, 1), lit("_"), part(spiral, 2))))
-        .when(stem.rlike(wave), made("wave", F.concat(
-            lit("NHPD_"), part(wave, 1), lit("_"), part(wave, 2))))
-        .when(stem.rlike(circle), made("spiral", F.concat(
-            lit("NHPD_circA_"), part(circle, 2))))
-        .otherwise(made("both", F.concat(lit("NHPD_UNK_"), stem)))
-    )
-    return (
-        F.when(collection == "coded", from_coded)
-        .when(collection == "numbered", from_numbered)
-        .otherwise(from_tagged)
+    digits = F.regexp_extract(up, r"^V(\d+)", 1)
+    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)
+    group = F.when(F.substring(up, F.length(digits) + 2, F.lit(1)) == "P", "PD_").otherwise("H_")
+    plain = F.regexp_replace(stem, r"^(\d+)-\d+$", "$1")
+    tagged = F.regexp_replace(stem, r"^((?:sp|mea)\d+)-[HP](\d+)$|^(\d{4})-\d+$", "$1$3_$2")
+    tagged = F.regexp_replace(tagged, r"^(\d{4})_$", "$1")
+    tagged = F.regexp_replace(tagged, r"^(?i:circA)-[HP](\d+)$", "circA_$1")
+    subject = (
+        F.when(coded & (kind == "unknown"), F.concat(lit("UNK_"), up))
+        .when(coded, F.concat(group, padded))
+        .when(numbered, F.concat(F.when(plain == stem, "HPD_UNK_").otherwise("HPD_"), plain))
+        .otherwise(F.concat(F.when(tagged == stem, "NHPD_UNK_").otherwise("NHPD_"), tagged))
     )
+    return F.struct(kind.alias("kind"), subject.alias("subject"))
 
 
 def drawing_pools(kind: Column) -> Column:

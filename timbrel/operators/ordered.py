@@ -182,8 +182,11 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) ->
     The stats side holds one row per key. Small sides are broadcast by Spark's own size
     check; beyond it the adaptive planner splits hot keys.
     """
-    small = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-    return df.join(small, list(keys))
+    aggs = [c.alias(n) for n, c in stats.items()]
+    if not keys:
+        whole = df.withColumn("_all", F.lit(0))
+        return whole.join(whole.groupBy("_all").agg(*aggs), "_all").drop("_all")
+    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
 
 
 def ranked_values(

@@ -46,10 +46,19 @@ def series_ev(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signal_ev(spark: SparkSession, folder: str) -> DataFrame:
-    """(series_id, t, x): ``series_ev`` centred per series and scaled to about +-1."""
-    centred = with_stats(series_ev(spark, folder), ["series_id"], {"_mean": F.avg("x")})
+    """(series_id, t, x): ``series_ev`` centred per series and scaled to about +-1.
+
+    Values have two decimals, so the mean is taken over whole hundredths: the result does not
+    depend on the order of summation.
+    """
+    cents = F.round(F.col("x") * 100).cast("long")
+    centred = with_stats(
+        series_ev(spark, folder).withColumn("_c", cents), ["series_id"],
+        {"_s": F.sum("_c"), "_n": F.count("_c")},
+    )
     return centred.select(
-        "series_id", "t", F.round((F.col("x") - F.col("_mean")) / 100, 6).alias("x")
+        "series_id", "t",
+        ((F.col("_c") * F.col("_n") - F.col("_s")) / (F.col("_n") * 10000)).alias("x"),
     )
 
 
@@ -209,9 +218,10 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
                value as x
         from events"""),
     "signal_ev": (("series_ev",), """
-        select series_id, t,
-               round((x - avg(x) over (partition by series_id)) / 100, 6) as x
-        from series_ev"""),
+        select series_id, t, (c * count(*) over w - sum(c) over w)::double
+                 / (count(*) over w * 10000)::double as x
+        from (select *, round(x * 100)::bigint as c from series_ev)
+        window w as (partition by series_id)"""),
     "series_li": ((), """
         select l_suppkey as series_id,
                row_number() over (partition by l_suppkey order by l_shipdate, l_orderkey,
