@@ -53,7 +53,7 @@ def patient_decisions(spark, folder):
         "embedding", c("embedding").cast("array<double>")
     )
     d = drifted(spark, folder, s).drop("embedding")
-    fused = fuse_screenings(P.timeline(d, V.hour_block()), c("drift"))
+    fused = fuse_screenings(P.timeline(d, V.minute_block()), c("drift"))
     return fused.withColumn("ds", R.drift_status(c("drift"))).select(
         "patient_id", "screening_id", "position", c("ds.drift").alias("baseline_drift"),
         c("ds.shifted").alias("shifted"), *FUSED,
@@ -64,7 +64,7 @@ def patient_decisions(spark, folder):
     select patient_id, screening_id, row_number() over (partition by patient_id order by us, screening_id) as position from screenings"""))
 def w12(spark, folder):
     s = V.screenings(spark, folder).select("patient_id", "screening_id", "us")
-    return P.timeline(s, V.hour_block()).select("patient_id", "screening_id", "position")
+    return P.timeline(s, V.minute_block()).select("patient_id", "screening_id", "position")
 
 
 @query("w13_baseline_drift", with_views("drifted", f"""
@@ -99,7 +99,7 @@ def w18(spark, folder):
         dot(c("embedding"), constant_vector(LOADINGS[0])).alias("x"),
         dot(c("embedding"), constant_vector(LOADINGS[1])).alias("y"),
     )
-    return rounded(P.timeline(s, V.hour_block()).drop("us"))
+    return rounded(P.timeline(s, V.minute_block()).drop("us"))
 
 
 @query("p1_baseline_lookup", with_views("screenings_emb", """

@@ -525,7 +525,7 @@ def j10(spark, folder):
     marks = e.filter("event_type = 'error'").select("series_id", "us", "period")
     return SR.asof_lookup(
         e.select("series_id", "event_id", "us"), marks, ["series_id"], "us", ["period"],
-        V.hour_block(),
+        V.minute_block(),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from timbrel.operators.ordered import dense_index, with_stats
 from timbrel.session import configure
 
-HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
 N_SUBJECTS = 32
 
 
@@ -28,8 +28,10 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {ts})")
 
 
-def hour_block(us: str = "us") -> Column:
-    return F.floor(F.col(us) / HOUR_US)
+def minute_block(us: str = "us") -> Column:
+    """Block of time-ordered rows: short enough for a very busy key, and a year has half a
+    million of them at most."""
+    return F.floor(F.col(us) / MINUTE_US)
 
 
 def series_ev(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +42,7 @@ def series_ev(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         F.col("value").alias("x"),
     )
-    return dense_index(events, ["series_id"], hour_block(), ["us", "event_id"]).select(
+    return dense_index(events, ["series_id"], minute_block(), ["us", "event_id"]).select(
         "series_id", "t", "x"
     )
 
@@ -68,20 +70,35 @@ def series_li(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("series_id"), F.col("l_quantity").alias("x"), *order
     )
-    day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)")
-    return dense_index(lines, ["series_id"], day, order).select("series_id", "t", "x")
+    block = F.struct("l_shipdate", F.shiftright("l_orderkey", 20))
+    return dense_index(lines, ["series_id"], block, order).select("series_id", "t", "x")
 
 
 def json_k() -> Column:
     return F.get_json_object("props", "$.k").cast("long")
 
 
+def audits(df: DataFrame) -> DataFrame:
+    """Attach the audit columns that follow from ``k``."""
+    k = F.col("k")
+    return df.select(
+        "*",
+        (1 + (k % 9) * 0.5).alias("quality"),
+        ((k * 7) % 101).cast("double").alias("ood"),
+        ((k * 13) % 101).cast("double").alias("sim_pd"),
+        (100 - (k * 3) % 61).cast("double").alias("auth"),
+        (k * 0.4).alias("snr"),
+        ((k * 11) % 60).cast("double").alias("noise"),
+        ((k * 17) % 101).cast("double").alias("coverage"),
+        (k % 15).cast("double").alias("duration"),
+        (k % 10 == 0).alias("clipped"),
+    )
+
+
 def screenings(spark: SparkSession, folder: str, embedding: bool = False) -> DataFrame:
     """One screening per event, with audits derived from the JSON column."""
-    k = F.col("k")
-    out = (
-        table(spark, folder, "events")
-        .select(
+    out = audits(
+        table(spark, folder, "events").select(
             F.col("event_id").alias("screening_id"),
             F.col("user_id").alias("patient_id"),
             "ts",
@@ -89,18 +106,6 @@ def screenings(spark: SparkSession, folder: str, embedding: bool = False) -> Dat
             (F.least("value", F.lit(100.0)) / 100.0).alias("risk_score"),
             json_k().alias("k"),
         )
-        .select(
-            "*",
-            (1 + (k % 9) * 0.5).alias("quality"),
-            ((k * 7) % 101).cast("double").alias("ood"),
-            ((k * 13) % 101).cast("double").alias("sim_pd"),
-            (100 - (k * 3) % 61).cast("double").alias("auth"),
-            (k * 0.4).alias("snr"),
-            ((k * 11) % 60).cast("double").alias("noise"),
-            ((k * 17) % 101).cast("double").alias("coverage"),
-            (k % 15).cast("double").alias("duration"),
-            (k % 10 == 0).alias("clipped"),
-        )
     )
     if not embedding:
         return out
