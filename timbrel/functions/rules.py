@@ -92,6 +92,7 @@ def microphone_status(peak: Column, clipped: Column, snr: Column) -> Column:
 
 
 def capture_quality(noise: Column, clipped: Column) -> Column:
+    noise = F.coalesce(noise, lit(0.002))
     score = clamp(100 - noise * 800, 30.0, 100.0) - F.when(clipped, 20).otherwise(0)
     return half_up(score).cast("long")
 

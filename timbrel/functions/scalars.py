@@ -13,7 +13,8 @@ def lit(v) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+    """``x`` within low..high; null stays null (greatest and least would skip it)."""
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
 def half_even(x: Column, digits: int = 0) -> Column:

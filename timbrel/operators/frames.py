@@ -24,15 +24,15 @@ def frames(
     shuffle carries each sample about once and no list grows with the series.
     """
     t = F.col(pos)
-    first = F.greatest(F.lit(0), F.ceil((t - length + 1) / hop))
     final = F.floor(t / hop)
+    # samples between frames (hop above length) stay, so that runs have no gaps
+    first = F.least(final, F.greatest(F.lit(0), F.ceil((t - length + 1) / hop)))
     runs = F.sequence(
         position_block(first, FRAMES_PER_BLOCK), position_block(final, FRAMES_PER_BLOCK)
     )
     grouped = (
-        df.filter(final >= first)
-        .select(*keys, t.alias("_t"), F.col(value).cast("double").alias("_x"),
-                F.explode(runs).alias("_run"))
+        df.select(*keys, t.alias("_t"), F.col(value).cast("double").alias("_x"),
+                  F.explode(runs).alias("_run"))
         .groupBy(*keys, "_run")
         .agg(F.array_sort(F.collect_list(F.struct("_t", "_x"))).alias("_s"))
         .select(

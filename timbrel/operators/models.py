@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbrel.functions import fixed
-from timbrel.functions.scalars import dot
+from timbrel.functions.scalars import clamp, dot
 from timbrel.operators.metrics import all_metrics, class_weights, fold_average
 from timbrel.operators.splits import oversample, scatter
 from timbrel.operators.vectors import Scaler, constant_vector, fit_scaler
@@ -52,7 +52,7 @@ def skew_transform(df: DataFrame, skewed: Sequence[str] = fixed.SKEWED_FEATURES)
     chosen = set(skewed)
     return df.select(
         *[
-            F.log1p(F.greatest(F.col(f"`{n}`"), F.lit(0.0))).alias(n)
+            F.log1p(clamp(F.col(f"`{n}`"), 0.0, float("inf"))).alias(n)
             if n in chosen
             else F.col(f"`{n}`")
             for n in df.columns

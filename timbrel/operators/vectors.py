@@ -100,8 +100,9 @@ def against_references(
     row_blocks = max(1, math.ceil(rows.count() / ROWS_PER_BLOCK))
 
     def spread(df: DataFrame, own: str, own_n: int, ident: str, other: str, other_n: int):
+        every = F.sequence(F.lit(0).cast("long"), F.lit(other_n - 1).cast("long"))
         return df.withColumn(own, F.pmod(F.xxhash64(ident), F.lit(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))).cast("long")
+            other, F.explode(every)
         )
 
     left = spread(rows, "_rb", row_blocks, row_id, "_fb", ref_blocks)

@@ -366,7 +366,7 @@ def j9(spark, folder):
 
 
 @query("a21_correlation_dimension", with_views("series_ev", """
-    select s.series_id, round(case when s.n >= 30 then coalesce(greatest(1, least(4, d.s)), 2.3) else 2.3 end, 6) as d2
+    select s.series_id, round(case when s.n >= 30 and d.s is not null then greatest(1, least(4, d.s)) else 2.3 end, 6) as d2
     from (select series_id, count(*) as n from series_ev group by series_id) s left join (
       select series_id, regr_slope(ln(cr), ln(r + 1e-10)) as s from (
         select q.series_id, q.r, avg(case when pd.dist < q.r then 1.0::double else 0.0 end) + 1e-10 as cr from (
@@ -377,7 +377,7 @@ def a21(spark, folder):
 
 
 @query("a22_detrended_fluctuation", with_views("series_li", """
-    select k.series_id, round(coalesce(greatest(0.1, least(2, a)), 0.7), 6) as dfa from (select distinct series_id from series_li) k left join (
+    select k.series_id, round(case when a is null then 0.7 else greatest(0.1, least(2, a)) end, 6) as dfa from (select distinct series_id from series_li) k left join (
       select series_id, regr_slope(ln(f + 1e-10), ln(box)) as a from (
         select series_id, box, avg(sqrt(greatest(0, syy - sxy * sxy / sxx) / box)) as f from (
           select series_id, box, t // box as k, regr_syy(y, t % box) as syy, regr_sxy(y, t % box) as sxy, regr_sxx(y, t % box) as sxx
