@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from timbrel.functions.scalars import clamp
 from timbrel.operators.ordered import position_block, prefix, ranked_values, with_stats
+from timbrel.session import materialise
 
 KEYS = ("series_id",)
 FRAMES_PER_BLOCK = 64
@@ -76,6 +77,7 @@ def noise_floor(energy: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def speech_levels(energy: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """coverage, silence, noise_pct, snr, peak per key from frame energies."""
+    energy = materialise(energy, "energy")
     floors = noise_floor(energy, keys)
     e, floor = F.col("rms"), F.col("floor")
     speech = e > F.greatest(floor * 3.0, F.lit(0.005))
@@ -125,6 +127,7 @@ def active_runs(
 
     Inside a run, position minus the number of active rows so far stays constant.
     """
+    flags = materialise(flags.select(*keys, pos, active), "flags")
     counted = prefix(
         flags, keys, position_block(pos), [pos], sums={"_seen": F.col(active).cast("long")}
     ).filter(active)
@@ -155,7 +158,8 @@ def trim_bounds(
     df: DataFrame, length: int, hop: int, top_db: float = 30.0, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """(keys, start, end) without leading and trailing frames far below the loudest."""
-    e = with_stats(frame_rms(df, length, hop, keys), keys, {"_peak": F.max("rms")})
+    energy = materialise(frame_rms(df, length, hop, keys), "energy")
+    e = with_stats(energy, keys, {"_peak": F.max("rms")})
     loud = F.col("rms") > F.col("_peak") * 10 ** (-top_db / 20)
     return e.filter(loud).groupBy(*keys).agg(
         (F.min("frame") * hop).alias("start"), (F.max("frame") * hop + length).alias("end")

@@ -8,6 +8,10 @@ hold a third of all rows, so no operator here does that. Three building blocks r
 ``neighbourhood``  lag, lead and moving frames: rows near a block border are copied to
                    the next block, so that each block of bounded size is self-sufficient.
 ``quantiles``      exact order statistics from ranks over value blocks.
+
+``prefix`` and ``with_stats`` read their input twice (the second time for a few columns and
+combined map-side). Chains of them would double with every link, so the operators store a
+step that is read again (``session.materialise``); callers pass stored tables.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timbrel.session import materialise
+
 # Positions per block. Bounds the rows of every window partition below.
 BLOCK = 65536
 
@@ -198,7 +204,9 @@ def ranked_values(
     rows in all. Copies of a value are merged before the shuffle; value blocks of equal
     width, as many as the key needs, keep every window partition small.
     """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    counted = materialise(
+        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies")), "values"
+    )
     sized = with_stats(
         counted,
         keys,

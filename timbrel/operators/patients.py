@@ -24,10 +24,17 @@ def baselines(
     df: DataFrame, patient: str = "patient_id", vec: str = "embedding",
     order: Sequence[str] = ("us", "screening_id"),
 ) -> DataFrame:
-    """(patient, baseline, baseline_id): first embedding, combined map-side."""
-    first = F.struct(*order)
-    return df.groupBy(patient).agg(
-        F.min_by(vec, first).alias("baseline"), F.min_by(order[-1], first).alias("baseline_id")
+    """(patient, baseline, baseline_id): the first embedding of every patient.
+
+    The first row is found on the order columns alone (combined map-side); vectors are
+    fetched for those rows only.
+    """
+    ident = order[-1]
+    first = df.groupBy(patient).agg(F.min(F.struct(*order)).alias("_f")).select(
+        patient, F.col(f"_f.{ident}").alias(ident)
+    )
+    return df.select(patient, ident, vec).join(first, [patient, ident]).select(
+        patient, F.col(vec).alias("baseline"), F.col(ident).alias("baseline_id")
     )
 
 

@@ -20,6 +20,7 @@ from timbrel.operators.ordered import (
     quantiles,
     with_stats,
 )
+from timbrel.session import materialise
 
 KEYS = ("series_id",)
 
@@ -124,17 +125,17 @@ def profile(df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: st
 
 
 def spread(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "x") -> DataFrame:
-    """spread1, spread2 of a voiced contour; (-5, 0.2) below ten samples."""
-    logs = df.select(*keys, F.ln(F.col(value) + 1e-8).alias("_ln"))
+    """spread1, spread2 of the voiced samples; (-5, 0.2) below ten of them."""
+    x = F.when(F.col(value) > 0, F.col(value))
+    logs = df.filter(F.col(value) > 0).select(*keys, F.ln(F.col(value) + 1e-8).alias("_ln"))
     p25 = quantiles(logs, keys, "_ln", {"_p25": 0.25})
-    x = F.col(value)
     stats = df.groupBy(*keys).agg(
         F.count(x).alias("n"),
         F.avg(F.ln(x + 1e-8)).alias("_mln"),
         (F.stddev_pop(x) / (F.avg(x) + 1e-8)).alias("_cv"),
     )
     short = F.col("n") < 10
-    return stats.join(p25, list(keys)).select(
+    return stats.join(p25, list(keys), "left").select(
         *keys,
         F.when(short, -5.0)
         .otherwise(clamp((F.col("_p25") - F.col("_mln")) * 3.0, -8.0, -2.0))
@@ -186,13 +187,14 @@ def _binned(df: DataFrame, keys, value: Column, lo: Column, hi: Column, bins: Co
 
 
 def period_entropy(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "x") -> DataFrame:
-    """ppe: entropy of log2(period / mean period) in 100 bins; 0 below ten samples."""
-    period = 1.0 / F.col(value)
+    """ppe: entropy of log2(period / mean period) in 100 bins; 0 below ten voiced samples."""
+    period = F.when(F.col(value) > 0, F.try_divide(F.lit(1.0), F.col(value)))
     stats = df.groupBy(*keys).agg(
         F.count(period).alias("n"), F.avg(period).alias("_m"), F.min(period).alias("_lo"),
         F.max(period).alias("_hi"),
     )
-    rows = df.select(*keys, period.alias("_p")).join(stats.filter("n >= 10"), list(keys))
+    rows = df.filter(F.col(value) > 0).select(*keys, period.alias("_p"))
+    rows = rows.join(stats.filter("n >= 10"), list(keys))
     m = F.col("_m")
     binned = _binned(
         rows, keys, F.log2(F.col("_p") / m), F.log2(F.col("_lo") / m),
@@ -210,7 +212,7 @@ def first_recurrence(
     pos: str = "t",
     value: str = "x",
     eps: float = 0.5,
-    look: int = 32,
+    look: int = 24,
 ) -> DataFrame:
     """Per sample the distance to the first later sample nearer than ``eps`` deviations.
 
@@ -225,13 +227,18 @@ def first_recurrence(
         *keys, pos, "n", ((F.col(value) - F.col("_mu")) / (F.col("_sd") + 1e-8)).alias("_z")
     )
 
+    z = F.col("_z")
+
     def build(w):
-        return {"_next": F.collect_list("_z").over(w.rowsBetween(1, look))}
+        return {f"_z{i}": F.lead(z, i).over(w) for i in range(1, look + 1)}
 
-    z = F.col("_z")
     near = neighbourhood(scored, keys, pos, 0, look, build)
-    step = F.array_position(F.transform("_next", lambda v: F.abs(v - z) < eps), True)
-    stepped = near.select(*keys, pos, "n", "_z", step.cast("long").alias("_step"))
+    step = F.coalesce(
+        *[F.when(F.abs(F.col(f"_z{i}") - z) < eps, i) for i in range(1, look + 1)], F.lit(0)
+    )
+    stepped = materialise(
+        near.select(*keys, pos, "n", "_z", step.cast("long").alias("_step")), "steps"
+    )
     settled = stepped.filter("_step > 0").select(
         *keys, pos, "n", F.col("_step").alias("length")
     )
@@ -241,7 +248,7 @@ def first_recurrence(
         *keys, F.col(pos).alias("_i"), "n", z.alias("_zi"),
         F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"),
     )
-    later = scored.select(*keys, F.col(pos).alias("_j"), z.alias("_zj"), cell.alias("_cell"))
+    later = stepped.select(*keys, F.col(pos).alias("_j"), z.alias("_zj"), cell.alias("_cell"))
     far = (
         probes.join(later, [*keys, "_cell"])
         .filter(
@@ -255,14 +262,20 @@ def first_recurrence(
 
 
 def recurrence_entropy(
-    df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x"
+    df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x",
+    clean: bool = False,
 ) -> DataFrame:
-    """rpde: entropy of first-recurrence lengths; 0.5 below 20 samples or 5 recurrences."""
-    lengths = (
-        first_recurrence(df, keys, pos, value)
+    """rpde: entropy of first-recurrence lengths; 0.5 below 20 samples or 5 recurrences.
+
+    ``clean`` says that the contour has voiced samples only.
+    """
+    contour = df if clean else materialise(voiced(df, keys, pos, value), "contour")
+    lengths = materialise(
+        first_recurrence(contour, keys, pos, value)
         .filter("n >= 20")
         .groupBy(*keys, "length")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.count(F.lit(1)).alias("count")),
+        "lengths",
     )
     sized = with_stats(
         lengths, keys,
@@ -291,39 +304,48 @@ def recurrence_entropy(
 # --- scaling -------------------------------------------------------------------------------
 
 
-def fluctuation(df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x"):
-    """dfa: slope of ln F(box) over ln box for 12 box sizes from 4 to n/4; 0.7 as fallback.
-
-    The detrended residual of a box comes from regression moments, which combine map-side.
-    """
-    y = profile(df, keys, pos, value)
-    top = F.floor(F.col("n") / 4)
-    lo = F.log10(F.lit(4.0))
-    sizes = F.array_distinct(
+def box_sizes(top: Column) -> Column:
+    """Up to 12 whole sizes from 4 to ``top``, evenly spaced on a log scale."""
+    low = F.log10(F.lit(4.0))
+    return F.array_distinct(
         F.transform(
             F.sequence(F.lit(0), F.lit(11)),
             lambda i: F.rint(
-                F.pow(F.lit(10.0), lo + i * (F.log10(top.cast("double")) - lo) / 11.0)
+                F.pow(F.lit(10.0), low + i * (F.log10(top.cast("double")) - low) / 11.0)
             ).cast("long"),
         )
     )
+
+
+def fluctuation(
+    df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x",
+    clean: bool = False,
+) -> DataFrame:
+    """dfa: slope of ln F(box) over ln box for 12 box sizes from 4 to n/4; 0.7 as fallback.
+
+    The detrended residual of a box comes from regression moments, which combine map-side.
+    """
+    contour = df if clean else materialise(voiced(df, keys, pos, value), "contour")
+    y = profile(contour, keys, pos, value)
+    sizes = contour.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 30").select(
+        *keys, box_sizes(F.floor(F.col("_n") / 4)).alias("_sizes")
+    )
+    k = F.floor(F.col(pos) / F.col("box"))
     boxed = (
-        y.filter("n >= 30")
-        .select(*keys, pos, "n", "y", F.explode(sizes).alias("box"))
+        y.join(sizes, list(keys))
+        .select(*keys, pos, "n", "y", F.explode("_sizes").alias("box"))
         .filter((F.col("box") >= 2) & (F.floor(F.col("n") / F.col("box")) >= 2))
-        .withColumn("_k", F.floor(F.col(pos) / F.col("box")))
-        .filter(F.col("_k") < F.floor(F.col("n") / F.col("box")))
-    )
-    t = (F.col(pos) - F.col("_k") * F.col("box")).cast("double")
-    per_box = boxed.groupBy(*keys, "box", "_k").agg(
-        F.regr_syy("y", t).alias("_syy"), F.regr_sxy("y", t).alias("_sxy"),
-        F.regr_sxx("y", t).alias("_sxx"),
+        .filter(k < F.floor(F.col("n") / F.col("box")))
     )
-    resid = F.greatest(
-        F.lit(0.0), F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx")
+    # positions inside a box are 0..box-1, so their variance is (box^2 - 1) / 12
+    t = (F.col(pos) % F.col("box")).cast("double")
+    per_box = boxed.groupBy(*keys, "box", k.alias("_k")).agg(
+        F.var_pop("y").alias("_vy"), F.covar_pop("y", t).alias("_cty")
     )
+    vt = (F.col("box") * F.col("box") - 1) / 12.0
+    resid = F.greatest(F.lit(0.0), F.col("_vy") - F.col("_cty") * F.col("_cty") / vt)
     per_size = per_box.groupBy(*keys, "box").agg(
-        F.avg(F.sqrt(resid / F.col("box"))).alias("_f")
+        F.avg(F.sqrt(resid)).alias("_f")
     )
     slope = F.regr_slope(F.ln(F.col("_f") + 1e-10), F.ln(F.col("box").cast("double")))
     found = per_size.groupBy(*keys).agg(
@@ -392,11 +414,14 @@ def sampled_pairs(vectors: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t"
 
 
 def correlation_dimension(
-    df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x"
+    df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x",
+    clean: bool = False,
 ) -> DataFrame:
     """d2: slope of ln C(r) over ln r at the 10..50 % distances, within 1..4; 2.3 fallback."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    dist = sampled_pairs(delay_vectors(df, keys, pos, value), keys, pos)
+    sizes = df.groupBy(*keys).agg(F.count(F.when(F.col(value) > 0, 1)).alias("n"))
+    contour = df if clean else voiced(df, keys, pos, value)
+    vectors = materialise(delay_vectors(contour, keys, pos, value), "vectors")
+    dist = sampled_pairs(vectors, keys, pos)
     # at most 500 distances per key, so the built-in percentile and a list are bounded
     at = dist.groupBy(*keys).agg(
         F.percentile("dist", F.array(*[F.lit(p / 10) for p in range(1, 6)])).alias("r"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from timbrel.operators.ordered import dense_index, with_stats
 from timbrel.operators.vectors import nearest_references
+from timbrel.session import materialise
 
 
 def scatter(ident: str | Column, seed: int) -> Column:
@@ -53,11 +54,11 @@ def test_subjects(
 ) -> DataFrame:
     """Subjects held out: ``max(1, floor(share * n))`` of each class. A subject that occurs
     with both labels is drawn in each."""
-    subjects = df.select(subject, label).distinct()
+    subjects = materialise(df.select(subject, label).distinct(), "subjects")
     sized = with_stats(subjects, [label], {"_n": F.count(F.lit(1))})
     out = ranked(sized, [label], subject, seed)
     held = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    return out.filter(F.col("rank") < held).select(subject).distinct()
+    return materialise(out.filter(F.col("rank") < held).select(subject).distinct(), "held")
 
 
 def subject_split(df: DataFrame, held: DataFrame, subject: str = "subject"):
@@ -76,7 +77,7 @@ def group_folds(
 
     Below ten subjects, rows are dealt per class instead.
     """
-    subjects = subject_table(df, subject, label)
+    subjects = materialise(subject_table(df, subject, label), "subjects")
     if len(subjects.limit(MIN_SUBJECTS).collect()) < MIN_SUBJECTS:
         return ranked(df, [label], ident, seed).withColumn(
             "fold", F.col("rank") % folds

@@ -52,8 +52,12 @@ def patient_decisions(spark, folder):
     s = trusted(spark, folder, embedding=True).withColumn(
         "embedding", c("embedding").cast("array<double>")
     )
-    d = drifted(spark, folder, s).drop("embedding")
-    fused = fuse_screenings(P.timeline(d, V.minute_block()), c("drift"))
+    # positions first, on the bare scan; then the vectors
+    placed = P.timeline(
+        V.screenings(spark, folder).select("patient_id", "screening_id", "us"), V.minute_block()
+    ).select("screening_id", "position")
+    d = drifted(spark, folder, s).drop("embedding").join(placed, "screening_id")
+    fused = fuse_screenings(d, c("drift"))
     return fused.withColumn("ds", R.drift_status(c("drift"))).select(
         "patient_id", "screening_id", "position", c("ds.drift").alias("baseline_drift"),
         c("ds.shifted").alias("shifted"), *FUSED,

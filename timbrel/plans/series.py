@@ -10,6 +10,7 @@ from timbrel.operators import series as SR
 from timbrel.operators import spectral as SP
 from timbrel.operators.ordered import neighbourhood, quantiles
 from timbrel.plans.registry import query
+from timbrel.session import materialise
 from timbrel.sources import views as V
 from timbrel.sources.views import with_views
 
@@ -29,13 +30,18 @@ def rounded(df, *keys: str, digits: int = 6):
     )
 
 
+def stored(view, spark, folder):
+    """A view written once, for operators that read their input more than once."""
+    return materialise(view(spark, folder), "series")
+
+
 # --- windows -------------------------------------------------------------------------------
 
-_JIT = ("moved", """moved as (select *, lag(x) over w as px,
+_MOVED = """moved as (select *, lag(x) over w as px,
     avg(x) over (w rows between 1 preceding and 1 following) as m3, count(x) over (w rows between 1 preceding and 1 following) as n3,
     avg(x) over (w rows between 2 preceding and 2 following) as m5, count(x) over (w rows between 2 preceding and 2 following) as n5,
     avg(x) over (w rows between 5 preceding and 5 following) as m11, count(x) over (w rows between 5 preceding and 5 following) as n11
-    from series_ev window w as (partition by series_id order by t))""")
+    from {src} window w as (partition by series_id order by t))"""
 _JITTER = """select series_id, case when ok then abs_ else 0 end as jitter_abs, case when ok then abs_ / m * 100 else 0 end as jitter_pct,
     case when ok then coalesce(d3 / m, 0) else 0 end as rap, case when ok then coalesce(d5 / m, 0) else 0 end as ppq,
     case when ok then 3 * coalesce(d3 / m, 0) else 0 end as ddp
@@ -48,7 +54,7 @@ _SHIMMER = """select series_id, case when ok then step / m else 0 end as shimmer
   from (select series_id, count(*) >= 5 and avg(x) <> 0 as ok, avg(x) as m, avg(abs(x - px)) as step, avg(abs(20 * log10(x / px))) as db,
       avg(case when n3 = 3 then abs(x - m3) end) as d3, avg(case when n5 = 5 then abs(x - m5) end) as d5,
       avg(case when n11 = 11 then abs(x - m11) end) as d11
-    from moved where x > 0 group by series_id)"""
+    from moved group by series_id)"""
 
 
 def _r(cols: str, digits: int = 6) -> str:
@@ -56,35 +62,35 @@ def _r(cols: str, digits: int = 6) -> str:
 
 
 @query("w1_jitter", with_views(
-    "series_ev", f"select series_id, {_r('jitter_abs jitter_pct')} from ({_JITTER})", _JIT[1]))
+    "series_ev", f"select series_id, {_r('jitter_abs jitter_pct')} from ({_JITTER})", _MOVED.format(src="series_ev")))
 def w1(spark, folder):
     return rounded(SR.jitter(V.series_ev(spark, folder)).select(
         "series_id", "jitter_abs", "jitter_pct"))
 
 
 @query("w2_rap_ddp", with_views(
-    "series_ev", f"select series_id, {_r('rap ddp')} from ({_JITTER})", _JIT[1]))
+    "series_ev", f"select series_id, {_r('rap ddp')} from ({_JITTER})", _MOVED.format(src="series_ev")))
 def w2(spark, folder):
     return rounded(SR.jitter(V.series_ev(spark, folder)).select("series_id", "rap", "ddp"))
 
 
 @query("w3_ppq", with_views(
-    "series_ev", f"select series_id, {_r('ppq')} from ({_JITTER})", _JIT[1]))
+    "series_ev", f"select series_id, {_r('ppq')} from ({_JITTER})", _MOVED.format(src="series_ev")))
 def w3(spark, folder):
     return rounded(SR.jitter(V.series_ev(spark, folder)).select("series_id", "ppq"))
 
 
 @query("w4_shimmer", with_views(
-    "series_ev", f"select series_id, {_r('shimmer_local shimmer_db')} from ({_SHIMMER})", _JIT[1]))
+    "voiced_ev", f"select series_id, {_r('shimmer_local shimmer_db')} from ({_SHIMMER})", _MOVED.format(src="voiced_ev")))
 def w4(spark, folder):
-    return rounded(SR.shimmer(V.series_ev(spark, folder)).select(
+    return rounded(SR.shimmer(stored(V.series_ev, spark, folder)).select(
         "series_id", "shimmer_local", "shimmer_db"))
 
 
 @query("w5_apq_dda", with_views(
-    "series_ev", f"select series_id, {_r('apq3 apq5 apq11 dda')} from ({_SHIMMER})", _JIT[1]))
+    "voiced_ev", f"select series_id, {_r('apq3 apq5 apq11 dda')} from ({_SHIMMER})", _MOVED.format(src="voiced_ev")))
 def w5(spark, folder):
-    return rounded(SR.shimmer(V.series_ev(spark, folder)).select(
+    return rounded(SR.shimmer(stored(V.series_ev, spark, folder)).select(
         "series_id", "apq3", "apq5", "apq11", "dda"))
 
 
@@ -126,7 +132,7 @@ def g1(spark, folder):
 def g2(spark, folder):
     from timbrel.operators.ordered import with_stats
 
-    e = FR.frame_rms(V.signal_ev(spark, folder), L, H)
+    e = materialise(FR.frame_rms(V.signal_ev(spark, folder), L, H))
     return rounded(with_stats(e, ["series_id"], {"mean_energy": F.avg("rms")}))
 
 
@@ -140,7 +146,7 @@ _ACTIVE = FRAMES_SQL + """,
 def _flagged(spark, folder):
     from timbrel.operators.ordered import with_stats
 
-    e = FR.frame_rms(V.signal_ev(spark, folder), L, H)
+    e = materialise(FR.frame_rms(V.signal_ev(spark, folder), L, H))
     return with_stats(e, ["series_id"], {"m": F.avg("rms")}).withColumn(
         "active", c("rms") > c("m")
     )
@@ -163,7 +169,7 @@ def w6(spark, folder):
     f"""gated as (select series_id, t, case when t between 20 and 35 then x else x * 0.0001::double end as x from signal_ev),
     gfr as (select series_id, f as frame, x from gated, unnest(range(greatest(0, ceil((t - {L} + 1) / {H})::bigint), t // {H} + 1)) u(f))"""))
 def w7(spark, folder):
-    s = V.signal_ev(spark, folder).withColumn(
+    s = stored(V.signal_ev, spark, folder).withColumn(
         "x", F.when(c("t").between(20, 35), c("x")).otherwise(c("x") * 0.0001)
     )
     return FR.cut(s, FR.trim_bounds(s, L, H))
@@ -180,7 +186,7 @@ def w8(spark, folder):
     from (select *, avg(x) over (partition by series_id) as m from series_ev)"""))
 def w9(spark, folder):
     # means of two-decimal values end in exact halves; the nudge keeps ties out of rounding
-    y = SR.profile(V.series_ev(spark, folder)).drop("n")
+    y = SR.profile(stored(V.series_ev, spark, folder)).drop("n")
     return rounded(y.withColumn("y", c("y") + 3.3e-8))
 
 
@@ -269,7 +275,7 @@ def entropy_sql(top: str, source: str) -> str:
     hist as (select series_id, n, 100 as bins, (hi - lo) / 100 as width, least(floor((v - lo) / ((hi - lo) / 100)), 99) as bin, count(*) as cnt
       from lim group by all)"""))
 def a14(spark, folder):
-    return rounded(SR.period_entropy(V.series_ev(spark, folder)))
+    return rounded(SR.period_entropy(stored(V.series_ev, spark, folder)))
 
 
 _Z = "z as (select series_id, t, (x - avg(x) over (partition by series_id)) / (stddev_pop(x) over (partition by series_id) + 1e-8) as v from {src})"
@@ -280,7 +286,7 @@ _REC = "rec as (select a.series_id, a.t, min(b.t - a.t) as length from z a join
     "series_ev", "select series_id, t, length from rec",
     _Z.format(src="series_ev") + ", " + _REC))
 def j7(spark, folder):
-    return SR.first_recurrence(V.series_ev(spark, folder)).select("series_id", "t", "length")
+    return SR.first_recurrence(stored(V.series_ev, spark, folder)).select("series_id", "t", "length")
 
 
 @query("a15_recurrence_entropy", with_views("series_li", f"""
@@ -292,7 +298,7 @@ def j7(spark, folder):
     sized as (select *, least(30, n // 2 + 1) as bins from lim where n >= 5 and series_id in (select series_id from series_li group by series_id having count(*) >= 20)),
     hist as (select series_id, n, bins, (hi - lo) / bins as width, least(floor((length - lo) / ((hi - lo) / bins)), bins - 1) as bin, count(*) as cnt from sized group by all)"""))
 def a15(spark, folder):
-    return rounded(SR.recurrence_entropy(V.series_li(spark, folder)))
+    return rounded(SR.recurrence_entropy(stored(V.series_li, spark, folder)))
 
 
 @query("a16_noise_floor", with_views("signal_ev", """
@@ -333,12 +339,12 @@ def a19(spark, folder):
     return FR.silent(s)
 
 
-@query("a20_spread_measures", with_views("series_ev", """
+@query("a20_spread_measures", with_views("voiced_ev", """
     select series_id, round(case when n < 10 then -5 else greatest(-8, least(-2, 3 * (p25 - ml))) end, 6) as spread1,
       round(case when n < 10 then 0.2 else greatest(0.001, least(0.5, cv)) end, 6) as spread2
-    from (select series_id, count(*) as n, quantile_cont(ln(x + 1e-8), 0.25) as p25, avg(ln(x + 1e-8)) as ml, stddev_pop(x) / (avg(x) + 1e-8) as cv from series_ev group by series_id)"""))
+    from (select series_id, count(*) as n, quantile_cont(ln(x + 1e-8), 0.25) as p25, avg(ln(x + 1e-8)) as ml, stddev_pop(x) / (avg(x) + 1e-8) as cv from voiced_ev group by series_id)"""))
 def a20(spark, folder):
-    return rounded(SR.spread(V.series_ev(spark, folder)))
+    return rounded(SR.spread(stored(V.series_ev, spark, folder)))
 
 
 @query("a12_exact_quantiles", with_views("series_li", """
@@ -349,7 +355,7 @@ def a12(spark, folder):
 
 
 _PAIRS = """dv as (select series_id, t, x as a, lead(x, 1) over w as b, lead(x, 2) over w as c, count(*) over (partition by series_id) - 2 as n
-      from series_ev window w as (partition by series_id order by t)),
+      from voiced_ev window w as (partition by series_id order by t)),
     kk as (select distinct series_id, n, unnest(range(least(500, n * (n - 1) // 2))) as k from dv where n >= 2),
     u1 as (select *, (k + 1) * 48271 % 2147483647 as u, (k + 1) * 40692 % 2147483647 as w from kk),
     u2 as (select *, u * u % 2147483647 as p, (w * w + w) % 2147483647 as q from u1),
@@ -359,21 +365,22 @@ _PAIRS = """dv as (select series_id, t, x as a, lead(x, 1) over w as b, lead(x,
 
 
 @query("j9_sampled_pair_distances", with_views(
-    "series_ev", "select series_id, k, round(dist, 6) as dist from pd", _PAIRS))
+    "voiced_ev", "select series_id, k, round(dist, 6) as dist from pd", _PAIRS))
 def j9(spark, folder):
-    pairs = SR.sampled_pairs(SR.delay_vectors(V.series_ev(spark, folder)))
+    pairs = SR.sampled_pairs(
+        materialise(SR.delay_vectors(SR.voiced(V.series_ev(spark, folder)))))
     return rounded(pairs.withColumnRenamed("_k", "k"))
 
 
-@query("a21_correlation_dimension", with_views("series_ev", """
+@query("a21_correlation_dimension", with_views("voiced_ev", """
     select s.series_id, round(case when s.n >= 30 and d.s is not null then greatest(1, least(4, d.s)) else 2.3 end, 6) as d2
-    from (select series_id, count(*) as n from series_ev group by series_id) s left join (
+    from (select series_id, count(*) filter (x > 0) as n from series_ev group by series_id) s left join (
       select series_id, regr_slope(ln(cr), ln(r + 1e-10)) as s from (
         select q.series_id, q.r, avg(case when pd.dist < q.r then 1.0::double else 0.0 end) + 1e-10 as cr from (
           select series_id, unnest(range(1, 6)) as pi, unnest(quantile_cont(dist, [0.1, 0.2, 0.3, 0.4, 0.5])) as r from pd group by series_id having count(*) >= 20) q
         join pd on q.series_id = pd.series_id group by q.series_id, q.pi, q.r) group by series_id having min(r) > 0) d using (series_id)""", _PAIRS))
 def a21(spark, folder):
-    return rounded(SR.correlation_dimension(V.series_ev(spark, folder)))
+    return rounded(SR.correlation_dimension(stored(V.series_ev, spark, folder)))
 
 
 @query("a22_detrended_fluctuation", with_views("series_li", """
@@ -388,7 +395,7 @@ def a21(spark, folder):
     boxes as (select distinct series_id, round_even(pow(10, log10(4) + i * (log10(n // 4) - log10(4)) / 11), 0)::bigint as box
       from (select distinct series_id, n from y where n >= 30), unnest(range(12)) u(i))"""))
 def a22(spark, folder):
-    return rounded(SR.fluctuation(V.series_li(spark, folder)))
+    return rounded(SR.fluctuation(stored(V.series_li, spark, folder)))
 
 
 @query("a25_ambient_calibration", with_views("signal_ev", """
@@ -489,7 +496,7 @@ _HNR = """select series_id, case when fb then 15 when r > 0 then greatest(0, lea
     "series_li", f"select series_id, {_r('hnr nhr')} from ({_HNR.format(src='series_li')})",
     _ACF.format(src="series_li")))
 def g8(spark, folder):
-    return rounded(SP.harmonicity(V.series_li(spark, folder), 1000))
+    return rounded(SP.harmonicity(stored(V.series_li, spark, folder), 1000))
 
 
 @query("g9_difference_pitch", with_views("signal_ev", """
@@ -540,22 +547,22 @@ def feature_row(contour, signal, rate: float, n_fft: int, hop: int):
         F.avg("rms").alias("energy"), F.avg("cb.centroid").alias("centroid"),
         F.avg("cb.bandwidth").alias("bandwidth"),
     )
+    clean = materialise(SR.voiced(contour))
     parts = [
-        SR.shimmer(contour), SR.contour_stats(contour), SR.period_entropy(contour),
-        SR.recurrence_entropy(contour), SR.fluctuation(contour),
-        SR.correlation_dimension(contour), SR.spread(contour),
+        SR.shimmer(clean), SR.contour_stats(contour), SR.period_entropy(contour),
+        SR.recurrence_entropy(clean, clean=True), SR.fluctuation(clean, clean=True),
+        SR.correlation_dimension(clean, clean=True), SR.spread(contour),
         SP.harmonicity(signal, int(rate)), spec, SR.crossing_rate(signal),
     ]
     out = SR.jitter(contour)
     for part in parts:
-        out = out.join(part, "series_id")
-    return out
+        out = out.join(part, "series_id", "left")
+    # fixed values: what a series without voiced samples or without a whole frame gets
+    return out.na.fill({"rpde": 0.5, "dfa": 0.7, "d2": 2.3}).na.fill(0.0)
 
 
 @query("g11_feature_row")
 def g11(spark, folder):
-    from timbrel.session import materialise
-
     contour = materialise(V.series_ev(spark, folder))
     signal = materialise(V.signal_ev(spark, folder))
     return rounded(feature_row(contour, signal, RATE, L, H).select("series_id", *_ALL.split()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,7 +61,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it from there.
+
+    For results that are read more than once: the steps before run once, readers get column
+    pruning, and a lost executor costs no recomputation.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

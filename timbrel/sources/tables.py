@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from timbrel.functions import fixed
 from timbrel.functions.scalars import drawing, drawing_pools
-from timbrel.session import checkpoint_folder
+from timbrel.session import scratch  # noqa: F401
 
 # column names without characters that need quoting, in file order
 FEATURE_COLUMNS = (
@@ -33,11 +32,6 @@ POINT_SCHEMA = T.StructType(
 )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

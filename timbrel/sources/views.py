@@ -11,7 +11,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.operators.ordered import dense_index, with_stats
+from timbrel.operators.ordered import dense_index
 from timbrel.session import configure
 
 MINUTE_US = 60_000_000
@@ -54,13 +54,15 @@ def signal_ev(spark: SparkSession, folder: str) -> DataFrame:
     depend on the order of summation.
     """
     cents = F.round(F.col("x") * 100).cast("long")
-    centred = with_stats(
-        series_ev(spark, folder).withColumn("_c", cents), ["series_id"],
-        {"_s": F.sum("_c"), "_n": F.count("_c")},
+    sums = (
+        table(spark, folder, "events")
+        .select(F.col("user_id").alias("series_id"), F.col("value").alias("x"))
+        .groupBy("series_id")
+        .agg(F.sum(cents).alias("_s"), F.count("x").alias("_n"))
     )
-    return centred.select(
+    return series_ev(spark, folder).join(sums, "series_id").select(
         "series_id", "t",
-        ((F.col("_c") * F.col("_n") - F.col("_s")) / (F.col("_n") * 10000)).alias("x"),
+        ((cents * F.col("_n") - F.col("_s")) / (F.col("_n") * 10000)).alias("x"),
     )
 
 
@@ -222,6 +224,9 @@ CTE: dict[str, tuple[tuple[str, ...], str]] = {
                row_number() over (partition by user_id order by ts, event_id) - 1 as t,
                value as x
         from events"""),
+    "voiced_ev": (("series_ev",), """
+        select series_id, row_number() over (partition by series_id order by t) - 1 as t, x
+        from series_ev where x > 0"""),
     "signal_ev": (("series_ev",), """
         select series_id, t, (c * count(*) over w - sum(c) over w)::double
                  / (count(*) over w * 10000)::double as x
