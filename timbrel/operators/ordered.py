@@ -189,9 +189,12 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) ->
     check; beyond it the adaptive planner splits hot keys.
     """
     aggs = [c.alias(n) for n, c in stats.items()]
-    if not keys:
-        whole = df.withColumn("_all", F.lit(0))
-        return whole.join(whole.groupBy("_all").agg(*aggs), "_all").drop("_all")
+    if not keys:  # one row of numbers: attach them as constants
+        one = df.agg(*aggs)
+        row = one.first()
+        return df.withColumns(
+            {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema.fields}
+        )
     return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
 
 

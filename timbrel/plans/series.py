@@ -9,7 +9,7 @@ from timbrel.operators import frames as FR
 from timbrel.operators import series as SR
 from timbrel.operators import spectral as SP
 from timbrel.operators.ordered import neighbourhood, quantiles
-from timbrel.plans.registry import query
+from timbrel.plans.registry import SQL, query
 from timbrel.session import materialise
 from timbrel.sources import views as V
 from timbrel.sources.views import with_views
@@ -561,7 +561,39 @@ def feature_row(contour, signal, rate: float, n_fft: int, hop: int):
     return out.na.fill({"rpde": 0.5, "dfa": 0.7, "d2": 2.3}).na.fill(0.0)
 
 
-@query("g11_feature_row")
+def _on(sql: str, view: str, other: str) -> str:
+    """A twin over another view: its own views, then the wanted one under the old name."""
+    body = sql.split(f"{view} as (", 1)[1]
+    depth, at = 1, 0
+    while depth:
+        depth += {"(": 1, ")": -1}.get(body[at], 0)
+        at += 1
+    return with_views(other, "", f"{view} as (select * from {other})") + body[at:]
+
+
+def _feature_sql() -> str:
+    parts = {
+        "j": SQL["w1_jitter"], "r": SQL["w2_rap_ddp"], "q": SQL["w3_ppq"],
+        "s": SQL["w4_shimmer"], "a": SQL["w5_apq_dda"],
+        "f": with_views("series_ev", """
+            select series_id, round(avg(x) filter (x > 0), 6) as fo_mean, round(max(x) filter (x > 0), 6) as fhi,
+              round(min(x) filter (x > 0), 6) as flo from series_ev group by series_id"""),
+        "p": SQL["a14_period_entropy"],
+        "e": _on(SQL["a15_recurrence_entropy"], "series_li", "voiced_ev"),
+        "d": _on(SQL["a22_detrended_fluctuation"], "series_li", "voiced_ev"),
+        "c": SQL["a21_correlation_dimension"], "v": SQL["a20_spread_measures"],
+        "h": _on(SQL["g8_harmonicity"], "series_li", "signal_ev"),
+        "m": with_views("signal_ev", """
+            select series_id, round(avg(rms), 6) as energy from energy group by series_id""", FRAMES_SQL),
+        "b": SQL["g4_centroid_bandwidth"], "z": SQL["w16_zero_crossings"],
+    }
+    joined = " join ".join(
+        f"({sql}) {n}" + (" using (series_id)" if n != "j" else "") for n, sql in parts.items()
+    )
+    return f"select series_id, {', '.join(_ALL.split())} from {joined}"
+
+
+@query("g11_feature_row", _feature_sql())
 def g11(spark, folder):
     contour = materialise(V.series_ev(spark, folder))
     signal = materialise(V.signal_ev(spark, folder))
