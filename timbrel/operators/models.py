@@ -168,10 +168,14 @@ def forest_grid(seed: int = 42) -> tuple[Estimator, list[dict]]:
 
 
 def fold_scores(
-    df: DataFrame, make: Callable[[], Estimator], folds: int, ident: str, smote: bool = False,
+    df: DataFrame, models: dict[str, Estimator], folds: int, ident: str, smote: bool = False,
     global_fit: bool = False,
 ) -> DataFrame:
-    """Out-of-fold scores (ident, fold, y, p): scaler, weights and oversampling per fold."""
+    """Out-of-fold scores (model, ident, fold, y, p).
+
+    Scaler, class weights and oversampling are fitted on the training side of each fold; its
+    prepared rows are stored once and every model is fitted on them.
+    """
     whole = fit_scaler(df) if global_fit else None
     parts = []
     for k in range(folds):
@@ -180,30 +184,25 @@ def fold_scores(
         rows = train.select("y", "features")
         if smote:
             made = oversample(train, ident, "y", "features").select("y", "features")
-            rows = rows.unionByName(made)
-        weights = None if smote else class_weights(rows)
-        model = make().fit(prepared(rows, scaler, weights))
-        scored = probability(model)(prepared(held, scaler))
-        parts.append(scored.select(ident, "fold", "y", "p"))
+            rows = materialise(rows.unionByName(made), "train")
+        ready = prepared(rows, scaler, None if smote else class_weights(rows))
+        for name, estimator in models.items():
+            model = estimator.copy().fit(ready)
+            scored = probability(model)(prepared(held, scaler))
+            parts.append(scored.select(F.lit(name).alias("model"), ident, "fold", "y", "p"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def benchmark(
-    df: DataFrame, folds: int, ident: str, models: dict[str, Callable[[], Estimator]] | None = None,
+    df: DataFrame, folds: int, ident: str, models: dict[str, Estimator] | None = None,
     smote: bool = True,
 ) -> DataFrame:
     """(model, ord, accuracy, precision, recall, f1, roc_auc, pr_auc) averaged over folds."""
-    models = models or {name: (lambda e=e: e.copy()) for name, e in estimators().items()}
-    scored = []
-    for order, (name, make) in enumerate(models.items()):
-        scored.append(
-            fold_scores(df, make, folds, ident, smote=smote).select(
-                F.lit(name).alias("model"), F.lit(order).alias("ord"), "fold", "y", "p"
-            )
-        )
-    scores = materialise(reduce(DataFrame.unionByName, scored))
+    models = models or estimators()
+    scores = materialise(fold_scores(df, models, folds, ident, smote), "scores")
+    order = F.array_position(F.array(*[F.lit(n) for n in models]), F.col("model")) - 1
     averaged = fold_average(all_metrics(scores, ["model", "fold"]))
-    return averaged.join(scores.select("model", "ord").distinct(), "model")
+    return averaged.withColumn("ord", order)
 
 
 def calibrated_scores(
@@ -241,11 +240,10 @@ def soft_vote(parts: Sequence[DataFrame], ident: str) -> DataFrame:
 def stacked(df: DataFrame, folds: int, ident: str, names: Sequence[str]) -> tuple:
     """(fitted balanced logistic model, out-of-fold score table with one column per model)."""
     base = estimators()
-    table = df.select(ident, "y")
-    for name in names:
-        scores = fold_scores(df, lambda n=name: base[n].copy(), folds, ident)
-        table = table.join(scores.select(ident, F.col("p").alias(name)), ident)
-    table = materialise(table)
+    scores = fold_scores(df, {n: base[n] for n in names}, folds, ident)
+    table = materialise(
+        scores.groupBy(ident, "y").pivot("model", list(names)).agg(F.first("p")), "stack"
+    )
     rows = prepared(
         table.withColumn("features", F.array(*names)), weights=class_weights(table)
     )
