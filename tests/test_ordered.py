@@ -131,10 +131,10 @@ def recurrence_by_hand(xs):
     return out
 
 
-@pytest.mark.parametrize("look", [1, 4, 32])
-def test_first_recurrence_has_no_horizon(series, look):
+@pytest.mark.parametrize("look, reach", [(1, 2), (2, 8), (4, 16), (24, 4096)])
+def test_first_recurrence_has_no_horizon(series, look, reach):
     got = {}
-    for r in SR.first_recurrence(series, look=look).collect():
+    for r in SR.first_recurrence(series, look=look, reach=reach).collect():
         got.setdefault(r["series_id"], {})[r["t"]] = r["length"]
     for k, xs in SERIES.items():
         assert got.get(k, {}) == recurrence_by_hand(xs)

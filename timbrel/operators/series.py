@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from timbrel.functions.scalars import clamp
 from timbrel.operators.ordered import (
+    block_arrays,
     dense_index,
     neighbourhood,
     position_block,
@@ -213,12 +214,14 @@ def first_recurrence(
     value: str = "x",
     eps: float = 0.5,
     look: int = 24,
+    reach: int = 4096,
 ) -> DataFrame:
     """Per sample the distance to the first later sample nearer than ``eps`` deviations.
 
-    Nearly every sample recurs within ``look`` rows; those are settled inside their block.
-    The few left over are sparse values: an equi-join on value cells of width ``eps`` finds
-    their first match beyond that reach, whatever its distance.
+    Most samples recur within ``look`` rows, seen through lead columns. Those left over search
+    the array of their own and the next block of ``reach`` samples. What is still open then is
+    a value that stays away for thousands of samples; ``_far_recurrence`` finds its match at any
+    distance from block summaries.
     """
     scored = with_stats(
         df.select(*keys, pos, value), keys,
@@ -226,7 +229,6 @@ def first_recurrence(
     ).select(
         *keys, pos, "n", ((F.col(value) - F.col("_mu")) / (F.col("_sd") + 1e-8)).alias("_z")
     )
-
     z = F.col("_z")
 
     def build(w):
@@ -239,26 +241,74 @@ def first_recurrence(
     stepped = materialise(
         near.select(*keys, pos, "n", "_z", step.cast("long").alias("_step")), "steps"
     )
-    settled = stepped.filter("_step > 0").select(
-        *keys, pos, "n", F.col("_step").alias("length")
+    done = stepped.filter("_step > 0").select(*keys, pos, "n", F.col("_step").alias("length"))
+    left = stepped.filter((F.col("_step") == 0) & (F.col(pos) + look < F.col("n") - 1))
+    if not left.take(1):
+        return done
+
+    arrays = block_arrays(stepped.select(*keys, pos, "_z"), keys, pos, "_z", reach, reach)
+    start = (F.col(pos) - F.col("first") + look + 2).cast("int")
+    tail = F.slice("xs", start, F.greatest(F.size("xs") - start + 1, F.lit(0)))
+    at = F.array_position(F.transform(tail, lambda v: F.abs(v - z) < eps), True)
+    seen = materialise(
+        left.withColumn("first", position_block(pos, reach) * reach)
+        .join(arrays, [*keys, "first"])
+        .select(
+            *keys, pos, "n", "_z", (F.col("first") + F.size("xs") - 1).alias("_seen"),
+            F.when(at > 0, at + look).alias("length"),
+        ),
+        "seen",
     )
-    cell = F.floor(z / eps)
-    open_rows = stepped.filter((F.col("_step") == 0) & (F.col(pos) + look < F.col("n") - 1))
-    probes = open_rows.select(
-        *keys, F.col(pos).alias("_i"), "n", z.alias("_zi"),
-        F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"),
+    done = done.unionByName(
+        seen.filter("length is not null").select(*keys, pos, "n", "length")
     )
-    later = stepped.select(*keys, F.col(pos).alias("_j"), z.alias("_zj"), cell.alias("_cell"))
-    far = (
-        probes.join(later, [*keys, "_cell"])
+    far = seen.filter((F.col("length").isNull()) & (F.col("_seen") < F.col("n") - 1))
+    if not far.take(1):
+        return done
+    return done.unionByName(_far_recurrence(far.drop("length"), stepped, keys, pos, eps, reach))
+
+
+def _far_recurrence(open_rows, points, keys, pos, eps: float, reach: int) -> DataFrame:
+    """First match behind ``_seen``, the end of a block.
+
+    Values fall into cells of a sixteenth of ``eps``. Cells up to 15 away match for sure, so
+    the first position per cell and block is enough; only the two cells 16 away are compared
+    value by value, and only before the sure match.
+    """
+    z = F.col("_z")
+    cell = F.floor(z / (eps / 16))
+    row = [*keys, pos]
+    celled = points.select(*keys, F.col(pos).alias("_p"), z.alias("_zp"), cell.alias("_cell"))
+    summary = celled.groupBy(*keys, "_cell", position_block("_p", reach).alias("_b")).agg(
+        F.min("_p").alias("_p")
+    )
+    sure = (
+        open_rows.select(*row, "_seen", F.explode(F.sequence(cell - 15, cell + 15)).alias("_cell"))
+        .join(summary, [*keys, "_cell"])
+        .filter(F.col("_p") > F.col("_seen"))
+        .groupBy(*row)
+        .agg(F.min("_p").alias("_sure"))
+    )
+    bounded = materialise(open_rows.join(sure, row, "left"), "bounded")
+    edge = (
+        bounded.select(
+            *row, "_seen", "_z", F.coalesce("_sure", "n").alias("_limit"),
+            F.explode(F.array(cell - 16, cell + 16)).alias("_cell"),
+        )
+        .join(celled, [*keys, "_cell"])
         .filter(
-            (F.col("_j") > F.col("_i") + look) & (F.abs(F.col("_zj") - F.col("_zi")) < eps)
+            (F.col("_p") > F.col("_seen")) & (F.col("_p") < F.col("_limit"))
+            & (F.abs(F.col("_zp") - z) < eps)
         )
-        .groupBy(*keys, "_i", "n")
-        .agg(F.min(F.col("_j") - F.col("_i")).alias("length"))
-        .select(*keys, F.col("_i").alias(pos), "n", "length")
+        .groupBy(*row)
+        .agg(F.min("_p").alias("_edge"))
+    )
+    return (
+        bounded.join(edge, row, "left")
+        .withColumn("length", F.least("_sure", "_edge") - F.col(pos))
+        .filter("length is not null")
+        .select(*row, "n", "length")
     )
-    return settled.unionByName(far)
 
 
 def recurrence_entropy(
