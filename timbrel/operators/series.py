@@ -255,7 +255,7 @@ def first_recurrence(
         .join(arrays, [*keys, "first"])
         .select(
             *keys, pos, "n", "_z", (F.col("first") + F.size("xs") - 1).alias("_seen"),
-            F.when(at > 0, at + look).alias("length"),
+            (F.nullif(at, F.lit(0).cast("long")) + look).alias("length"),
         ),
         "seen",
     )
