@@ -214,3 +214,24 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
 
     rows = docs.select(c(doc_id).alias("doc_id"), utf8(c(text)).alias("text"))
     return arrow_map(rows, run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def tokenised(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, round_trips: the last says that decoding gives the text back."""
+    kept = tuple(x for x in (doc_id, "lang", "source") if x in docs.columns)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(vocabulary)
+        for b in batches:
+            texts = [t.decode("utf-8", "replace") for t in b[-1].to_pylist()]
+            ids = [coder.encode(t) for t in texts]
+            ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+            same = [coder.decode(x) == t for x, t in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], lists, pa.array(np.diff(ends).astype(np.int64)), pa.array(same, pa.bool_())],
+                names=[*kept, "ids", "n_tokens", "round_trips"])
+
+    rows = docs.select(*(c(f"`{k}`") for k in kept), utf8(c(text)).alias("__text"))
+    return arrow_map(rows, run, f"{kinds}, ids array<int>, n_tokens long, round_trips boolean")

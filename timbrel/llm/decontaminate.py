@@ -38,8 +38,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(text), SEPARATORS), "")
 
 
+def once(value: Column, fn) -> Column:
+    """``fn`` of ``value`` as a bound variable: the planner cannot copy ``value`` into every use of it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def grams_of(words: Column, k: int) -> Column:
     """Hashes of the ``k`` words from each position on; fewer words give one hash of all, none nothing."""
+    return once(words, lambda w: _grams(w, k))
+
+
+def _grams(words: Column, k: int) -> Column:
     n = F.size(words)
     at = lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k)))
     return (
@@ -76,14 +85,15 @@ def _blocks(fp: Column) -> Column:
 
 def _block_balls(fp: Column) -> Column:
     """Every block value that differs from the own one in at most RADIUS // BLOCKS bits."""
-    out = []
-    for i in range(BLOCKS):
+    def ball(i: int) -> Column:
         bits = range(BOUNDS[i + 1] - BOUNDS[i])
         masks = [sum(1 << b for b in some) for r in range(RADIUS // BLOCKS + 1) for some in combinations(bits, r)]
-        out.append(F.transform(
-            F.array(*map(F.lit, masks)),
-            lambda m, i=i: F.struct(F.lit(i).alias("block"), _block(fp, i).bitwiseXOR(m.cast("long")).alias("value"))))
-    return F.concat(*out)
+        own = _block(fp, i)
+        return F.transform(
+            F.array(*(F.lit(m).cast("long") for m in masks)),
+            lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*map(ball, range(BLOCKS)))
 
 
 def leaks(
@@ -115,7 +125,9 @@ def leaks(
     item_grams = bounded(bench.select("item", "k", "size", F.explode("grams").alias("gram")).distinct())
     # shingles of k words, all positions; what holds no shingle of any item ends at this join
     per_length = [own.select("doc", F.lit(k).alias("k"), grams_of(c("w"), k).alias("grams")) for k in lengths]
-    exploded = [x.select("doc", "k", F.size("grams").alias("m"), F.posexplode("grams").alias("p", "gram")) for x in per_length]
+    # the size is taken before the explode, which else would carry the whole array along with every element;
+    # the outer form keeps the planner from computing the array a second time to test that it has elements
+    exploded = [x.withColumn("m", F.size("grams")).select("doc", "k", "m", F.posexplode_outer("grams").alias("p", "gram")) for x in per_length]
     every = exploded[0]
     for x in exploded[1:]:
         every = every.unionByName(x)

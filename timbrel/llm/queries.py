@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timbrel.llm import bpe, decontaminate, exact, simhash
+from pyspark.sql import functions as F
+
+from timbrel.llm import bpe, decontaminate, exact, lang_id, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +28,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1(spark, folder):
+    """Web pages (host, suffix, markup) and documents (source, declared language), each under its own id."""
+    pages = table(spark, folder, "pages")
+    markup = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")
+    webs = lang_id.identify(pages, body, F.nullif(markup, F.lit("")), lang_id.host_of(F.col("url")))
+    docs = lang_id.identify(table(spark, folder, "documents"), F.col("text"), F.col("lang"), F.col("source"), False)
+    said = ("language", "probability", ((F.col("language") != "und") & (F.col("probability") >= lang_id.MIN_PROBABILITY)).alias("kept"))
+    return docs.select(F.col("row.doc_id"), F.lit(None).cast("long").alias("page_id"), *said).unionByName(
+        webs.select(F.lit(None).cast("long").alias("doc_id"), F.col("row.page_id"), *said))
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
