@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from timbrel.llm import bpe, decontaminate, exact, lang_id, simhash
+from timbrel.llm import bpe, decontaminate, exact, lang_id, licences, lm_score, quality, repair, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,11 +46,40 @@ def op2(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+GRADES = 3  # 0 toxic, 1 poor, 2 good
+
+
+@query("op3_quality_grade")
+def op3(spark, folder):
+    """Every document's grade from a model of the labels: toxic below poor below good."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    model = quality.train(docs, labels.select("doc_id", grade.alias("grade")), GRADES)
+    return quality.score(docs, model)
+
+
 @query("op4_bpe_round_trip")
 def op4(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), bpe.vocabulary_file())
 
 
+@query("op5_suffix_array_dedup")
+def op5(spark, folder):
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query("op6_repair_token_files")
+def op6(spark, folder):
+    return repair.read(repair.write(table(spark, folder, "documents"), bpe.vocabulary_file()), with_ids=False)
+
+
+@query("op7_lm_cross_entropy_difference")
+def op7(spark, folder):
+    """Documents labelled good are the target, all documents the background."""
+    good = table(spark, folder, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lm_score.cross_entropy_difference(table(spark, folder, "documents"), good)
+
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -63,6 +92,11 @@ def op8(spark, folder):
     return exact.groups(table(spark, folder, "documents"))
 
 
+@query("op9_licence_scan")
+def op9(spark, folder):
+    return licences.licences(table(spark, folder, "documents"))
+
+
 @query("op10_benchmark_decontamination")
 def op10(spark, folder):
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
