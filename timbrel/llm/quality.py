@@ -25,7 +25,7 @@ BITS = 18
 SIZE = 1 << BITS  # hashed features, the bound of the model
 PER_GRADE = 3000  # graded rows per grade in the fit: the documented bound of the sample
 SEEN = 4  # sample rows that a feature must occur in to get a weight
-STEPS, RATE, DECAY = 400, 0.3, 3e-5
+STEPS, RATE, DECAY = 400, 0.3, 1e-5
 TAIL = 1  # select by P(grade > TAIL)
 
 
@@ -102,7 +102,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int) -> Model:
     # the first threshold is free, the others follow by positive steps
     free = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3)), np.zeros(len(columns))])
     over = grades[:, None] > np.arange(levels - 1)[None, :]
-    balance = np.sqrt(share.sum() / (levels * share))[grades]  # rare grades count somewhat more
+    balance = ((share.sum() / (levels * share)) ** 0.75)[grades]  # rare grades count more
     moment, scale = np.zeros_like(free), np.zeros_like(free)
     for step in range(1, STEPS + 1):
         cuts = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1 : levels - 1]))])
