@@ -497,8 +497,8 @@ def directional_biomarkers(top: Column) -> Column:
     )
 
 
-def explanation(top: Column, risk: Column) -> Column:
-    """Sentence from the first three attributions and the risk band."""
+def explanation(top: Column, risk: Column, fused: Column | None = None) -> Column:
+    """Sentence from the first three attributions and the risk band; a text of the fusion goes first."""
     phrases = F.transform(
         F.slice(top, 1, 3), lambda a: explanation_phrase(a["label"], a["value"])
     )
@@ -507,16 +507,23 @@ def explanation(top: Column, risk: Column) -> Column:
         fixed.EXPLAIN_CONTEXT,
     )
     empty = F.when(risk < fixed.LOW_BAND, fixed.EXPLAIN_NONE_LOW).otherwise(fixed.EXPLAIN_NONE)
-    return F.when(top.isNull() | (F.size(top) == 0), empty).otherwise(
+    own = F.when(top.isNull() | (F.size(top) == 0), empty).otherwise(
         F.concat(
             lit("The screening result was primarily influenced by "),
             english_list(phrases), lit(", "), context, lit("."),
         )
     )
+    return own if fused is None else override(fused, own)
 
 
-def recommendation(risk: Column) -> Column:
-    return by_value(advice_band(risk), fixed.ADVICE)
+def override(fused: Column, own: Column) -> Column:
+    """The text of the fusion where it has one, else the own text."""
+    return F.when(F.length(F.coalesce(fused, F.lit(""))) > 0, fused).otherwise(own)
+
+
+def recommendation(risk: Column, fused: Column | None = None) -> Column:
+    own = by_value(advice_band(risk), fixed.ADVICE)
+    return own if fused is None else override(fused, own)
 
 
 def report(

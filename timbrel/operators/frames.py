@@ -71,7 +71,7 @@ def noise_floor(energy: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     k = F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
     taken = F.greatest(F.lit(0), F.least(F.col("copies"), k - F.col("below")))
     return ranked.groupBy(*keys).agg(
-        (F.sum(F.col("rms") * taken) / F.sum(taken)).alias("floor")
+        F.try_divide(F.sum(F.col("rms") * taken), F.sum(taken)).alias("floor")
     )
 
 

@@ -50,8 +50,10 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         _by_score(df, keys), keys, F.floor(F.col("p") * SCORE_BLOCKS), ["p"],
         sums={"below": F.col("neg")}, before=True,
     )
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
-    pairs = F.sum("pos") * F.sum("neg")
+    # in doubles: products of counts leave 64-bit integers from some billions of rows on
+    pos = F.col("pos").cast("double")
+    wins = F.sum(pos * (F.col("below") + F.col("neg") / 2.0))
+    pairs = F.sum(pos) * F.sum("neg")
     return ranked.groupBy(*keys).agg(
         F.when(pairs == 0, 0.0).otherwise(wins / F.nullif(pairs, F.lit(0))).alias("roc_auc")
     )
@@ -63,7 +65,7 @@ def average_precision(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         _by_score(df, keys), keys, -F.floor(F.col("p") * SCORE_BLOCKS), [F.desc("p")],
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
     )
-    area = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    area = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))
     return ranked.groupBy(*keys).agg(
         F.when(F.sum("pos") == 0, 0.0)
         .otherwise(area / F.nullif(F.sum("pos"), F.lit(0)))
@@ -145,8 +147,10 @@ def pool_summary(df: DataFrame, pool: str = "pool") -> DataFrame:
     ).withColumn("ratio", F.try_divide("n_pd", "n_healthy"))
 
 
-def subject_scores(df: DataFrame, seq: str, subject: str = "subject") -> DataFrame:
-    """(subject, score, label): mean score, label as last seen."""
-    return df.groupBy(subject).agg(
+def subject_scores(
+    df: DataFrame, seq: str, subject: str = "subject", keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, subject, score, label): mean score, label as last seen."""
+    return df.groupBy(*keys, subject).agg(
         F.avg("p").alias("score"), F.max_by("label", seq).alias("label")
     )

@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from timbrel.session import materialise
 
@@ -51,38 +52,39 @@ def prefix(
 
     ``block`` must grow with ``order``: all rows of a lower block come first. ``before``
     leaves the row itself out of its totals. The rows are shuffled once, on (keys, block);
-    the second pass sees one row per block only.
+    the second pass sees one row per block only. Null keys form a group of their own and a null
+    block comes first, as in a window: keys and block travel as one struct, whose fields compare
+    as equal when both are null.
     """
     sums, maxima = sums or {}, maxima or {}
     names = [*sums, *maxima]
     raw = {n: f"_v_{n}" for n in names}
     keyed = df.select(
         "*",
-        block.alias("_block"),
+        F.struct(*[F.col(k) for k in keys], block.alias("_block")).alias("_place"),
         *[c.alias(raw[n]) for n, c in {**sums, **maxima}.items()],
     )
-    by = [*keys, "_block"]
     last = -1 if before else Window.currentRow
     local = (
-        Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+        Window.partitionBy("_place").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
     )
-    totals = keyed.groupBy(*by).agg(
+    totals = keyed.groupBy("_place").agg(
         *[F.sum(raw[n]).alias(raw[n]) for n in sums],
         *[F.max(raw[n]).alias(raw[n]) for n in maxima],
     )
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_block")
+        Window.partitionBy(*[F.col("_place").getField(k) for k in keys])
+        .orderBy(F.col("_place").getField("_block"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carry = totals.select(
-        *by,
+        "_place",
         *[F.sum(raw[n]).over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.max(raw[n]).over(earlier).alias(f"_c_{n}") for n in maxima],
     )
     inside = keyed.select(
         *df.columns,
-        "_block",
+        "_place",
         *[F.sum(raw[n]).over(local).alias(f"_l_{n}") for n in sums],
         *[F.max(raw[n]).over(local).alias(f"_l_{n}") for n in maxima],
     )
@@ -95,7 +97,7 @@ def prefix(
         return (F.coalesce(inner, zero) + F.coalesce(carried, zero)).alias(n)
 
     kept = [c for c in df.columns if c not in names]
-    return inside.join(carry, by).select(*kept, *[joined(n) for n in names])
+    return inside.join(carry, "_place").select(*kept, *[joined(n) for n in names])
 
 
 def dense_index(
@@ -186,7 +188,7 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) ->
     """Attach per-key aggregates: map-side combined, then joined back.
 
     The stats side holds one row per key. Small sides are broadcast by Spark's own size
-    check; beyond it the adaptive planner splits hot keys.
+    check; beyond it the adaptive planner splits hot keys. Rows with null keys keep together.
     """
     aggs = [c.alias(n) for n, c in stats.items()]
     if not keys:  # one row of numbers: attach them as constants
@@ -195,7 +197,8 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) ->
         return df.withColumns(
             {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema.fields}
         )
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+    keyed = df.withColumn("_key", F.struct(*keys))
+    return keyed.join(keyed.groupBy("_key").agg(*aggs), "_key").drop("_key")
 
 
 def ranked_values(
@@ -205,11 +208,12 @@ def ranked_values(
 
     Returns (keys, value, copies, below, n): ``below`` rows of the key are smaller, ``n``
     rows in all. Copies of a value are merged before the shuffle; value blocks of equal
-    width, as many as the key needs, keep every window partition small.
+    width, as many as the key needs, keep every window partition small. Null and NaN values do
+    not count: they make one row without copies, so that a key of nothing else stays.
     """
-    counted = materialise(
-        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies")), "values"
-    )
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        df = df.withColumn(value, F.nanvl(value, F.lit(None)))
+    counted = materialise(df.groupBy(*keys, value).agg(F.count(value).alias("copies")), "values")
     sized = with_stats(
         counted,
         keys,

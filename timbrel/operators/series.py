@@ -26,10 +26,15 @@ from timbrel.session import materialise
 KEYS = ("series_id",)
 
 
+def heard(x: Column) -> Column:
+    """Positive and finite; NaN, which compares as the largest number, is not."""
+    return ~F.isnan(x) & (F.abs(x) != float("inf")) & (x > 0)
+
+
 def voiced(df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x"):
     """Keep positive finite samples (NaN and infinities count as 0) and close the gaps."""
     x = F.col(value)
-    kept = df.filter(~F.isnan(x) & (F.abs(x) != float("inf")) & (x > 0))
+    kept = df.filter(heard(x))
     return dense_index(kept, keys, position_block(pos), [pos], "_i").withColumn(
         pos, F.col("_i")
     ).drop("_i")
@@ -106,7 +111,7 @@ def shimmer(df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: st
 def contour_stats(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "x") -> DataFrame:
     """fo_mean, fhi, flo over voiced samples, 0 when there are none."""
     x = F.col(value)
-    v = F.when(~F.isnan(x) & (F.abs(x) != float("inf")) & (x > 0), x)
+    v = F.when(heard(x), x)
     return df.groupBy(*keys).agg(
         F.coalesce(F.avg(v), F.lit(0.0)).alias("fo_mean"),
         F.coalesce(F.max(v), F.lit(0.0)).alias("fhi"),
@@ -127,8 +132,8 @@ def profile(df: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", value: st
 
 def spread(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "x") -> DataFrame:
     """spread1, spread2 of the voiced samples; (-5, 0.2) below ten of them."""
-    x = F.when(F.col(value) > 0, F.col(value))
-    logs = df.filter(F.col(value) > 0).select(*keys, F.ln(F.col(value) + 1e-8).alias("_ln"))
+    x = F.when(heard(F.col(value)), F.col(value))
+    logs = df.filter(heard(F.col(value))).select(*keys, F.ln(F.col(value) + 1e-8).alias("_ln"))
     p25 = quantiles(logs, keys, "_ln", {"_p25": 0.25})
     stats = df.groupBy(*keys).agg(
         F.count(x).alias("n"),
@@ -189,12 +194,13 @@ def _binned(df: DataFrame, keys, value: Column, lo: Column, hi: Column, bins: Co
 
 def period_entropy(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "x") -> DataFrame:
     """ppe: entropy of log2(period / mean period) in 100 bins; 0 below ten voiced samples."""
-    period = F.when(F.col(value) > 0, F.try_divide(F.lit(1.0), F.col(value)))
+    voice = heard(F.col(value))
+    period = F.when(voice, F.try_divide(F.lit(1.0), F.col(value)))
     stats = df.groupBy(*keys).agg(
         F.count(period).alias("n"), F.avg(period).alias("_m"), F.min(period).alias("_lo"),
         F.max(period).alias("_hi"),
     )
-    rows = df.filter(F.col(value) > 0).select(*keys, period.alias("_p"))
+    rows = df.filter(voice).select(*keys, period.alias("_p"))
     rows = rows.join(stats.filter("n >= 10"), list(keys))
     m = F.col("_m")
     binned = _binned(
@@ -430,8 +436,10 @@ def _draw(k: Column, factor: int, shift: int, n: Column) -> Column:
     return (v * 2147483648 + v * 69621 % _M) % n
 
 
-def sampled_pairs(vectors: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t") -> DataFrame:
-    """Distances of up to 500 drawn pairs of delay vectors per key (columns keys, dist).
+def sampled_pairs(
+    vectors: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t", most: int = PAIRS
+) -> DataFrame:
+    """Distances of up to ``most`` drawn pairs of delay vectors per key (columns keys, dist).
 
     The draw replaces all-pairs work: its size does not grow with the series.
     """
@@ -440,7 +448,7 @@ def sampled_pairs(vectors: DataFrame, keys: Sequence[str] = KEYS, pos: str = "t"
         vectors.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .filter("_n >= 2")
-        .withColumn("_pairs", F.least(F.lit(PAIRS), F.floor(n * (n - 1) / 2)))
+        .withColumn("_pairs", F.least(F.lit(most), F.floor(n.cast("double") * (n - 1) / 2)))
         .withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pairs") - 1)))
         .select(
             *keys,
@@ -468,7 +476,7 @@ def correlation_dimension(
     clean: bool = False,
 ) -> DataFrame:
     """d2: slope of ln C(r) over ln r at the 10..50 % distances, within 1..4; 2.3 fallback."""
-    sizes = df.groupBy(*keys).agg(F.count(F.when(F.col(value) > 0, 1)).alias("n"))
+    sizes = df.groupBy(*keys).agg(F.count(F.when(heard(F.col(value)), 1)).alias("n"))
     contour = df if clean else voiced(df, keys, pos, value)
     vectors = materialise(delay_vectors(contour, keys, pos, value), "vectors")
     dist = sampled_pairs(vectors, keys, pos)

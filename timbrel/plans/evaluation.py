@@ -11,6 +11,7 @@ from timbrel.operators import splits as SP
 from timbrel.plans.registry import query
 from timbrel.plans.rules import drawn
 from timbrel.plans.series import rounded
+from timbrel.session import materialise
 from timbrel.sources import views as V
 from timbrel.sources.views import with_views
 
@@ -161,9 +162,9 @@ def a2(spark, folder):
 
 
 @query("a5_subject_scores", with_views("subject_scores", """
-    select subject, round(score, 6) as score, label from subject_scores where pool = 'spiral'"""))
+    select pool, subject, round(score, 6) as score, label from subject_scores"""))
 def a5(spark, folder):
-    return rounded(pool_scores(spark, folder, "spiral"))
+    return rounded(ME.subject_scores(pools(spark, folder), "drawing_id", keys=["pool"]))
 
 
 @query("a24_distinct_subjects", with_views("refs", """
@@ -200,32 +201,40 @@ def j5(spark, folder):
     return rounded(score_pairs(spark, folder, "full"))
 
 
-_HELD = """held as (select distinct subject from (
-      select subject, label, row_number() over (partition by label order by md5(subject || ':42'), subject) - 1 as r, count(*) over (partition by label) as n
-      from (select distinct subject, label from pools where pool = 'spiral')) where r < greatest(1, floor(n * 0.2)))"""
+_HELD = """held as (select distinct pool, subject from (
+      select pool, subject, label, row_number() over (partition by pool, label order by md5(subject || ':42'), subject) - 1 as r, count(*) over (partition by pool, label) as n
+      from (select distinct pool, subject, label from pools)) where r < greatest(1, floor(n * 0.2)))"""
+POOLS = ("spiral", "wave")
 
 
-def spiral_split(spark, folder):
-    rows = pools(spark, folder).filter("pool = 'spiral'")
-    return SP.subject_split(rows, SP.test_subjects(rows))
+def each_pool(spark, folder, fn):
+    """``fn`` of the rows of each pool, together and with the pool's name."""
+    rows = materialise(pools(spark, folder), "pools")
+    parts = [fn(rows.filter(c("pool") == p)).withColumn("pool", F.lit(p)) for p in POOLS]
+    return parts[0].unionByName(parts[1])
 
 
 @query("j6_semi_anti_split", with_views("pools", """
-    select drawing_id, subject, subject in (select subject from held) as test from pools where pool = 'spiral'""", _HELD))
+    select pool, drawing_id, subject, (pool, subject) in (select (pool, subject) from held) as test from pools""", _HELD))
 def j6(spark, folder):
-    train, test = spiral_split(spark, folder)
-    return train.withColumn("test", F.lit(False)).unionByName(
-        test.withColumn("test", F.lit(True))).select("drawing_id", "subject", "test")
+    def split(rows):
+        train, test = SP.subject_split(rows, SP.test_subjects(rows))
+        return train.withColumn("test", F.lit(False)).unionByName(
+            test.withColumn("test", F.lit(True))).select("drawing_id", "subject", "test")
+
+    return each_pool(spark, folder, split)
 
 
 @query("m7_subject_level_split", with_views("pools", """
-    select subject, label, subject in (select subject from held) as test, count(*) as n from pools where pool = 'spiral' group by subject, label""", _HELD))
+    select pool, subject, label, (pool, subject) in (select (pool, subject) from held) as test, count(*) as n from pools group by pool, subject, label""", _HELD))
 def m7(spark, folder):
-    rows = pools(spark, folder).filter("pool = 'spiral'")
-    held = SP.test_subjects(rows).withColumn("test", F.lit(True))
-    counts = rows.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(held, "subject", "left").withColumn(
-        "test", F.coalesce("test", F.lit(False)))
+    def split(rows):
+        held = SP.test_subjects(rows).withColumn("test", F.lit(True))
+        counts = rows.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(held, "subject", "left").withColumn(
+            "test", F.coalesce("test", F.lit(False)))
+
+    return each_pool(spark, folder, split)
 
 
 @query("m6_stratified_split", with_views("scores", """
@@ -296,17 +305,17 @@ def u2(spark, folder):
 
 
 @query("u3_except_subjects", with_views(
-    "pools", "select subject from sp except select subject from held", _SETS + ", " + _HELD))
+    "pools", "select pool, subject from pools except select pool, subject from held", _HELD))
 def u3(spark, folder):
-    rows = pools(spark, folder).filter("pool = 'spiral'")
-    return rows.select("subject").subtract(SP.test_subjects(rows))
+    return each_pool(
+        spark, folder, lambda rows: rows.select("subject").subtract(SP.test_subjects(rows)))
 
 
 @query("u4_subjects_per_class", with_views("pools", """
-    select label, count(*) as n, min(subject) as first, max(subject) as last from (select distinct label, subject from pools where pool = 'spiral') group by label"""))
+    select pool, label, count(*) as n, min(subject) as first, max(subject) as last from (select distinct pool, label, subject from pools) group by pool, label"""))
 def u4(spark, folder):
-    rows = pools(spark, folder).filter("pool = 'spiral'")
-    return rows.select("label", "subject").distinct().groupBy("label").agg(
+    rows = pools(spark, folder)
+    return rows.select("pool", "label", "subject").distinct().groupBy("pool", "label").agg(
         F.count(F.lit(1)).alias("n"), F.min("subject").alias("first"),
         F.max("subject").alias("last"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timbrel.functions import fixed
 from timbrel.functions import rules as R
 from timbrel.functions import scalars as S
+from timbrel.operators.vectors import constant_vector
 from timbrel.plans.registry import query
 from timbrel.plans.sqltext import case, even, join_reasons, q, rungs
 from timbrel.sources import views as V
@@ -54,19 +55,16 @@ def label_of(i):
 
 def top_attributions(spark, folder) -> DataFrame:
     """(vec_id, risk, top): strongest attributions by magnitude, sorted inside the row."""
-    vectors = V.refs(spark, folder)
-    means = V.vec_long(spark, folder).groupBy("i").agg(F.avg("v").alias("m"))
-    long = V.vec_long(spark, folder).join(means, "i").select(
-        "vec_id", F.col("i").cast("long").alias("i"), F.round(c("v") - c("m"), 9).alias("value")
-    )
-    per_row = long.groupBy("vec_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.abs("value")).alias("o"), c("i"), c("value"))
-            )
-        ).alias("all")
-    )
-    del vectors
+    means = V.vec_long(spark, folder).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i")
+    # one number per dimension; everything else stays inside the row
+    mean = constant_vector([r.m for r in means.collect()])
+
+    def term(v, i):
+        value = F.round(v.cast("double") - F.get(mean, i), 9)
+        return F.struct((-F.abs(value)).alias("o"), i.cast("long").alias("i"), value.alias("value"))
+
+    per_row = V.refs(spark, folder).select(
+        "vec_id", F.array_sort(F.transform("embedding", term)).alias("all"))
     return per_row.select(
         "vec_id",
         ((c("vec_id") * 37 % 100) / 100.0).alias("risk"),

@@ -549,9 +549,9 @@ def feature_row(contour, signal, rate: float, n_fft: int, hop: int):
     )
     clean = materialise(SR.voiced(contour))
     parts = [
-        SR.shimmer(clean), SR.contour_stats(contour), SR.period_entropy(contour),
+        SR.shimmer(clean), SR.contour_stats(contour), SR.period_entropy(clean),
         SR.recurrence_entropy(clean, clean=True), SR.fluctuation(clean, clean=True),
-        SR.correlation_dimension(clean, clean=True), SR.spread(contour),
+        SR.correlation_dimension(clean, clean=True), SR.spread(clean),
         SP.harmonicity(signal, int(rate)), spec, SR.crossing_rate(signal),
     ]
     out = SR.jitter(contour)

@@ -165,6 +165,7 @@ def s12(spark, folder):
 
 ALIGNED = ("HNR", "MDVP:Fo(Hz)", "PPE", "MDVP:Shimmer", "NHR")
 _POS = {n: NAMES.index(n) + 1 for n in ALIGNED}
+_ALL = {n: i for i, n in enumerate(NAMES, 1)}
 
 
 @query("p5_align_features", with_views("refs", "select 'rec_S' || (vec_id % 32) || '_' || vec_id as name, " + ", ".join(
@@ -175,7 +176,7 @@ def p5(spark, folder):
 
 @query("p6_skew_transform", with_views("refs", "select 'rec_S' || (vec_id % 32) || '_' || vec_id as name, " + ", ".join(
     (f"round(ln(1 + greatest(embedding[{i}], 0)), 6)" if n in fixed.SKEWED_FEATURES else f"round(embedding[{i}], 6)") + f" as \"{n}\""
-    for n, i in _POS.items()) + " from refs"))
+    for n, i in _ALL.items()) + " from refs"))
 def p6(spark, folder):
-    t = MO.skew_transform(MO.align(voice_table(spark, folder), ALIGNED, keep=["name"]))
-    return t.select("name", *[F.round(f"`{n}`", 6).alias(n) for n in ALIGNED])
+    t = MO.skew_transform(MO.align(voice_table(spark, folder), list(_ALL), keep=["name"]))
+    return t.select("name", *[F.round(f"`{n}`", 6).alias(n) for n in _ALL])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -46,8 +47,8 @@ def local_session(cores: str = "8", name: str = "timbrel") -> SparkSession:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster must name it. Only where it is unset (tests, one machine) a fresh
-    temporary folder is taken.
+    A cluster must name it: executors there do not share the driver's disk. Only a ``local``
+    master (tests, one machine) may leave it unset and gets a fresh temporary folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -56,6 +57,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if named is None:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="timbrel-")
     spark.sparkContext.setCheckpointDir(named)
     return named

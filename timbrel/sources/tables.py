@@ -125,7 +125,9 @@ def list_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
         if pattern:
             reader = reader.option("pathGlobFilter", pattern)
         return reader.load(folder).select("path", "modificationTime", "length")
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], LISTING)
 
 

@@ -21,23 +21,35 @@ from timbrel.session import configure
 from timbrel.sources.tables import scratch
 
 
-def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """Stream over the parquet files of a table; ``ts`` becomes a zoned timestamp (UTC)."""
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder, asked of the file system it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
+def read_events(
+    spark: SparkSession, folder: str, name: str = "events", files: int | None = None
+) -> DataFrame:
+    """Stream over the parquet files of a table, stored as one file or as a folder of parts.
+
+    ``ts`` becomes a zoned timestamp (UTC). ``files`` per trigger bound a micro-batch.
+    """
+    files = files or FILES_PER_TRIGGER
     configure(spark)
     path = f"{folder}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .option("maxFilesPerTrigger", 64)
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    # a stream watches a folder: that of the table's part files, or the one that holds its single file
+    raw = reader.parquet(path) if is_folder(spark, path) else (
+        reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder))
     if "ts" not in raw.columns:
         return raw
     us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return raw.withColumn("us", us).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+FILES_PER_TRIGGER = 64
+
+
 def batch_sink(path: str, prepare: Callable[[DataFrame], DataFrame] | None = None):
     """Write each micro-batch to its own folder: a replayed batch replaces itself."""
 
@@ -78,11 +90,15 @@ def latest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def window_levels(
     events: DataFrame, value: Column, size: str, slide: str | None = None, key: str = "client",
-    late: str = "1 hour", limit: float = 0.05,
+    late: str | None = None, limit: float = 0.05,
 ) -> DataFrame:
-    """Per key and (sliding or tumbling) window: rows, energy, warning above the limit."""
+    """Per key and (sliding or tumbling) window: rows, energy, warning above the limit.
+
+    Every row counts, however late it comes, unless ``late`` says after what delay a window is
+    closed for good; only then does its state end.
+    """
     span = F.window("ts", size, slide) if slide else F.window("ts", size)
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    timed = events.withWatermark("ts", late) if late and events.isStreaming else events
     level = F.sqrt(F.avg(value * value))
     return timed.groupBy(key, span.alias("w")).agg(
         F.count(F.lit(1)).alias("n"), level.alias("level")
@@ -105,9 +121,12 @@ def split_sessions(sessions: DataFrame, key: str, min_s: float, cap_s: float) ->
     )
 
 
-def session_stream(events: DataFrame, gap: str, key: str = "client", late: str = "1 hour"):
-    """Open-ended activity per key, closed by a pause: (key, first_us, last_us)."""
-    timed = events.withWatermark("ts", late) if events.isStreaming else events
+def session_stream(events: DataFrame, gap: str, key: str = "client", late: str | None = None):
+    """Open-ended activity per key, closed by a pause: (key, first_us, last_us).
+
+    Late rows join or merge sessions, unless ``late`` limits the delay.
+    """
+    timed = events.withWatermark("ts", late) if late and events.isStreaming else events
     return timed.groupBy(key, F.session_window("ts", gap).alias("s")).agg(
         F.min("us").alias("first_us"), F.max("us").alias("last_us")
     ).select(key, "first_us", "last_us")
