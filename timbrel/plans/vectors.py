@@ -159,17 +159,20 @@ _COEF_SQL = "coef(i, w) as (values " + ", ".join(
     f"({i}, {w}::double)" for i, w in enumerate(COEFS)) + ")"
 
 
-@query("k3_top_coefficients", with_views("vec_long", """
-    select i::bigint as i, round(w * n, 6) as coef, row_number() over (order by abs(w * n) desc, i) as rank
-    from coef, (select count(distinct vec_id) / 1000.0::double as n from vec_long) where abs(w * n) >= 1e-5
-    qualify rank <= 12""", _COEF_SQL))
+@query("k3_top_coefficients", with_views("refs", """
+    select i, round(coef, 6) as coef, row_number() over (order by abs(coef) desc, i) as rank from (
+      select i, round((avg(v) filter (cohort = 1) - avg(v) filter (cohort = 0)) / stddev_pop(v), 9) as coef
+      from (select cohort, unnest(embedding)::double as v, unnest(range(64)) as i from refs) group by i)
+    where abs(coef) >= 1e-5 qualify rank <= 12"""))
 def k3(spark, folder):
+    """Per dimension, the gap of the cohort means in standard deviations as its coefficient."""
     from timbrel.operators.models import top_coefficients
 
-    scale = V.refs(spark, folder).count() / 1000.0
-    long = V.vec_long(spark, folder).select("i").distinct()
-    coef = long.select(c("i").cast("long").alias("i"),
-                       (F.element_at(VE.constant_vector(COEFS), c("i") + 1) * scale).alias("coef"))
+    v = c("v").cast("double")
+    mean = lambda k: F.avg(F.when(c("cohort") == k, v))
+    long = V.refs(spark, folder).select("cohort", F.posexplode("embedding").alias("i", "v"))
+    coef = long.groupBy(c("i").cast("long").alias("i")).agg(
+        F.round((mean(1) - mean(0)) / F.stddev_pop(v), 9).alias("coef"))
     return rounded(top_coefficients(coef))
 
 
