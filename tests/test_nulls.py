@@ -54,7 +54,7 @@ def test_nan_and_infinity_are_unvoiced(spark, measure):
 
 
 def test_areas_of_billions_of_rows(spark):
-    scored = spark.createDataFrame([(0.25, 0, 4_000_000_000), (0.75, 4_000_000_000, 0)], "p double, pos long, neg long")
+    scored = spark.createDataFrame([(0.25, 0, 4_000_000_000), (0.75, 4_000_000_000, 0)], "p double, pos long, neg long").withColumn("_range", F.lit(0))
 
     class Sums:
         by = staticmethod(lambda df, keys: df)
@@ -67,6 +67,18 @@ def test_areas_of_billions_of_rows(spark):
         ME._by_score = kept
 
 
+@pytest.mark.parametrize("values", ["id + 0.5", "id * 1e-11", "if(id = 0, 1e15, id)", "pow(10.0, id % 300)"])
+def test_blocks_stay_even_whatever_the_values(spark, values):
+    df = spark.range(200_000).selectExpr("1 as k", f"cast({values} as double) as x").union(
+        spark.createDataFrame([(2, 1.0), (2, 2.0), (None, 5.0)], "k int, x double")).distinct()
+    blocks = O.value_blocks(df, ["k"], "x", per_block=1000)
+    sizes = blocks.groupBy("k", "_block").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    rows = sorted((r for r in sizes.collect() if r.k == 1), key=lambda r: r._block)
+    assert max(r.n for r in rows) <= 1000
+    assert all(a.hi < b.lo for a, b in zip(rows, rows[1:]))
+    assert blocks.count() == df.count()
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     class Conf:
         get = staticmethod(lambda *a: None)

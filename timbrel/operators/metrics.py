@@ -7,10 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.operators.ordered import prefix
-
-# Score blocks: probabilities are cut into this many equal ranges.
-SCORE_BLOCKS = 4096
+from timbrel.operators.ordered import prefix, value_blocks
+from timbrel.session import materialise
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -39,15 +37,18 @@ def confusion_metrics(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _by_score(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys, "p").agg(
+    """Rows per distinct score, in blocks of equal numbers of scores (column ``_range``)."""
+    counted = df.groupBy(*keys, "p").agg(
         F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")
     )
+    counted = materialise(counted, "by-score")
+    return value_blocks(counted, keys, "p").withColumnRenamed("_block", "_range")
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Rank-based area under the ROC curve, ties count half; 0 with a single class."""
     ranked = prefix(
-        _by_score(df, keys), keys, F.floor(F.col("p") * SCORE_BLOCKS), ["p"],
+        _by_score(df, keys), keys, F.col("_range"), ["p"],
         sums={"below": F.col("neg")}, before=True,
     )
     # in doubles: products of counts leave 64-bit integers from some billions of rows on
@@ -62,7 +63,7 @@ def roc_auc(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def average_precision(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sum of precision times recall step over the distinct scores, highest first."""
     ranked = prefix(
-        _by_score(df, keys), keys, -F.floor(F.col("p") * SCORE_BLOCKS), [F.desc("p")],
+        _by_score(df, keys), keys, -F.col("_range"), [F.desc("p")],
         sums={"tp": F.col("pos"), "fp": F.col("neg")},
     )
     area = F.sum(F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp")))

@@ -201,6 +201,34 @@ def with_stats(df: DataFrame, keys: Sequence[str], stats: dict[str, Column]) ->
     return keyed.join(keyed.groupBy("_key").agg(*aggs), "_key").drop("_key")
 
 
+STEPS = 10  # halvings of the search below, so 2 ** 10 ranges per key
+
+
+def value_blocks(
+    df: DataFrame, keys: Sequence[str], value: str, per_block: int = BLOCK
+) -> DataFrame:
+    """Attach ``_block``, which grows with ``value`` and splits a key into ranges of equal counts.
+
+    Only keys with more than ``per_block`` rows get range ends, from an approximate quantile
+    sketch; so outliers, narrow ranges and heavy tails leave blocks as even as uniform values do.
+    """
+    place = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    keyed = df.withColumn("_key", place)
+    big = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > per_block)
+    ends = F.percentile_approx(value, [i / 2**STEPS for i in range(1, 2**STEPS)], F.lit(10**5))
+    split = materialise(
+        keyed.join(big.select("_key"), "_key", "left_semi").groupBy("_key").agg(ends.alias("_ends")), "ranges"
+    )
+    halves = F.array(*[F.lit(2**i) for i in reversed(range(STEPS))])
+    found = F.aggregate(
+        halves, F.lit(0),
+        lambda at, step: F.when(F.get("_ends", at + step - 1) < F.col(value), at + step).otherwise(at),
+    )
+    joined = keyed.join(split, "_key", "left")
+    block = F.when(F.col("_ends").isNull(), 0).otherwise(found).cast("long")
+    return joined.withColumn("_block", block).drop("_key", "_ends")
+
+
 def ranked_values(
     df: DataFrame, keys: Sequence[str], value: str, per_block: int = BLOCK
 ) -> DataFrame:
@@ -208,7 +236,7 @@ def ranked_values(
 
     Returns (keys, value, copies, below, n): ``below`` rows of the key are smaller, ``n``
     rows in all. Copies of a value are merged before the shuffle; value blocks of equal
-    width, as many as the key needs, keep every window partition small. Null and NaN values do
+    counts keep every window partition small. Null and NaN values do
     not count: they make one row without copies, so that a key of nothing else stays.
     """
     if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
@@ -217,17 +245,10 @@ def ranked_values(
     sized = with_stats(
         counted,
         keys,
-        {
-            "_lo": F.min(value),
-            "_hi": F.max(value),
-            "_d": F.count(F.lit(1)),
-            "n": F.sum("copies"),
-        },
+        {"n": F.sum("copies")},
     )
-    blocks = F.ceil(F.col("_d") / per_block)
-    span = F.col("_hi") - F.col("_lo")
-    block = F.when(span > 0, F.floor((F.col(value) - F.col("_lo")) / span * blocks)).otherwise(0)
-    out = prefix(sized, keys, block.cast("long"), [value], sums={"_upto": F.col("copies")})
+    placed = value_blocks(sized, keys, value, per_block).withColumnRenamed("_block", "_range")
+    out = prefix(placed, keys, F.col("_range"), [value], sums={"_upto": F.col("copies")})
     return out.select(
         *keys, value, "copies", (F.col("_upto") - F.col("copies")).alias("below"), "n"
     )
