@@ -110,3 +110,20 @@ def test_majority_counts_in_pieces(n):
     h = [xxhash.xxh64_intdigest(x, 42) for x in items]
     bits = np.unpackbits(np.frombuffer(b"".join(x.to_bytes(8, "big") for x in h), np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=int) if n else np.zeros(64)
     assert S.majority(items, S._xxh64) == np.packbits(bits * 2 > n).tobytes()
+
+
+def test_altered_copies_of_one_original_go(spark):
+    """Copies at 0.8 to 0.9 of their original, most of them less similar to each other: only one document stays."""
+    r = random.Random(12)
+    words = ["".join(r.choice("etaoinsh") for _ in range(r.randint(3, 8))) for _ in range(5000)]
+    base = [r.choice(words) for _ in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(120):
+        copy = list(base)
+        for k in r.sample(range(len(base)), 6):
+            copy[k] = r.choice(words)
+        rows.append((i, " ".join(copy)))
+    assert all(jaccard(t, rows[0][1]) >= 0.8 for _, t in rows)
+    assert sum(jaccard(a, b) >= 0.8 for (_, a), (_, b) in itertools.combinations(rows[1:60], 2)) < 600
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [x.doc_id for x in S.drop_similar(docs).collect()] == [0]

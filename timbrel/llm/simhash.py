@@ -70,11 +70,11 @@ def _bit(i):
     return F.call_function("shiftleft", F.lit(1).cast("long"), i)
 
 
-def ball_links(values: DataFrame, bits: int) -> DataFrame:
-    """(block, u, v): links that connect all values of a block within ``RADIUS`` bits of each other.
+def ball_buckets(values: DataFrame, bits: int) -> DataFrame:
+    """(block, variant, u): the values within one bit of a variant, for variants with two or more.
 
-    ``values`` has distinct (block, value long). Each bucket of a variant links its members to one of
-    them: both differ from the variant in at most one bit, so the link itself is within the radius.
+    ``values`` has distinct (block, value long). Any two values within two bits share a bucket, and
+    a bucket has ``bits`` + 1 values at most.
     """
     variants = values.select(
         "block", "value", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("i")
@@ -89,7 +89,18 @@ def ball_links(values: DataFrame, bits: int) -> DataFrame:
     flips = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: c("mask").bitwiseAND(_bit(i)) != 0)
     others = F.transform(flips, lambda i: c("variant").bitwiseXOR(_bit(i)))
     members = F.when(c("own") > 0, F.array_append(others, c("variant"))).otherwise(others)
-    linked = met.select("block", members.alias("m")).select("block", F.array_min("m").alias("v"), F.explode("m").alias("u"))
+    return met.select("block", "variant", F.explode(members).alias("u"))
+
+
+def ball_links(values: DataFrame, bits: int) -> DataFrame:
+    """(block, u, v): links that connect all values of a block within ``RADIUS`` bits of each other.
+
+    Each bucket links its members to the least of them: both differ from the variant in at most one
+    bit, so the link itself is within the radius.
+    """
+    buckets = materialise(ball_buckets(values, bits), "buckets")
+    hubs = buckets.groupBy("block", "variant").agg(F.min("u").alias("v"))
+    linked = buckets.join(hubs, ["block", "variant"]).select("block", "u", "v")
     return linked.where((c("u") != c("v")) & (F.bit_count(c("u").bitwiseXOR(c("v"))) <= RADIUS)).distinct()
 
 
@@ -161,33 +172,51 @@ def similar_pairs(
 
     Candidates agree within two bits in at least one of eight 32-bit blocks of a 256-bit SimHash
     over word pairs. A word replaced among forty leaves some 95 % of the pairs alone, so of eight blocks at
-    least one is that close with a probability of 0.98 at similarity 0.8 and above 0.999 at 0.9. The
-    documents of a block value are linked to two of them, values of a ball to one value; every
-    link is then verified on the exact sets. An id that occurs in several rows stands for one
-    document with the shingles of its rows together.
+    least one is that close with a probability of 0.98 at similarity 0.8 and above 0.999 at 0.9. Inside a
+    block value and a bucket no pairs are made: the documents are linked to two of them, a hub and one by
+    hash order. The hub is first the document that shares most values with others, then, in a second
+    pass, the one with most verified links, which in a group of altered copies is their original.
+    Every link is verified on the exact sets. An id that occurs in several rows stands for one document with
+    the shingles of its rows together.
     """
     prints = materialise(_block_values(docs, doc_id, text, fingerprint_words), "blocks")
-    order = F.struct(F.xxhash64("doc_id", "block").alias("h"), "doc_id")
-    heads = prints.groupBy("block", "value").agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    heads = materialise(heads.select("block", "value", c("lo.doc_id").alias("lo"), c("hi.doc_id").alias("hi")), "heads")
-    shared = prints.join(heads.where("lo <> hi"), ["block", "value"])
-    balls = materialise(ball_links(heads.select("block", "value"), BLOCK_BITS), "balls")
-    ends = heads.select("block", "value", "lo")
-    crossed = (
-        balls.join(ends.select("block", c("value").alias("u"), c("lo").alias("a")), ["block", "u"])
-        .join(ends.select("block", c("value").alias("v"), c("lo").alias("b")), ["block", "v"])
-    )
-    pairs = (
-        crossed.select("a", "b").union(shared.select(c("doc_id").alias("a"), c("lo").alias("b")))
-        .union(shared.select(c("doc_id").alias("a"), c("hi").alias("b")))
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    pairs = materialise(pairs, "candidates")
-    named = pairs.select(c("a").alias("__id")).union(pairs.select("b")).distinct()
+    sizes = prints.groupBy("block", "value").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes, "sizes")
+    buckets = materialise(ball_buckets(sizes.select("block", "value"), BLOCK_BITS), "buckets")
+    shares = prints.join(sizes.where("n > 1"), ["block", "value"]).groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    first = materialise(_hub_pairs(prints, buckets, shares), "candidates")
+    named = first.select(c("a").alias("__id")).union(first.select("b")).distinct()
     wanted = docs.select(c(doc_id).alias("__id"), c(text).alias("text")).join(named, "__id", "left_semi")
     sets = _shingle_sets(wanted, "__id", "text", words)
-    repeated = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams"))
-    sets = materialise(repeated, "sets")
+    sets = materialise(sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("grams"))).alias("grams")), "sets")
+    links = materialise(_verified(first, sets, similarity), "links")
+    degrees = links.select(c("a").alias("doc_id")).union(links.select("b")).groupBy("doc_id").agg(F.count("*").alias("weight"))
+    second = _hub_pairs(prints, buckets, degrees).join(first, ["a", "b"], "left_anti")
+    return links.union(_verified(second, sets, similarity))
+
+
+def _hub_pairs(prints: DataFrame, buckets: DataFrame, weights: DataFrame) -> DataFrame:
+    """(a, b): candidate links of the documents of a value, and of the hubs of a bucket's values."""
+    weighed = prints.join(weights, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    order = F.xxhash64("doc_id", "block").alias("h")
+    heads = weighed.groupBy("block", "value").agg(
+        F.max(F.struct("weight", order, "doc_id")).alias("hub"), F.min(F.struct(order, "doc_id")).alias("other"), F.count("*").alias("n"))
+    heads = materialise(heads.select("block", "value", "n", c("hub.weight").alias("weight"), c("hub.doc_id").alias("hub"), c("other.doc_id").alias("other")), "heads")
+    shared = prints.join(heads.where("n > 1"), ["block", "value"])
+    met = materialise(buckets.join(heads.select("block", c("value").alias("u"), "weight", "hub"), ["block", "u"]), "met")
+    hubs = met.groupBy("block", "variant").agg(F.max(F.struct("weight", "u", "hub")).alias("top"))
+    crossed = materialise(met.join(hubs, ["block", "variant"]).select("block", "u", "hub", "top"), "crossed")
+    best = crossed.groupBy("block", c("u").alias("value")).agg(F.max("top").alias("best"))
+    return (
+        crossed.select(c("hub").alias("a"), c("top.hub").alias("b"))
+        .union(prints.join(best, ["block", "value"]).select(c("doc_id").alias("a"), c("best.hub").alias("b")))
+        .union(shared.select(c("doc_id").alias("a"), c("hub").alias("b")))
+        .union(shared.select(c("doc_id").alias("a"), c("other").alias("b")))
+        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     joined = (
         pairs.join(sets.select(c("doc_id").alias("a"), c("grams").alias("x")), "a")
         .join(sets.select(c("doc_id").alias("b"), c("grams").alias("y")), "b")
