@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,12 +72,42 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_within: ContextVar[str | None] = ContextVar("steps", default=None)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """A scope whose written tables are deleted at its end.
+
+    It gives a function that writes a result outside, to be read on; nothing else that was made
+    inside may be read later.
+    """
+    outer = _within.get()
+    inner = scratch(spark, "steps")
+    token = _within.set(inner)
+
+    def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+        own = _within.set(outer)
+        try:
+            return materialise(df, name)
+        finally:
+            _within.reset(own)
+
+    try:
+        yield keep
+    finally:
+        _within.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(inner)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
     For results that are read more than once: the steps before run once, readers get column
     pruning, and a lost executor costs no recomputation.
     """
-    path = scratch(df.sparkSession, name)
+    inside = _within.get()
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
