@@ -33,18 +33,26 @@ LEAST = 24  # occurrences that make a pair frequent
 ROUNDS = 8
 
 
-def _frequent(x: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of all neighbouring pairs, and the frequent ones with their counts."""
+SLOTS = 20  # bits of the hashed count that precedes the exact one
+
+
+def _frequent(x: np.ndarray, last: np.ndarray):
+    """Frequent pairs with their counts, and the places of all of them: (pairs, counts, place, pair index)."""
     key = x[:-1] << 32 | x[1:]
     # a cheap count over hashed keys first: few of the rare pairs reach the sort
-    slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int32)
-    slot[last[:-1]] = 0
-    often = np.bincount(slot, minlength=1 << 22)
-    often[0] = 0
-    some = np.sort(key[often[slot] >= LEAST])
-    edge = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
-    n = np.diff(np.r_[edge, len(some)])
-    return key, some[edge[n >= LEAST]], n[n >= LEAST]
+    slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
+    often = np.bincount(slot, minlength=1 << SLOTS) >= LEAST
+    place = np.flatnonzero(often[slot] & ~last[:-1])
+    some = key[place]
+    ranked = np.sort(some)
+    edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+    n = np.diff(np.r_[edge, len(ranked)])
+    pairs, counts = ranked[edge[n >= LEAST]], n[n >= LEAST]
+    if not len(pairs):
+        return pairs, counts, place[:0], place[:0]
+    at = np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)
+    match = pairs[at] == some
+    return pairs, counts, place[match], at[match]
 
 
 def compress(documents: list[np.ndarray]) -> bytes:
@@ -58,25 +66,26 @@ def compress(documents: list[np.ndarray]) -> bytes:
     for _ in range(ROUNDS):
         if len(x) < 2:
             break
-        key, pairs, counts = _frequent(x, last)
+        pairs, counts, place, at = _frequent(x, last)
         if not len(pairs):
             break
-        at = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-        match = (pairs[at] == key) & ~last[:-1]
         # of overlapping pairs the more frequent goes first; among equals every other one
-        place = np.arange(len(match))
-        begin = np.maximum.accumulate(np.where(np.r_[True, ~match[:-1]], place, 0))
-        rank = np.where(match, counts[at] * 2 + ((place - begin) % 2 == 0), 0)
-        taken = match & (rank > np.r_[0, rank[:-1]]) & (rank >= np.r_[rank[1:], 0])
-        taken &= ~np.r_[False, taken[:-1]]
+        touch = np.r_[False, place[1:] == place[:-1] + 1]
+        index = np.arange(len(place))
+        begin = np.maximum.accumulate(np.where(touch, 0, index))
+        rank = counts[at] * 2 + ((index - begin) % 2 == 0)
+        before = np.where(touch, np.r_[0, rank[:-1]], 0)
+        after = np.where(np.r_[touch[1:], False], np.r_[rank[1:], 0], 0)
+        taken = (rank > before) & (rank >= after)
+        taken &= ~(touch & np.r_[False, taken[:-1]])
         used = np.bincount(at[taken], minlength=len(pairs)) >= 2
         if not used.any():
             break
         taken &= used[at]
         number = np.cumsum(used) - 1 + base + len(rules)
-        here = np.flatnonzero(taken)
+        here, at = place[taken], at[taken]
         made = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1)
-        x[here] = number[at[here]]
+        x[here] = number[at]
         last[here] = last[here + 1]
         keep = np.ones(len(x), bool)
         keep[here + 1] = False
@@ -124,6 +133,11 @@ class Block:
         lo, hi = self._bounds(i)
         return self._expand(self.symbols[lo:hi])
 
+    def all_documents(self) -> list[np.ndarray]:
+        """Every document, from one expansion of the whole block."""
+        ids = self._expand(self.symbols)
+        return np.split(ids, self.ends[:-1].astype(np.int64)) if self.documents else []
+
     def read(self, i: int, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of document ``i``: whole symbols are skipped by their expansion lengths."""
         lo, hi = self._bounds(i)
@@ -206,9 +220,10 @@ def read(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
                 block = Block(data)
                 n = np.diff(np.r_[0, block.ends.astype(np.int64)])
                 start = shared.value[shard] + offset + np.r_[0, np.cumsum(n)[:-1]]
+                every = block.all_documents()
                 for lo in range(0, block.documents, 500):
                     hi = min(block.documents, lo + 500)
-                    ids = [block.document(i) for i in range(lo, hi)]
+                    ids = every[lo:hi]
                     crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                     columns = [names.values.slice(lo, hi - lo), pa.array(start[lo:hi], pa.int64()), pa.array(n[lo:hi], pa.int64()), pa.array(crc, pa.int64())]
                     if with_ids:
