@@ -99,9 +99,9 @@ def host_of(url: Column) -> Column:
 
 def identify(
     docs: DataFrame, text: Column, declared: Column, host: Column,
-    address: bool = True, languages: tuple[str, ...] = LANGUAGES,
+    address: bool = True, languages: tuple[str, ...] = LANGUAGES, keep: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The columns of ``docs`` as a struct ``row``, with ``language``, ``probability`` and ``text_bytes``.
+    """The ``keep`` columns of ``docs`` (all by default) as a struct ``row``, with ``language``, ``probability`` and ``text_bytes``.
 
     ``address`` says that hosts are addresses whose last label is a suffix and whose last two are the
     registered domain; else hosts are plain names. Missing evidence (null or empty text, null or foreign
@@ -114,7 +114,7 @@ def identify(
     domain = F.when(F.size(labels) >= 2, F.array_join(F.slice(labels, -2, 2), ".")) if address else F.lit(None).cast("string")
     suffix = F.when(F.size(labels) >= 2, F.element_at(labels, -1)) if address else F.lit(None).cast("string")
     facts = docs.select(
-        F.struct(*(c(f"`{x}`") for x in docs.columns)).alias("row"), utf8(text).alias("text"),
+        F.struct(*(c(f"`{x}`") for x in (keep or docs.columns))).alias("row"), utf8(text).alias("text"),
         _declared_index(declared, languages).alias("said"), host.alias("host"),
         domain.alias("domain"), suffix.alias("suffix"))
     model = text_models(facts, n)

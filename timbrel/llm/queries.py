@@ -34,8 +34,8 @@ def op1(spark, folder):
     pages = table(spark, folder, "pages")
     markup = F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     body = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", " ")
-    webs = lang_id.identify(pages, body, F.nullif(markup, F.lit("")), lang_id.host_of(F.col("url")))
-    docs = lang_id.identify(table(spark, folder, "documents"), F.col("text"), F.col("lang"), F.col("source"), False)
+    webs = lang_id.identify(pages, body, F.nullif(markup, F.lit("")), lang_id.host_of(F.col("url")), keep=("page_id",))
+    docs = lang_id.identify(table(spark, folder, "documents"), F.col("text"), F.col("lang"), F.col("source"), False, keep=("doc_id",))
     said = ("language", "probability", ((F.col("language") != "und") & (F.col("probability") >= lang_id.MIN_PROBABILITY)).alias("kept"))
     return docs.select(F.col("row.doc_id"), F.lit(None).cast("long").alias("page_id"), *said).unionByName(
         webs.select(F.lit(None).cast("long").alias("doc_id"), F.col("row.page_id"), *said))
