@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timbrel.session import materialise
 
 c = F.col
+ROWS_PER_FILE = 500_000
 
 
 def _to_least(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -48,12 +49,12 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v").distinct()
     now, before = materialise(now, "edges"), None
     for _ in range(rounds):
-        now = materialise(_small(_large(now)), "edges")
-        # stars only: no target of an edge is a source, and nothing changes any more
+        # rounds only shorten the table, so its size bounds the files of the next round
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
+        now = materialise(_small(_large(now)).coalesce(1 + state[0] // ROWS_PER_FILE), "edges")
     else:
         raise RuntimeError("the components did not settle")
     stars = now.select(c("u").alias("node"), c("v").alias("component"))
