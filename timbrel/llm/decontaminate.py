@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.llm.common import lower_az, prepare
-from timbrel.session import materialise
+from timbrel.session import materialise, steps
 
 c = F.col
 WORDS, SIMILARITY = 5, 0.8
@@ -174,7 +174,9 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no window similar to a benchmark item, all columns kept."""
-    found = materialise(leaks(docs, items, doc_id, text, **options), "leaks")
-    lost = bounded(found.select(c("doc_id").alias("__lost_id"), c("text_hash").alias("__lost_text")).distinct())
+    with steps(docs.sparkSession) as keep:
+        found = leaks(docs, items, doc_id, text, **options)
+        lost = keep(found.select(c("doc_id").alias("__lost_id"), c("text_hash").alias("__lost_text")).distinct(), "leaks")
+    lost = bounded(lost)
     same = c(doc_id).eqNullSafe(c("__lost_id")) & (F.xxhash64(lower_az(c(text))) == c("__lost_text"))
     return docs.join(lost, same, "left_anti")
