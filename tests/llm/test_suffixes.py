@@ -50,8 +50,8 @@ def test_anchors_are_the_same_in_every_window(pieces, monkeypatch):
         b = b"q" + common + bytes(r.randrange(97, 105) for _ in range(r.randrange(300)))
         x, y = (t.index(common) for t in (a, b))
         ha, hb = (dict(zip(*(v.tolist() for v in S.anchors(t)))) for t in (a, b))
-        inside = {p - x for p in ha if x <= p <= x + 336}
-        other = {p - y for p in hb if y <= p <= y + 336}
+        inside = {p - x for p in ha if x <= p <= x + 400 - S.GRAM}
+        other = {p - y for p in hb if y <= p <= y + 400 - S.GRAM}
         assert inside & other
     assert len(S.anchors(b"a" * 399)[0]) == 0 and len(S.anchors(b"")[0]) == 0
 

@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by sorting sampled suffixes.
 
 A 400-byte string is removed wherever it starts more than once. Suffixes are sampled by content: of
-every 400-byte window the 64-byte gram of least hash is an anchor, so both copies of a repeated string
-hold the same anchor at the same place, and about one suffix in 170 is kept. Anchors whose whole
+every 400-byte window the 128-byte gram of least hash is an anchor, so both copies of a repeated string
+hold the same anchor at the same place, and about one suffix in 130 is kept. Anchors whose whole
 surroundings recur are settled by hash. The others are sorted twice, by what follows and by what
 precedes: sampled splitters range-partition them by leading bytes, buckets are sorted locally by
 multikey quicksort on eight-byte words, and neighbours are compared, across bucket boundaries too. That
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timbrel.llm.common import arrow_map, utf8
-from timbrel.session import materialise
+from timbrel.llm.decontaminate import bounded
+from timbrel.session import materialise, steps
 
 c = F.col
-LENGTH, GRAM = 400, 64
+LENGTH, GRAM = 400, 128
 PIECE = 1 << 20  # windows of a text that are looked at together
 BUCKET_BYTES = 24 << 20
+STEP = 50  # bytes between the offsets of the shorter strings that are looked up before sorting
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -77,7 +79,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                 at, h = anchors(data)
                 for a in at.tolist():
                     left = data[max(0, a - LENGTH + GRAM) : a]
-                    kinds.append(xxhash.xxh3_128_digest(len(left).to_bytes(2, "big") + left + data[a : a + LENGTH]))
+                    kinds.append(xxhash.xxh3_64_intdigest(len(left).to_bytes(2, "big") + left + data[a : a + LENGTH]))
                 owner.append(np.full(len(at), i))
                 places.append(at)
                 grams.append(h)
@@ -86,14 +88,15 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     b[0].take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(places), pa.int64()),
                     pa.array(np.concatenate(grams), pa.int64()), pa.array(np.concatenate(rooms).astype(np.int32)),
-                    pa.array(kinds, pa.binary()),
+                    pa.array(np.array(kinds, np.uint64).view(np.int64)),
                 ], names=["text_key", "pos", "gram", "room", "around"])
 
-    return arrow_map(texts, run, "text_key binary, pos long, gram long, room int, around binary")
+    return arrow_map(texts, run, "text_key binary, pos long, gram long, room int, around long")
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """(text_key, pos, after, before): what follows an anchor, and what precedes its gram's end, reversed."""
+    """(text_key, pos, after, before, shorter): what follows an anchor, what precedes its gram's end, reversed,
+    and hashes of strings around it, one of which any repeated string of the length must hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,13 +112,26 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     keys, places, after, before = [], [], [], []
             yield _context_batch(keys, places, after, before)
 
-    return arrow_map(texts, run, "text_key binary, pos long, after binary, before binary")
+    return arrow_map(texts, run, "text_key binary, pos long, after binary, before binary, shorter array<long>")
+
+
+def _shorter(after: bytes, before: bytes) -> list[int]:
+    """A match that begins j bytes before the anchor, o <= j < o + STEP, holds the LENGTH - STEP bytes from o before it on."""
+    left = before[GRAM:][::-1]
+    whole, out = left + after, []
+    for o in range(0, LENGTH - GRAM + 1, STEP):
+        lo = len(left) - o
+        if lo >= 0 and lo + LENGTH - STEP <= len(whole):
+            h = xxhash.xxh3_64_intdigest(whole[lo : lo + LENGTH - STEP], o)
+            out.append(h - (1 << 64) if h >> 63 else h)
+    return out
 
 
 def _context_batch(keys, places, after, before) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.binary()), pa.array(places, pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary())],
-        names=["text_key", "pos", "after", "before"])
+        [pa.array(keys, pa.binary()), pa.array(places, pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary()),
+         pa.array(list(map(_shorter, after, before)), pa.list_(pa.int64()))],
+        names=["text_key", "pos", "after", "before", "shorter"])
 
 
 def _matrix(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,12 +260,14 @@ def _windows(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(text_key, start, end): spans of repeated bytes from rows (text_key, text), overlapping ones included."""
-    rows = materialise(_anchor_rows(texts), "anchors")
-    often = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    rows = materialise(rows.join(often.select("gram"), "gram", "left_semi"), "shared-anchors")
+    with steps(texts.sparkSession) as keep:
+        found = materialise(_anchor_rows(texts), "anchors")
+        often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+        often = bounded(materialise(often, "shared-grams"))
+        rows = keep(found.join(often, "gram", "left_semi"), "shared-anchors")
     kinds = materialise(rows.groupBy("gram", "around").agg(
         F.count("*").alias("n"), F.min(F.struct("text_key", "pos")).alias("at")), "surroundings")
-    whole = rows.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"], "left_semi").select(
+    whole = rows.join(bounded(kinds.where("n > 1").select("gram", "around")), ["gram", "around"], "left_semi").select(
         "text_key", (c("pos") - F.least(c("pos"), F.lit(LENGTH - GRAM))).alias("start"), (c("pos") + c("room")).alias("end"))
     rivals = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     items = materialise(kinds.join(rivals, "gram", "left_semi").select("gram", "n", "at.text_key", "at.pos"), "items")
@@ -258,9 +276,15 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         return whole.distinct()
     wanted = items.groupBy("text_key").agg(F.collect_list("pos").alias("places"))  # at most the anchors of one text
     # copies of a text combine before the shuffle
-    distinct = texts.groupBy("text_key").agg(F.first("text").alias("text"))
-    contexts = materialise(_contexts(distinct.join(wanted, "text_key").select("text_key", "text", "places")), "contexts")
-    buckets = max(1, n_items * 2 * LENGTH // BUCKET_BYTES)
+    some = texts.join(bounded(items.select("text_key").distinct()), "text_key", "left_semi")
+    distinct = some.groupBy("text_key").agg(F.first("text").alias("text"))
+    with steps(texts.sparkSession) as keep:
+        every = materialise(_contexts(distinct.join(wanted, "text_key").select("text_key", "text", "places")), "contexts")
+        hashes = every.select("text_key", "pos", F.explode("shorter").alias("h"))
+        again = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        open_ = hashes.join(bounded(materialise(again, "shorter")), "h", "left_semi").select("text_key", "pos").distinct()
+        contexts = keep(every.drop("shorter").join(bounded(materialise(open_, "open")), ["text_key", "pos"], "left_semi"), "contexts")
+    buckets = max(1, contexts.count() * 2 * LENGTH // BUCKET_BYTES)
     to_right, to_left = _neighbours(contexts, buckets, True), _neighbours(contexts, buckets, False)
     both = to_right.select("*", c("best").alias("most_right"), F.lit(-1).cast("long").alias("most_left")).unionByName(
         to_left.select("*", F.lit(-1).cast("long").alias("most_right"), c("best").alias("most_left")))
@@ -302,9 +326,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(c(doc_id).alias("doc_id"), utf8(c(text)).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
-    spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("text_key", "text"))
-    lists = spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one text
-    joined = rows.join(lists, "text_key", "left").select("doc_id", "text", "spans")
+    with steps(docs.sparkSession) as keep:
+        spans = repeated_spans(rows.where(F.octet_length("text") >= LENGTH).select("text_key", "text"))
+        lists = keep(spans.groupBy("text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")  # of one text
+    touched = bounded(lists.select("text_key"))  # texts without spans need no shuffle
+    joined = rows.join(touched, "text_key", "left_semi").join(lists, "text_key").select("doc_id", "text", "spans").unionByName(
+        rows.join(touched, "text_key", "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
