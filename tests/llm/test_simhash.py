@@ -127,3 +127,17 @@ def test_altered_copies_of_one_original_go(spark):
     assert sum(jaccard(a, b) >= 0.8 for (_, a), (_, b) in itertools.combinations(rows[1:60], 2)) < 600
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert [x.doc_id for x in S.drop_similar(docs).collect()] == [0]
+
+
+def test_lines_repeated_a_different_number_of_times_do_not_hide_a_copy(spark):
+    """Similarity is that of sets, so repetitions change nothing."""
+    r = random.Random(15)
+    words = ["".join(r.choice("etaoinsh") for _ in range(r.randint(3, 8))) for _ in range(5000)]
+    rows = []
+    for i in range(12):
+        body, line = ([r.choice(words) for _ in range(n)] for n in (110, 12))
+        for k, times in enumerate((2, 12, 40)):
+            rows.append((3 * i + k, " ".join(body + line * times)))
+    assert all(jaccard(rows[i - i % 3][1], t) == 1 for i, (_, t) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 36, 3))

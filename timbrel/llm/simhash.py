@@ -142,12 +142,12 @@ FAR = 64
 
 
 def _wide_prints(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, f0 .. f3): a 256-bit SimHash in four longs."""
+    """(doc_id, f0 .. f3): a 256-bit SimHash of the distinct shingles in four longs."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = b"".join(majority(shingles(t, words), _wide) for t in b[1].to_pylist())
+            fps = b"".join(majority(list(set(shingles(t, words))), _wide) for t in b[1].to_pylist())
             values = np.frombuffer(fps, ">i8").astype(np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
                 [b[0], *(pa.array(values[:, i]) for i in range(4))], names=["doc_id", *FIELDS])
