@@ -141,3 +141,19 @@ def test_lines_repeated_a_different_number_of_times_do_not_hide_a_copy(spark):
     assert all(jaccard(rows[i - i % 3][1], t) == 1 for i, (_, t) in enumerate(rows))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 36, 3))
+
+
+def test_cut_and_extended_copies_go(spark):
+    """Copies just above 0.8 whose head or tail is gone, or that have a header or footer more."""
+    r = random.Random(21)
+    text = lambda n: ["".join(r.choice("etaoinsh") for _ in range(r.randint(3, 8))) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        base = text(r.choice([64, 404]))
+        n = len(base) - 4
+        cut, more = n // 5, n // 4
+        copy = [base[cut:], base[:-cut], text(more) + base, base + text(more)][i % 4]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        assert 0.8 <= jaccard(rows[-1][1], rows[-2][1]) < 0.81
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 120, 2))
