@@ -157,3 +157,18 @@ def test_cut_and_extended_copies_go(spark):
         assert 0.8 <= jaccard(rows[-1][1], rows[-2][1]) < 0.81
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 120, 2))
+
+
+def test_pairs_inside_a_loose_group_are_found(spark):
+    """Forty pairs of versions of one template: partners above 0.8, all others below, so no hub links them."""
+    r = random.Random(33)
+    text = lambda n: ["".join(r.choice("etaoinsh") for _ in range(r.randint(3, 8))) for _ in range(n)]
+    template, rows = text(330), []
+    for i in range(40):
+        own = template + text(70)
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:-1] + text(30)))]
+    links = [(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if jaccard(s, t) >= 0.8]
+    assert links == [(2 * i, 2 * i + 1) for i in range(40)]
+    assert all(jaccard(rows[0][1], t) > 0.6 for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 80, 2))

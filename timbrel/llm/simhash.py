@@ -134,6 +134,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # Signatures of shingle sets: the least of ROWS * BANDS orders of the set. Each band is a key of ROWS minima, so two
 # sets share a band with the probability similarity ** ROWS, and some band, at 0.8, with 1 - 5e-6, however they differ.
 ROWS, BANDS = 6, 40
+SMALL = 16  # documents of a key that are paired at once
+STARS = 3  # hubs of a larger key before the unlinked rest is paired
 CHUNK = 256  # shingles put in all orders at once
 SKETCH = ("s0", "s1", "s2", "s3")
 # One bit of each of the 240 minima is kept: of these 24 differ on average at similarity 0.8 (deviation 4.6).
@@ -216,6 +218,10 @@ def similar_pairs(
     1 - 5e-6 at 0.8, whether words are replaced, a part is cut off or one is appended. Every pair of documents
     that share a band is verified on the exact sets, unless other links connect it already. An id that occurs in
     several rows stands for one document with the shingles of its rows together.
+
+    Of a key with more than 16 documents the one that shares most is verified against all that no link connects
+    to it, and leaves; in a group of altered copies it is their original, which links most of them. After
+    three such turns what is still unlinked in a key is verified against all others of it.
     """
     texts = _by_document(docs, doc_id, text)
     prints = materialise(_set_prints(texts, words), "prints")
@@ -233,7 +239,22 @@ def similar_pairs(
     def check(pairs: DataFrame) -> DataFrame:
         return materialise(_verified(_close(pairs.distinct(), sketches, similarity), sets, similarity), "links")
 
-    return equal.union(check(_all_pairs(shared)))
+    links = equal.union(check(_all_pairs(shared.where(c("n") <= SMALL))))
+    weights = materialise(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")), "weights")
+    groups = materialise(shared.where(c("n") > SMALL).join(weights, "doc_id").select("key", "doc_id", "weight"), "groups")
+    for turn in range(STARS + 1):
+        if groups.isEmpty():
+            break
+        parts = _unlinked(groups, links)
+        if turn == STARS:
+            links = links.union(check(_across(parts)))
+            break
+        hubs = parts.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id", "part")).alias("hub"))
+        starred = materialise(parts.join(hubs, "key"), "starred")
+        pairs = starred.where(c("part") != c("hub.part")).select(c("doc_id").alias("a"), c("hub.doc_id").alias("b"))
+        links = links.union(check(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+        groups = starred.where(c("doc_id") != c("hub.doc_id")).select("key", "doc_id", "weight")
+    return links
 
 def _all_pairs(shared: DataFrame) -> DataFrame:
     """(a, b): every two documents of a key."""
@@ -241,6 +262,24 @@ def _all_pairs(shared: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "key").where("a < b").select("a", "b")
 
 
+def _unlinked(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` with the ``part`` that links connect each document to; only keys that hold several parts."""
+    found = components(links, "a", "b")
+    parts = materialise(groups.join(found, c("doc_id") == c("node"), "left").select(
+        *groups.columns, F.coalesce("component", "doc_id").alias("part")), "parts")
+    mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    return materialise(parts.join(mixed, "key", "left_semi"), "mixed")
+
+
+def _across(parts: DataFrame) -> DataFrame:
+    """(a, b): every two documents of different parts of a key; its largest part is not paired with itself."""
+    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"))
+    rest = parts.join(top, "key").where(c("part") != c("top.part")).select("key", c("doc_id").alias("x"), c("part").alias("own"))
+    met = rest.join(parts, "key").where(c("own") != c("part"))
+    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
+
+
 def _close(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose sketches are no farther apart than those of similar texts.
 
