@@ -203,3 +203,21 @@ def test_licence_expressions():
 
 def test_all_ten_queries_are_registered():
     assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 11))
+
+
+def test_no_two_words_or_pairs_share_a_count(spark):
+    """Words that occur once: without its own counts a document finds none, however many kinds there are."""
+    n, each = 40, 10_000
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * each + k}" for k in range(each))) for i in range(n)], "doc_id long, text string")
+    rows = M.cross_entropy_difference(docs, docs.where("doc_id < 4").select("doc_id")).collect()
+    assert len(rows) == n
+    for r in rows:
+        flat = lambda seen: -math.log(M.ADDED / (seen + M.ADDED * n * each))
+        assert r.background_loss == pytest.approx(flat((n - 1) * each))
+        assert r.target_loss == pytest.approx(flat((3 if r.doc_id < 4 else 4) * each))
+
+
+def test_cross_entropy_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(1, None), (2, " "), (3, "")], "doc_id long, text string").repartition(2)
+    rows = M.cross_entropy_difference(docs, docs.select("doc_id")).collect()
+    assert sorted(map(tuple, rows)) == [(i, 0, None, None, 0.0) for i in (1, 2, 3)]

@@ -1,8 +1,9 @@
 """Cross-entropy difference: matched bigram models of a target and of the background score each document.
 
-Both models count over the whole corpus, share one vocabulary (hashed words) and one smoothing, so
-their losses on a token are comparable. The vocabulary's size is the bound of what tasks hold,
-of what is summed and of what is broadcast, whatever the input.
+Both models count every word and word pair of the whole corpus exactly, share one vocabulary and one
+smoothing, so their losses on a token are comparable. The counts are a Spark table that grows with the
+corpus. Documents are dealt into chunks; a chunk's distinct words and pairs are joined to the
+table and come back with its texts, so a task holds one chunk.
 """
 
 from __future__ import annotations
@@ -11,22 +12,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import COUNTS, Tally, arrow_map, dense, utf8
+from timbrel.llm.common import arrow_map, utf8
 from timbrel.llm.decontaminate import bounded
+from timbrel.session import materialise
 
 c = F.col
-WORDS, PAIRS = 1 << 18, 1 << 20  # hashed words and word pairs
+WORDS = 1 << 18  # kinds of words that the smoothing counts on at least; more if the corpus has more
+CHUNK_BYTES = 16 << 20  # of text
 ADDED = 0.05  # count that every word has beforehand
 BACKOFF = 8.0  # pairs that a context takes from the unigram model
 
 
 class Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) & (WORDS - 1)
+        value = xxhash.xxh3_64_intdigest(word) - (1 << 63)
         if len(word) <= 40:
             if len(self) >= 500_000:
                 self.clear()
@@ -38,14 +43,16 @@ _ids = Ids()
 
 
 def tokens(data: bytes) -> np.ndarray:
-    """Hashed A-Z-lower-cased words between ASCII spaces."""
+    """64-bit keys of the A-Z-lower-cased words between ASCII spaces."""
     words = data.lower().split()
     return np.fromiter(map(_ids.__getitem__, words), np.int64, len(words))
 
 
 def pairs(w: np.ndarray) -> np.ndarray:
-    mixed = (w[:-1].astype(np.uint64) << np.uint64(18) | w[1:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(44)).astype(np.int64)
+    """64-bit keys of each word with the next."""
+    mixed = w[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = ((mixed ^ mixed >> np.uint64(32)) + w[1:].astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed ^ mixed >> np.uint64(29)).view(np.int64)
 
 
 def _own(at: np.ndarray) -> np.ndarray:
@@ -54,13 +61,9 @@ def _own(at: np.ndarray) -> np.ndarray:
     return n[place]
 
 
-def token_losses(w: np.ndarray, n1: np.ndarray, n2: np.ndarray, total: int, held_out: bool) -> np.ndarray:
-    """-log P of each token given the one before, without the document's own counts if ``held_out``."""
-    c1, c2 = n1[w].astype(float), n2[pairs(w)].astype(float)
-    if held_out:
-        c1, total = c1 - _own(w), total - len(w)
-        c2 = c2 - _own(pairs(w)) if len(c2) else c2
-    p1 = (c1 + ADDED) / (total + ADDED * WORDS)
+def token_losses(c1: np.ndarray, c2: np.ndarray, total: int, kinds: int) -> np.ndarray:
+    """-log P of each token given the one before, from the counts of the tokens and of the pairs they end."""
+    p1 = (c1 + ADDED) / (total + ADDED * kinds)
     p = p1.copy()
     p[1:] = (np.minimum(c2, c1[:-1]) + BACKOFF * p1[1:]) / (c1[:-1] + BACKOFF)
     return -np.log(p)
@@ -80,40 +83,73 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     rows = docs.join(chosen, c(doc_id) == c("__target"), "left").select(
         c(doc_id).alias("doc_id"), c("__target").isNotNull().alias("in_target"), utf8(c(text)).alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Tally(2, WORDS), Tally(2, PAIRS)
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part, size = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            ids = [tokens(t) for t in b[1].to_pylist()]
-            chosen = b[0].to_pylist()
-            for part, some in ((0, [w for w, x in zip(ids, chosen) if x]), (1, ids)):
-                if some:
-                    one.add(part, np.concatenate(some))
-                    two.add(part, np.concatenate([pairs(w) for w in some]))
-        yield from one.batches()
-        for x in two.batches():
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x[0]) + 2, pa.int32()), x[1], x[2]], schema=x.schema)
-
-    counted = arrow_map(rows.select("in_target", "text"), count, COUNTS)
-    n = dense(counted, 4, PAIRS)  # four arrays of bounded size
-    shared = docs.sparkSession.sparkContext.broadcast((n[0, :WORDS].copy(), n[1, :WORDS].copy(), n[2], n[3]))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t1, b1, t2, b2 = shared.value
-        t_all, b_all = int(t1.sum()), int(b1.sum())
+            chunks = []
+            for n in pa.compute.binary_length(b[2]).to_pylist():
+                if size and size + n > CHUNK_BYTES:
+                    part, size = part + 1, 0
+                size += n
+                chunks.append(task << 32 | part)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *b.columns], names=["chunk", *b.schema.names])
+
+    # written once, so that every later step sees the same chunks
+    dealt = materialise(arrow_map(rows, deal, f"chunk long, doc_id {kind}, in_target boolean, text binary"), "chunks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, chosen = None, [], []
+
+        def counted():
+            for word, keys in ((True, ids), (False, [pairs(w) for w in ids])):
+                key, place = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+                weights = np.repeat(np.array(chosen, float), [len(k) for k in keys])
+                target = np.bincount(place, weights, minlength=len(key)).astype(np.int64)
+                every = np.bincount(place, minlength=len(key))
+                for lo in range(0, len(key), 1 << 18):
+                    some = slice(lo, lo + (1 << 18))
+                    n = len(key[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, now)), pa.array(key[some]), pa.array(np.full(n, word)), pa.array(target[some]), pa.array(every[some])],
+                        names=["chunk", "key", "word", "target", "every"])
+
         for b in batches:
-            out = []
-            for chosen, data in zip(b[1].to_pylist(), b[2].to_pylist()):
-                w = tokens(data)
-                if not len(w):
-                    out.append((0, None, None, 0.0))
-                    continue
-                x = float(token_losses(w, t1, t2, t_all, chosen).mean())
-                y = float(token_losses(w, b1, b2, b_all, True).mean())
-                out.append((len(w), x, y, x - y))
-            columns = list(zip(*out)) or [[]] * 4
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [b[0], *(pa.array(x, k) for x, k in zip(columns, kinds))],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return arrow_map(rows, score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+            for chunk, x, t in zip(b[0].to_pylist(), b[1].to_pylist(), b[2].to_pylist()):
+                if chunk != now:
+                    yield from counted()
+                    now, ids, chosen = chunk, [], []
+                ids.append(tokens(t))
+                chosen.append(x)
+        yield from counted()
+
+    # a chunk that several tasks read has its keys several times; what comes back to it is made distinct
+    local = materialise(arrow_map(dealt.select("chunk", "in_target", "text"), count, "chunk long, key long, word boolean, target long, every long"), "local")
+    table = materialise(local.groupBy("key", "word").agg(F.sum("target").alias("target"), F.sum("every").alias("every")), "counts")
+    sums = table.where("word").agg(F.count("*"), F.sum("target"), F.sum("every")).first()
+    kinds, t_all, b_all = max(WORDS, sums[0]), sums[1] or 0, sums[2] or 0
+    known = local.select("chunk", "key", "word").join(table, ["key", "word"]).select("chunk", "key", "word", "target", "every")
+
+    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        word = counts["word"].to_numpy()
+        found = []
+        for some in (word, ~word):
+            key, at = np.unique(counts["key"].to_numpy()[some], return_index=True)
+            found.append((key, *(counts[x].to_numpy()[some][at] for x in ("target", "every"))))
+        (one, t1, b1), (two, t2, b2) = found
+        out = []
+        for chosen, data in zip(texts["in_target"].to_pylist(), texts["text"].to_pylist()):
+            w = tokens(data)
+            if not len(w):
+                out.append((0, None, None, 0.0))
+                continue
+            p = pairs(w)
+            i, j, own1, own2 = np.searchsorted(one, w), np.searchsorted(two, p), _own(w), _own(p)
+            x = token_losses(t1[i] - own1 * chosen, t2[j] - own2 * chosen, t_all - len(w) * chosen, kinds).mean()
+            y = token_losses(b1[i] - own1, b2[j] - own2, b_all - len(w), kinds).mean()
+            out.append((len(w), float(x), float(y), float(x - y)))
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        return pa.table([texts["doc_id"], *(pa.array(v, k) for v, k in zip(zip(*out), types))],
+                        names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
+        score, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
