@@ -217,6 +217,16 @@ def test_no_two_words_or_pairs_share_a_count(spark):
         assert r.target_loss == pytest.approx(flat((3 if r.doc_id < 4 else 4) * each))
 
 
+def test_licence_tags_on_long_lines_and_several_on_one():
+    prose = b" is what this file is under, as the notice at its head says at some length." * 500
+    found = A.scan(b"SPDX-License-Identifier: MIT" + prose)
+    assert found[5:] == ("mit", 1.0, ["mit"])
+    found = A.scan(b"SPDX-License-Identifier: MIT; then SPDX-License-Identifier: GPL-2.0" + prose + b" License-Expression: (BSD-3-Clause)\nApache-2.0")
+    assert found[5:] == ("bsd-3-clause,gpl-2.0,mit", 0.6, ["mit", "gpl-2.0", "bsd-3-clause"])
+    every = [f"x{i}" for i in range(200)]
+    assert set(A.scan(b"License-Expression: " + " or ".join(every).encode())[5].split(",")) == set(every)
+
+
 def test_cross_entropy_of_texts_without_words(spark):
     docs = spark.createDataFrame([(1, None), (2, " "), (3, "")], "doc_id long, text string").repartition(2)
     rows = M.cross_entropy_difference(docs, docs.select("doc_id")).collect()

@@ -8,7 +8,7 @@ with the number of phrases. Identifier tags lead to the expression that follows
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -50,16 +50,23 @@ TAGS = {"spdx license identifier": "tag", "license expression": "tag"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 # how free a label leaves the reader: 1 permissive, 0 reserved; others lie between
 FREEDOM = {"reserved": 0.0, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "gpl": 0.6, "agpl": 0.5, "lgpl": 0.7, "mpl": 0.7}
-EXPRESSION_BYTES = 400  # of the line after a tag; longer lines are not expressions
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-_TAG = re.compile(rb"(?:spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier|license[^0-9a-z\x80-\xff]+expression)[^0-9a-z\x80-\xff\n(]*(\(*[^\n]*)")
+_TAG = re.compile(
+    rb"(?<![0-9a-z\x80-\xff])(?:spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier|license[^0-9a-z\x80-\xff]+expression)"
+    rb"(?![0-9a-z\x80-\xff])[^0-9a-z\x80-\xff\n(]*")
 _PART = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
+_PART_BYTES = re.compile(_PART.pattern.encode())
 
 
 def postfix(expression: str) -> list[str]:
     """Shunting-yard: the expression in postfix order; empty if it is malformed or ends early."""
+    return _postfix(_PART.findall(expression.lower()))
+
+
+def _postfix(parts: Iterable[str]) -> list[str]:
+    """Reads ``parts`` only as far as the expression goes."""
     out, ops, operand_next = [], [], True
-    for part in _PART.findall(expression.lower()):
+    for part in parts:
         if part == "(":
             if not operand_next:
                 break
@@ -90,8 +97,12 @@ def postfix(expression: str) -> list[str]:
 def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
     """The licences an expression names and how free it leaves the reader: ``or`` lets one choose the freest,
     ``and`` binds to all, ``with`` adds an exception to its licence. None if it is malformed."""
+    return _value(postfix(expression))
+
+
+def _value(parts: list[str]) -> tuple[frozenset[str], float] | None:
     stack: list[tuple[frozenset[str], float]] = []
-    for part in postfix(expression):
+    for part in parts:
         if part not in PRECEDENCE:
             stack.append((frozenset([part]), freedom(part)))
             continue
@@ -117,6 +128,15 @@ def automaton() -> ahocorasick.Automaton:
     return made
 
 
+def _expressions(low: bytes) -> Iterator[list[str]]:
+    """What follows each tag, in postfix order: up to prose, the end of the line or the next tag."""
+    tags = list(_TAG.finditer(low))
+    for tag, following in zip(tags, [*(m.start() for m in tags[1:]), len(low)]):
+        line = low.find(b"\n", tag.end(), following)
+        parts = _PART_BYTES.finditer(low, tag.end(), following if line < 0 else line)
+        yield _postfix(m[0].decode() for m in parts)
+
+
 def scan(data: bytes) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of one text."""
     words = data.translate(_FOLD).split()
@@ -133,13 +153,12 @@ def scan(data: bytes) -> tuple:
             labels.add(NOTICES[phrase])
     least, found = 1.0, []
     if tagged:
-        for m in _TAG.finditer(data.lower()):
-            text = m[1].decode("utf-8", "replace")
-            value = evaluate(text) if len(text) <= EXPRESSION_BYTES else None
+        for parts in _expressions(data.lower()):
+            value = _value(parts)
             if value:
                 labels |= value[0]
                 least = min(least, value[1])
-                found.append(" ".join(postfix(text)))
+                found.append(" ".join(parts))
     labels |= base
     score = min([least, *map(freedom, labels)]) if labels else 0.5
     at = [line.count(" ", 0, x) for x in (min(starts), max(starts))] if starts else [None, None]
