@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,3 +113,14 @@ def test_files_against_the_library(spark, library, texts):
         assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         start += r.n_tokens
     assert R.read(R.write(docs.limit(0), PATH)).collect() == []
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    r = np.random.default_rng(9)
+    line, passage = r.integers(3, 50_000, 37), r.integers(3, 50_000, 3000)
+    docs = [np.tile(line, 3000).astype(np.uint32), *(passage.astype(np.uint32) for _ in range(30)), np.full(70_000, 7, np.uint32)]
+    block = R.Block(R.compress(docs))
+    assert all((a == b).all() for a, b in zip(block.all_documents(), docs))
+    assert block.lengths.max() > 2000
+    pairs = Counter(p for i in range(len(docs)) for s in [block.symbols[slice(*block._bounds(i))].tolist()] for p in zip(s, s[1:]))
+    assert max(pairs.values(), default=0) < R.LEAST

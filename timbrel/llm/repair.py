@@ -30,7 +30,6 @@ MAGIC = b"RPR1"
 END = 2  # closes every document
 BLOCK_IDS = 1 << 20  # a block ends with the document that reaches this
 LEAST = 24  # occurrences that make a pair frequent
-ROUNDS = 8
 
 
 SLOTS = 20  # bits of the hashed count that precedes the exact one
@@ -63,9 +62,7 @@ def compress(documents: list[np.ndarray]) -> bytes:
     last = np.zeros(len(x), bool)
     last[ends[ends > 0] - 1] = True
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(ROUNDS):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         pairs, counts, place, at = _frequent(x, last)
         if not len(pairs):
             break
