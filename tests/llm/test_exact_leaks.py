@@ -6,6 +6,7 @@ import pytest
 
 from timbrel.llm import decontaminate as D
 from timbrel.llm import exact as E
+from timbrel.llm import queries
 
 
 def low(t):
@@ -109,3 +110,11 @@ def test_leak_edges(spark):
     assert [x.text for x in D.drop_leaks(docs, bench).collect()] == ["clean text of no interest"]
     assert D.leaks(docs.limit(0), bench).collect() == [] and D.leaks(docs, bench.limit(0)).collect() == []
     assert D.drop_leaks(docs, bench.limit(0)).count() == 4
+
+
+def test_leaks_of_the_given_tables(spark, folder):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    found = queries.QUERIES["op10_benchmark_decontamination"](spark, folder).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start) for r in found} == {k: (round(j, 9), s) for k, (j, s) in want.items()}

@@ -28,8 +28,8 @@ c = F.col
 
 # The published pattern of this tokenizer, and the characters it takes for white space.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHED = 1_000_000  # pieces kept per worker; beyond it the cache starts anew
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CACHED = 100_000  # pieces that each of the two caches of a worker keeps, about 15 MB; beyond it the cache starts anew
 CACHED_LENGTH = 48
 
 
