@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from timbrel.llm import bpe, decontaminate, exact, lang_id, licences, lm_score, quality, repair, simhash, suffixes
+from timbrel.llm import bpe, decontaminate, exact, lang_id, licences, lm_score, periods, quality, repair, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -101,3 +101,14 @@ def op9(spark, folder):
 def op10(spark, folder):
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "start", "similarity")
+
+
+@query("op13_periodic_runs")
+def op13(spark, folder):
+    """Every document's periodic runs, with every tenth document made periodic by the checksum of its id."""
+    found = periods.periodic_runs(periods.with_planted_runs(table(spark, folder, "documents")))
+    best = found.withColumn("best", periods.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periods.run_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
