@@ -61,6 +61,8 @@ def brute(docs, items, least=0.8):
                 continue
             k = min(5, len(v))
             g, h = grams(w, k), grams(v, k)
+            if not set(g) & set(h):  # similarity zero everywhere
+                continue
             for s in range(max(1, len(g) - len(h) + 1)):
                 x, y = Counter(g[s : s + len(h)]), Counter(h)
                 both = sum((x & y).values())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from timbrel.llm import bpe, decontaminate, exact, lang_id, licences, lm_score, periods, quality, repair, simhash, suffixes
+from timbrel.llm import align, bpe, decontaminate, exact, lang_id, licences, lm_score, periods, quality, repair, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,6 +103,20 @@ def op10(spark, folder):
     return found.select("doc_id", "item_id", "start", "similarity")
 
 
+def alignment(docs: DataFrame) -> DataFrame:
+    """The links of both tokenizers with the groups reduced to their digest."""
+    def digest(found: DataFrame) -> DataFrame:
+        sha = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+        return found.withColumn("groups_sha256", sha).drop("groups")
+
+    return align.link_strength(docs, bpe.vocabulary_file(), bpe.vocabulary_file("piece_bpe_32k.model"), digest=digest).drop("pairs", "times")
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark, folder):
+    return alignment(table(spark, folder, "documents"))
+
+
 @query("op13_periodic_runs")
 def op13(spark, folder):
     """Every document's periodic runs, with every tenth document made periodic by the checksum of its id."""
