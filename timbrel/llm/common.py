@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timbrel.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Arrow batches stay small whatever the length of texts; the rest lets Spark split hot join keys.
@@ -95,3 +98,15 @@ def dense(counts: DataFrame, parts: int, size: int) -> np.ndarray:
     table = summed(counts).toArrow()
     out[table["part"].to_numpy(), table["bucket"].to_numpy()] = table["n"].to_numpy()
     return out
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, and the files of the shuffles behind it given back.
+
+    Spark deletes a shuffle's files when the driver's collector finds that nothing refers to it any more, by
+    itself only every half hour (``spark.cleaner.periodicGC.interval``); a job of many levels asks after each one.
+    """
+    out = materialise(df, name)
+    gc.collect()
+    df.sparkSession._jvm.java.lang.System.gc()
+    return out

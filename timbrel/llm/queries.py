@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from timbrel.llm import align, bpe, decontaminate, exact, lang_id, licences, lm_score, periods, quality, repair, simhash, suffixes
+from timbrel.llm import align, bpe, decontaminate, exact, lang_id, licences, lm_score, periods, quality, repair, simhash, suffixes, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,6 +103,12 @@ def op10(spark, folder):
     return found.select("doc_id", "item_id", "start", "similarity")
 
 
+@query("op11_substring_dedup")
+def op11(spark, folder):
+    found = windows.drop_repeats(table(spark, folder, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def alignment(docs: DataFrame) -> DataFrame:
     """The links of both tokenizers with the groups reduced to their digest."""
     def digest(found: DataFrame) -> DataFrame:
