@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from timbrel.llm import queries
@@ -38,6 +39,22 @@ def texts(r):
     return [t if t is None or isinstance(t, str) else " ".join(t) for t in out]
 
 
+def test_words_and_joined():
+    rows = ["", " a  bb\tc ", "é\xa0x\n", "  ", "w" * 200 + " " + "w" * 201, "a", "bb c"]
+    b = W.Words(pa.array(["zz", *(t.encode() for t in rows)], pa.binary()).slice(1))
+    lists = [t.encode().split() for t in rows]
+    assert b.sizes.tolist() == [len(w) for w in lists]
+    assert [b.data[lo:hi].tobytes() for lo, hi in zip(b.begin, b.end)] == [w for x in lists for w in x]
+    flat = [w for x in lists for w in x]
+    assert len(set(b.keys.tolist())) == len(set(flat)) and all((b.keys[i] == b.keys[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+    for mask in (np.ones(len(flat), bool), np.zeros(len(flat), bool), np.arange(len(flat)) % 2 == 0, np.arange(len(flat)) % 3 > 0):
+        keep, want = iter(mask), []
+        for x in lists:
+            want.append(b" ".join([w for w in x if next(keep)]))
+        assert b.joined(mask).to_pylist() == want
+    assert W.Words(pa.array([], pa.binary())).sizes.tolist() == []
+
+
 def test_strings_and_least_positions():
     w = np.arange(1, 60, dtype=np.uint64)
     for k in (1, 2, 3, 5, 10, 20):
@@ -50,9 +67,9 @@ def test_strings_and_least_positions():
     assert len(W.strings(w[:3], 5)) == 0
 
 
-@pytest.mark.parametrize("length,words", [(20, 1 << 18), (8, 1 << 18), (20, 60)])
-def test_against_brute_force(spark, length, words, monkeypatch):
-    monkeypatch.setattr(W, "BATCH_WORDS", words)
+@pytest.mark.parametrize("length,size", [(20, 1 << 20), (8, 1 << 20), (20, 300)])
+def test_against_brute_force(spark, length, size, monkeypatch):
+    monkeypatch.setattr(W, "BATCH_BYTES", size)
     rows = list(enumerate(texts(random.Random(6))))
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame([(i, t, 5, "k") for i, t in rows], "doc_id long, text string, places int, kept string").repartition(3)
