@@ -86,11 +86,15 @@ def test_segments_join_to_the_whole_encoding(libraries):
 
 
 def test_coarse_cuts_and_decoded_bytes():
-    assert A.token_ends(b"abc", [(0, 1), (1, 3)], [b"a", b"bc"]) == [1, 3]
-    assert A.token_ends("é".encode(), [(0, 2), (0, 2)], ["é".encode()[:1], "é".encode()[1:]]) == [1, 2]
-    assert A.token_ends(b" \xf0\x9f", [(0, 1), (1, 1), (1, 3)], [b" ", b"\xf0", b"\x9f"]) == [1, 2, 3]
-    assert A.token_ends(b"ab", [(0, 2), (2, 2)], [b"a", b"b"]) == [1, 2]  # spans that the bytes correct
-    assert A.token_ends(b"ab", [(0, 1)], [b"a"]) is None
+    def ends(raw, spans, tokens):
+        found = A.token_ends(raw, *A.np.array(spans).T, tokens)
+        return found if found is None else found.tolist()
+
+    assert ends(b"abc", [(0, 1), (1, 3)], [b"a", b"bc"]) == [1, 3]
+    assert ends("é".encode(), [(0, 2), (0, 2)], ["é".encode()[:1], "é".encode()[1:]]) == [1, 2]
+    assert ends(b" \xf0\x9f", [(0, 1), (1, 1), (1, 3)], [b" ", b"\xf0", b"\x9f"]) == [1, 2, 3]
+    assert ends(b"ab", [(0, 2), (2, 2)], [b"a", b"b"]) == [1, 2]  # ranges that the bytes correct
+    assert ends(b"ab", [(0, 1)], [b"a"]) is None
 
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

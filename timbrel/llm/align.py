@@ -13,8 +13,10 @@ which the vocabulary is asked for); a segment that comes again is not encoded ag
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from timbrel.llm.common import arrow_map, utf8
 from timbrel.session import materialise
 
 c = F.col
-CACHED = 60_000  # segments that each side keeps in a worker, about 15 MB; beyond it the store starts anew
+CACHED = 100_000  # segments that each side keeps in a worker, about 25 MB; beyond it the store starts anew
 CACHED_LENGTH = 48
 BATCH_BYTES = 2 << 20  # texts are aligned together up to so many bytes; a longer one alone
 FREQUENT = 500_000  # pairs that at most are broadcast: those with at least 1 / FREQUENT of all links
@@ -37,36 +39,59 @@ B_BITS = 15  # ids of B in a pair's number
 Piece = tuple[bytes, bytes] | None  # ids and byte lengths as uint32, None where the bytes differ from the text
 
 
-def token_ends(raw: bytes, spans: list[tuple[int, int]], tokens: list[bytes]) -> list[int] | None:
+def token_ends(raw: bytes, begin: np.ndarray, end: np.ndarray, tokens: list[bytes]) -> np.ndarray | None:
     """Where each token ends in ``raw``; None if the tokens' bytes are not ``raw``.
 
-    ``spans`` are byte ranges by which a tokenizer says what a token covers. A token whose range meets no
-    other is taken by it; tokens of overlapping or empty ranges share theirs and are placed by their own bytes.
+    ``begin`` and ``end`` are the byte ranges that a tokenizer says its tokens cover. A token whose range meets no
+    other's ends where the range does; tokens of overlapping or empty ranges are placed by their own bytes.
     """
     if b"".join(tokens) != raw:
         return None
-    ends, at, i, n = [], 0, 0, len(tokens)
-    while i < n:
-        stop, j = spans[i][1], i + 1
-        while j < n and (spans[j][0] < stop or stop <= at or spans[j][1] <= stop):
-            stop, j = max(stop, spans[j][1]), j + 1
-        inside = len(ends)
-        for token in tokens[i:j]:
-            at += len(token)
-            ends.append(at)
-        if at != stop or raw[ends[inside - 1] if inside else 0 : at] != b"".join(tokens[i:j]):
-            break  # spans that do not fit the bytes: the bytes alone decide
-        i = j
-    else:
-        return ends
-    return np.cumsum([len(t) for t in tokens]).tolist()
-
-
-def piece(ids: list[int], ends: list[int] | None) -> Piece:
-    return None if ends is None else (np.array(ids, "<u4").tobytes(), np.diff(ends, prepend=0).astype("<u4").tobytes())
-
-
-class ByteLevel:
+    own = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+    alone = end > begin
+    alone[1:] &= begin[1:] >= np.maximum.accumulate(end)[:-1]
+    alone[:-1] &= np.minimum.accumulate(begin[::-1])[::-1][1:] >= end[:-1]
+    ends = np.where(alone, end, own)
+    return ends if np.array_equal(ends, own) else own  # where ranges do not fit the bytes, the bytes decide
+
+
+def pieces(segments: list[bytes], ids: np.ndarray, ends: np.ndarray | None) -> list[Piece] | None:
+    """The tokens of segments that were encoded together; None if a token reaches over an edge or bytes differ."""
+    if ends is None:
+        return None
+    stops = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
+    last = np.searchsorted(ends, stops)
+    if len(segments) and (last[-1] >= len(ends) or not np.array_equal(ends[last], stops)):
+        return None
+    flat, sizes = ids.astype("<u4").tobytes(), np.diff(ends, prepend=0).astype("<u4").tobytes()
+    cuts = [0, *((last + 1) * 4).tolist()]
+    return [(flat[lo:hi], sizes[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
+
+
+class Side:
+    """A tokenizer that encodes many segments in one call, and singly those that such a call would change."""
+
+    segments: re.Pattern
+    bytes: dict[int, bytes] | list[bytes]
+
+    def encode(self, segments: list[str]) -> dict[str, Piece]:
+        joint = [s for s in segments if not self.single(s)]
+        out = {s: self._encode([s]) for s in segments if self.single(s)}
+        found = self._encode(joint)
+        if found is None:  # some segment's bytes differ from its text: it is looked for
+            out |= {s: self._encode([s]) for s in joint}
+        else:
+            out |= {s: [x] for s, x in zip(joint, found)}
+        return {s: x and x[0] for s, x in out.items()}
+
+    def _encode(self, segments: list[str]) -> list[Piece] | None:
+        text = "".join(segments)
+        ids, begin, end = self.tokens(text) if text else (np.zeros(0, np.int64),) * 3
+        raw = [s.encode() for s in segments]
+        return pieces(raw, ids, token_ends(b"".join(raw), begin, end, [self.bytes[i] for i in ids.tolist()]))
+
+
+class ByteLevel(Side):
     """Segments by a byte-level BPE file: white space with the word after it."""
 
     segments = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
@@ -81,16 +106,20 @@ class ByteLevel:
             i: bytes(letters[x] for x in t) if all(x in letters for x in t) else t.encode()
             for t, i in self.library.get_vocab().items()}
 
-    def encode(self, segments: list[str]) -> Iterator[Piece]:
-        for text, found in zip(segments, self.library.encode_batch(segments, add_special_tokens=False)):
-            raw, spans = text.encode(), found.offsets
-            if len(raw) != len(text):
-                at = np.cumsum([0, *(len(x.encode()) for x in text)]).tolist()
-                spans = [(at[a], at[b]) for a, b in spans]
-            yield piece(found.ids, token_ends(raw, spans, [self.bytes[i] for i in found.ids]))
+    def single(self, segment: str) -> bool:
+        """White space alone would run on into the next segment's."""
+        return segment[-1] in SPACES
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.library.encode(text, add_special_tokens=False)
+        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+        if not text.isascii():  # characters to bytes
+            code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+            spans = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])[spans]
+        return np.array(found.ids, np.int64), spans[:, 0], spans[:, 1]
 
 
-class Pieces:
+class Pieces(Side):
     """Segments by a sentencepiece file: spaces with what follows up to the next space."""
 
     segments = re.compile(" +[^ ]*")
@@ -105,39 +134,42 @@ class Pieces:
             for i, x in enumerate(names)]
         self.blank = self.library.piece_to_id("▁")
 
-    def encode(self, segments: list[str]) -> Iterator[Piece]:
-        # the model adds the first space of a segment itself, and nothing to an empty text
-        for text, proto in zip(segments, self.library.encode([x[1:] for x in segments], return_type="proto")):
-            found = [(x.id, x.begin, x.end) for x in proto.pieces]
-            ids = [x[0] for x in found] if len(text) > 1 else [self.blank]
-            spans = [(a + (i > 0), b + 1) for i, (_, a, b) in enumerate(found)] or [(0, 1)]
-            yield piece(ids, token_ends(text.encode(), spans, [self.bytes[i] for i in ids]))
+    def single(self, segment: str) -> bool:
+        """Spaces alone would run on into the next segment's; the letter for a space is not the text's own."""
+        return segment[-1] == " " or "▁" in segment
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if text == " ":  # the model adds no space to an empty text
+            return np.array([self.blank]), np.array([0]), np.array([1])
+        # the first space is the one that the model adds itself; its spans count the text's bytes without it
+        found = np.array([(x.id, x.begin, x.end) for x in self.library.encode(text[1:], return_type="proto", num_threads=1).pieces], np.int64)
+        begin, end = found[:, 1] + 1, found[:, 2] + 1
+        begin[0] = 0
+        return found[:, 0], begin, end
 
 
 class Store:
-    """What segments encode to; a bounded number is kept from one batch to the next."""
+    """What segments encode to; those that came more than once in a batch are kept, a bounded number of them."""
 
-    def __init__(self, side: ByteLevel | Pieces):
+    def __init__(self, side: Side):
         self.side, self.kept = side, {}
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids and token lengths per text, None where the bytes differ from the text's."""
         cut = self.side.segments.findall
         lists = [cut(t) for t in texts]
-        known = self.kept
-        new = list({s: None for x in lists for s in x if s not in known})
-        if len(known) + len(new) > CACHED:
-            self.kept = known = {}
-            new = list(dict.fromkeys(s for x in lists for s in x))
-        made = dict(zip(new, self.side.encode(new)))
-        both = known | made
+        times = Counter(chain.from_iterable(lists))
+        made = self.side.encode([s for s in times if s not in self.kept])
+        both = self.kept | made
         out = []
         for x in lists:
             found = [both[s] for s in x]
             out.append(None if None in found else tuple(map(b"".join, zip(*found))) if found else (b"", b""))
-        for s in new:
-            if len(s) <= CACHED_LENGTH and len(known) < CACHED:
-                known[s] = made[s]
+        again = {s: v for s, v in made.items() if times[s] > 1 and len(s) <= CACHED_LENGTH}
+        if len(self.kept) + len(again) > CACHED:
+            self.kept = {}
+        if len(again) <= CACHED:
+            self.kept |= again
         return out
 
 
@@ -175,9 +207,11 @@ def aligned(a: list[tuple[bytes, bytes] | None], b: list[tuple[bytes, bytes] | N
     n_a, n_b = count(a), count(b)
     ids_a, ids_b, ends_a, ends_b = join(a, 0), join(b, 0), np.cumsum(join(a, 1)), np.cumsum(join(b, 1))
     doc_a, doc_b = (np.repeat(np.arange(len(a)), n) for n in (n_a, n_b))
-    ends = np.union1d(ends_a, ends_b)
+    every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+    again = np.zeros(len(every), bool)
+    again[1:] = every[1:] == every[:-1]
+    ends, both = every[~again], every[again]
     i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
     n = len(a)
     n_links = np.bincount(doc_a[i], minlength=n)
     last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
@@ -190,7 +224,9 @@ def aligned(a: list[tuple[bytes, bytes] | None], b: list[tuple[bytes, bytes] | N
     ids, marks, doc = (np.concatenate(x)[order] for x in ((ids_a, ids_b), (marks_a, marks_b), (doc_a, doc_b)))
     bound = np.searchsorted(doc, np.arange(n + 1))
     texts = [written().text(ids[lo:hi], marks[lo:hi])[:-1] for lo, hi in zip(bound, bound[1:])]
-    key, times = np.unique(doc_a[i] << 40 | ids_a[i] << B_BITS | ids_b[j], return_counts=True)
+    links = np.sort(doc_a[i] << 40 | ids_a[i] << B_BITS | ids_b[j])
+    first = np.flatnonzero(np.concatenate([[True], links[1:] != links[:-1]])) if len(links) else np.zeros(0, np.int64)
+    key, times = links[first], np.diff(first, append=len(links))
     return n_a, n_b, n_groups, n_links, texts, np.bincount(key >> 40, minlength=n), key & ((1 << 40) - 1), times
 
 
