@@ -6,14 +6,14 @@ tokens stand alone on a stretch of text. Where several tokens share characters -
 byte-fallback tokens - the decoded bytes of the tokens place the cuts inside. Tokens whose byte ranges overlap are
 linked, and byte offsets where tokens of both end cut a text into groups.
 
-Texts are read in segments at which both tokenizers are known to cut (runs of white space for A, of spaces for B,
-which the vocabulary is asked for); a segment that comes again is not encoded again.
+Texts are read in segments at whose edges both tokenizers are known to cut: before spaces that follow no other
+white space. Groups and links therefore stay inside a segment, and one that comes again is not aligned again.
 """
 
 from __future__ import annotations
 
+import gc
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,14 +30,13 @@ from timbrel.llm.common import arrow_map, utf8
 from timbrel.session import materialise
 
 c = F.col
-CACHED = 100_000  # segments that each side keeps in a worker, about 25 MB; beyond it the store starts anew
+CACHED = 120_000  # segments after which a worker's store begins a new generation; it keeps two, about 80 MB
 CACHED_LENGTH = 48
-BATCH_BYTES = 2 << 20  # texts are aligned together up to so many bytes; a longer one alone
+BATCH_BYTES = 4 << 20  # texts are aligned together up to so many bytes; a longer one alone
 FREQUENT = 500_000  # pairs that at most are broadcast: those with at least 1 / FREQUENT of all links
 B_BITS = 15  # ids of B in a pair's number
-
-Piece = tuple[bytes, bytes] | None  # ids and byte lengths as uint32, None where the bytes differ from the text
-
+OTHER_SPACES = SPACES.replace(" ", "")
+SEGMENTS = re.compile(f" +[^ ]*(?:(?<=[{OTHER_SPACES}]) +[^ ]*)*")
 
 def token_ends(raw: bytes, begin: np.ndarray, end: np.ndarray, tokens: list[bytes]) -> np.ndarray | None:
     """Where each token ends in ``raw``; None if the tokens' bytes are not ``raw``.
@@ -55,46 +54,20 @@ def token_ends(raw: bytes, begin: np.ndarray, end: np.ndarray, tokens: list[byte
     return ends if np.array_equal(ends, own) else own  # where ranges do not fit the bytes, the bytes decide
 
 
-def pieces(segments: list[bytes], ids: np.ndarray, ends: np.ndarray | None) -> list[Piece] | None:
-    """The tokens of segments that were encoded together; None if a token reaches over an edge or bytes differ."""
-    if ends is None:
-        return None
-    stops = np.cumsum(np.fromiter(map(len, segments), np.int64, len(segments)))
-    last = np.searchsorted(ends, stops)
-    if len(segments) and (last[-1] >= len(ends) or not np.array_equal(ends[last], stops)):
-        return None
-    flat, sizes = ids.astype("<u4").tobytes(), np.diff(ends, prepend=0).astype("<u4").tobytes()
-    cuts = [0, *((last + 1) * 4).tolist()]
-    return [(flat[lo:hi], sizes[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
-
-
 class Side:
-    """A tokenizer that encodes many segments in one call, and singly those that such a call would change."""
+    """A tokenizer with the bytes of its tokens."""
 
-    segments: re.Pattern
     bytes: dict[int, bytes] | list[bytes]
 
-    def encode(self, segments: list[str]) -> dict[str, Piece]:
-        joint = [s for s in segments if not self.single(s)]
-        out = {s: self._encode([s]) for s in segments if self.single(s)}
-        found = self._encode(joint)
-        if found is None:  # some segment's bytes differ from its text: it is looked for
-            out |= {s: self._encode([s]) for s in joint}
-        else:
-            out |= {s: [x] for s, x in zip(joint, found)}
-        return {s: x and x[0] for s, x in out.items()}
-
-    def _encode(self, segments: list[str]) -> list[Piece] | None:
-        text = "".join(segments)
-        ids, begin, end = self.tokens(text) if text else (np.zeros(0, np.int64),) * 3
-        raw = [s.encode() for s in segments]
-        return pieces(raw, ids, token_ends(b"".join(raw), begin, end, [self.bytes[i] for i in ids.tolist()]))
+    def encode(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and ends of the tokens of ``text``, None where their bytes are not ``raw``."""
+        ids, begin, end = self.tokens(text)
+        ends = token_ends(raw, begin, end, [self.bytes[i] for i in ids.tolist()])
+        return None if ends is None else (ids, ends)
 
 
 class ByteLevel(Side):
-    """Segments by a byte-level BPE file: white space with the word after it."""
-
-    segments = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+    """A byte-level BPE file; spans are those of the library's offsets."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
@@ -106,13 +79,9 @@ class ByteLevel(Side):
             i: bytes(letters[x] for x in t) if all(x in letters for x in t) else t.encode()
             for t, i in self.library.get_vocab().items()}
 
-    def single(self, segment: str) -> bool:
-        """White space alone would run on into the next segment's."""
-        return segment[-1] in SPACES
-
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = self.library.encode(text, add_special_tokens=False)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
         if not text.isascii():  # characters to bytes
             code = np.frombuffer(text.encode("utf-32-le"), "<u4")
             spans = np.concatenate([[0], np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))])[spans]
@@ -120,9 +89,7 @@ class ByteLevel(Side):
 
 
 class Pieces(Side):
-    """Segments by a sentencepiece file: spaces with what follows up to the next space."""
-
-    segments = re.compile(" +[^ ]*")
+    """A sentencepiece file; spans are those of the library's proto."""
 
     def __init__(self, path: str):
         self.library = SentencePieceProcessor(model_file=path)
@@ -134,50 +101,17 @@ class Pieces(Side):
             for i, x in enumerate(names)]
         self.blank = self.library.piece_to_id("▁")
 
-    def single(self, segment: str) -> bool:
-        """Spaces alone would run on into the next segment's; the letter for a space is not the text's own."""
-        return segment[-1] == " " or "▁" in segment
-
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if text == " ":  # the model adds no space to an empty text
             return np.array([self.blank]), np.array([0]), np.array([1])
         # the first space is the one that the model adds itself; its spans count the text's bytes without it
-        found = np.array([(x.id, x.begin, x.end) for x in self.library.encode(text[1:], return_type="proto", num_threads=1).pieces], np.int64)
+        proto = self.library.encode(text[1:], return_type="proto", num_threads=1).pieces
+        found = np.fromiter(chain.from_iterable([(x.id, x.begin, x.end) for x in proto]), np.int64).reshape(-1, 3)
         begin, end = found[:, 1] + 1, found[:, 2] + 1
         begin[0] = 0
         return found[:, 0], begin, end
 
 
-class Store:
-    """What segments encode to; those that came more than once in a batch are kept, a bounded number of them."""
-
-    def __init__(self, side: Side):
-        self.side, self.kept = side, {}
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids and token lengths per text, None where the bytes differ from the text's."""
-        cut = self.side.segments.findall
-        lists = [cut(t) for t in texts]
-        times = Counter(chain.from_iterable(lists))
-        made = self.side.encode([s for s in times if s not in self.kept])
-        both = self.kept | made
-        out = []
-        for x in lists:
-            found = [both[s] for s in x]
-            out.append(None if None in found else tuple(map(b"".join, zip(*found))) if found else (b"", b""))
-        again = {s: v for s, v in made.items() if times[s] > 1 and len(s) <= CACHED_LENGTH}
-        if len(self.kept) + len(again) > CACHED:
-            self.kept = {}
-        if len(again) <= CACHED:
-            self.kept |= again
-        return out
-
-
-@lru_cache(maxsize=2)
-def stores(a: str, b: str) -> tuple[Store, Store]:
-    return Store(ByteLevel(a)), Store(Pieces(b))
-
-
 class Written:
     """Decimal ids with the mark that follows them, for both sides."""
 
@@ -185,8 +119,8 @@ class Written:
         digits = [str(i) for i in range(ids)]
         self.size, self.table = ids, [d + mark for mark in (",", "|", ";") for d in digits]
 
-    def text(self, ids: np.ndarray, marks: np.ndarray) -> str:
-        return "".join(map(self.table.__getitem__, (marks * self.size + ids).tolist()))
+    def tokens(self, ids: np.ndarray, marks: np.ndarray) -> list[str]:
+        return [self.table[i] for i in (marks * self.size + ids).tolist()]
 
 
 @lru_cache(maxsize=1)
@@ -194,40 +128,88 @@ def written() -> Written:
     return Written()
 
 
-def aligned(a: list[tuple[bytes, bytes] | None], b: list[tuple[bytes, bytes] | None]) -> tuple:
-    """Per text: numbers of A and B tokens, groups and links, the groups' text; and all pairs with their numbers of links.
+# numbers of A and B tokens in one number, the groups' text, and the links' pairs as int32
+Entry = tuple[int, str, bytes] | None
+HALF = 31
+
+
+def entries(a: Side, b: Side, segments: list[str]) -> list[Entry]:
+    """The alignment of each segment, None where tokens' bytes differ from it. Segments are encoded in one text.
 
-    Links and groups of all texts come from one pass: the tokens of both sides end at ascending offsets, and
-    every stretch between two neighbouring ends lies in one token of each side, which is one link.
+    The tokens of both sides end at ascending offsets, and every stretch between two neighbouring ends lies in one token
+    of each side, which is one link.
     """
-    none = (b"", b"")
-    a, b = zip(*((x, y) if x and y and len(x[0]) and len(y[0]) else (none, none) for x, y in zip(a, b))) if a else ((), ())
-    count = lambda side: np.array([len(x[0]) // 4 for x in side], np.int64)
-    join = lambda side, k: np.frombuffer(b"".join(x[k] for x in side), "<u4").astype(np.int64)
-    n_a, n_b = count(a), count(b)
-    ids_a, ids_b, ends_a, ends_b = join(a, 0), join(b, 0), np.cumsum(join(a, 1)), np.cumsum(join(b, 1))
-    doc_a, doc_b = (np.repeat(np.arange(len(a)), n) for n in (n_a, n_b))
+    if not segments:
+        return []
+    parts = [s.encode() for s in segments]
+    text, raw = "".join(segments), b"".join(parts)
+    found = [a.encode(text, raw), b.encode(text, raw)]
+    stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+    fits = lambda x: x is not None and np.isin(stops, x[1], assume_unique=True).all()
+    if not all(map(fits, found)):  # some segment differs: it is looked for
+        return [e for s in segments for e in entries(a, b, [s])] if len(segments) > 1 else [None]
+    (ids_a, ends_a), (ids_b, ends_b) = found
     every = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
     again = np.zeros(len(every), bool)
     again[1:] = every[1:] == every[:-1]
     ends, both = every[~again], every[again]
-    i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-    n = len(a)
-    n_links = np.bincount(doc_a[i], minlength=n)
-    last_a, last_b = np.searchsorted(ends_a, both), np.searchsorted(ends_b, both)
-    n_groups = np.bincount(doc_a[last_a], minlength=n)
+    links = (ids_a[np.searchsorted(ends_a, ends)] << B_BITS | ids_b[np.searchsorted(ends_b, ends)]).astype("<i4").tobytes()
     # tokens by group, A before B, each with the mark after it
     marks_a, marks_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-    marks_a[last_a], marks_b[last_b] = 1, 2
-    side = np.concatenate([np.searchsorted(both, ends_a) * 2, np.searchsorted(both, ends_b) * 2 + 1])
-    order = np.argsort(side, kind="stable")
-    ids, marks, doc = (np.concatenate(x)[order] for x in ((ids_a, ids_b), (marks_a, marks_b), (doc_a, doc_b)))
-    bound = np.searchsorted(doc, np.arange(n + 1))
-    texts = [written().text(ids[lo:hi], marks[lo:hi])[:-1] for lo, hi in zip(bound, bound[1:])]
-    links = np.sort(doc_a[i] << 40 | ids_a[i] << B_BITS | ids_b[j])
+    marks_a[np.searchsorted(ends_a, both)], marks_b[np.searchsorted(ends_b, both)] = 1, 2
+    order = np.argsort(np.concatenate([np.searchsorted(both, ends_a) * 2, np.searchsorted(both, ends_b) * 2 + 1]), kind="stable")
+    tokens = written().tokens(np.concatenate([ids_a, ids_b])[order], np.concatenate([marks_a, marks_b])[order])
+    to_a, to_b, to_link = (np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, ends))
+    counts = (np.diff(to_a, prepend=0) << HALF | np.diff(to_b, prepend=0)).tolist()
+    edges, bytes_to = [0, *(to_a + to_b).tolist()], [0, *(to_link * 4).tolist()]
+    return [
+        (n, "".join(tokens[edges[k] : edges[k + 1]])[:-1], links[bytes_to[k] : bytes_to[k + 1]])
+        for k, n in enumerate(counts)]
+
+
+class Store:
+    """What segments align to. Segments of late are kept: those of two generations, of ``CACHED`` and a batch each."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b, self.young, self.old = a, b, {}, {}
+
+    def align(self, texts: list[str]) -> list[list[Entry]]:
+        """The entries of every text; each text begins with the space that belongs to it."""
+        lists = [SEGMENTS.findall(t) for t in texts]
+        segments = set(chain.from_iterable(lists))
+        known = {s: self.young[s] for s in segments if s in self.young}
+        known |= {s: self.old[s] for s in segments if s in self.old}
+        new = [s for s in segments if s not in known]
+        # white space at a segment's end would run on into the next one; the letter for a space is not the text's own
+        single = [s for s in new if s[-1] in SPACES or "▁" in s]
+        joint = [s for s in new if s[-1] not in SPACES and "▁" not in s]
+        known |= zip(joint, entries(self.a, self.b, joint))
+        known |= {s: entries(self.a, self.b, [s])[0] for s in single}
+        self.young |= {s: e for s, e in known.items() if len(s) <= CACHED_LENGTH}
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        return [[known[s] for s in x] for x in lists]
+
+
+@lru_cache(maxsize=2)
+def store(a: str, b: str) -> Store:
+    return Store(ByteLevel(a), Pieces(b))
+
+
+def summed(lists: list[list[Entry]]) -> tuple:
+    """Per text: numbers of A and B tokens, groups and links, the groups' text, distinct pairs; then all pairs and their numbers of links."""
+    lists = [() if None in x else x for x in lists]
+    counts = [sum(e[0] for e in x) for x in lists]
+    groups = [";".join([e[1] for e in x]) for x in lists]
+    flat = [b"".join([e[2] for e in x]) for x in lists]
+    n_links = np.array([len(x) // 4 for x in flat], np.int64)
+    links = np.repeat(np.arange(len(lists)), n_links) << 32 | np.frombuffer(b"".join(flat), "<i4").astype(np.int64)
+    links.sort()
     first = np.flatnonzero(np.concatenate([[True], links[1:] != links[:-1]])) if len(links) else np.zeros(0, np.int64)
     key, times = links[first], np.diff(first, append=len(links))
-    return n_a, n_b, n_groups, n_links, texts, np.bincount(key >> 40, minlength=n), key & ((1 << 40) - 1), times
+    n_a, n_b = [n >> HALF for n in counts], [n & ((1 << HALF) - 1) for n in counts]
+    n_groups = [g.count(";") + 1 if g else 0 for g in groups]
+    return n_a, n_b, n_groups, n_links, groups, np.bincount(key >> 32, minlength=len(lists)), key & 0xFFFFFFFF, times
 
 
 FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<int>"
@@ -245,9 +227,7 @@ def align(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def answer(ids: list, texts: list[str]) -> pa.RecordBatch:
-        one, two = stores(a, b)
-        texts = [t and " " + t for t in texts]
-        n_a, n_b, n_groups, n_links, groups, sizes, key, times = aligned(one.encode(texts), two.encode(texts))
+        n_a, n_b, n_groups, n_links, groups, sizes, key, times = summed(store(a, b).align([t and " " + t for t in texts]))
         ends = pa.array(np.cumsum([0, *sizes]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (key, times)]
         numbers = [pa.array(np.asarray(x, np.int64)) for x in (n_a, n_b, n_groups, n_links)]
@@ -256,6 +236,7 @@ def align(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "
             names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # no cycles are made here, and the collector would walk all kept segments over and over
         for x in batches:
             texts, size, lo = [], 0, 0
             for i, t in enumerate(x[1].to_pylist()):
