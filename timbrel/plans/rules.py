@@ -454,6 +454,35 @@ def r14(spark, folder):
     )
 
 
+AUDITED = 20  # percent of speech below which a recording is not audited, so that nothing was fused
+
+
+@query("r13_fused_explanation", with_views("top_attr ruled", f"""
+    select vec_id, coalesce(f.reasoning, 'The screening result was primarily influenced by ' || d[1] || ', ' || d[2] || ', and ' || d[3]
+             || ', ' || {_CONTEXT} || '.') as explanation
+    from (select vec_id, any_value(risk) as risk, list({_PHRASE} order by rk) as d
+          from top_attr where rk <= 3 group by vec_id)
+    left join (select screening_id, {fused_columns()} from ruled where coverage >= {AUDITED}) f on f.screening_id = vec_id"""))
+def r13_fused(spark, folder):
+    """The fused reasoning of an audited recording, else the text made from its strongest attributions."""
+    fused = fuse_screenings(trusted(spark, folder)).where(c("coverage") >= AUDITED).select("screening_id", "reasoning")
+    top = top_attributions(spark, folder)
+    return top.join(fused, c("screening_id") == c("vec_id"), "left").select(
+        "vec_id", R.explanation(c("top"), c("risk"), c("reasoning")).alias("explanation"))
+
+
+@query("r14_fused_recommendation", with_views("ruled", f"""
+    select screening_id, case when coverage >= {AUDITED} then advice
+        when risk_score < 0.35 then {q(fixed.ADVICE[0])}
+        when risk_score < 0.65 then {q(fixed.ADVICE[2])} else {q(fixed.ADVICE[1])} end as advice
+    from (select screening_id, risk_score, coverage, {fused_columns()} from ruled)"""))
+def r14_fused(spark, folder):
+    """The fused advice of an audited recording, else the advice of its risk band."""
+    fused = fuse_screenings(trusted(spark, folder))
+    said = F.when(c("coverage") >= AUDITED, c("advice"))
+    return fused.select("screening_id", R.recommendation(c("risk_score"), said).alias("advice"))
+
+
 def _by_band(table: dict) -> str:
     t = {k: v if isinstance(v, str) else "|".join(v) for k, v in table.items()}
     return (f"case when risk < 0.35 then {q(t[0])} when risk < 0.65 then {q(t[2])} "
