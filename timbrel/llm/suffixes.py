@@ -23,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import arrow_map, utf8
+from timbrel.llm.common import arrow_map, utf8, written
 from timbrel.llm.decontaminate import bounded
-from timbrel.session import materialise, steps
+from timbrel.session import steps
 
 c = F.col
 LENGTH, GRAM = 400, 128
@@ -220,7 +220,7 @@ def _neighbours(contexts: DataFrame, n: int, forward: bool) -> DataFrame:
             "last": pa.array([False, True], pa.bool_()),
         })
 
-    found = materialise(arrow_map(placed.select("text_key", "pos", "after", "before"), run, SORTED), "neighbours")
+    found = written(arrow_map(placed.select("text_key", "pos", "after", "before"), run, SORTED), "neighbours")
     ends = found.where("bucket is not null")
     # the next bucket with rows; one number per bucket
     following = ends.select("bucket").distinct().withColumn("next", F.lead("bucket").over(Window.orderBy("bucket")))
@@ -261,16 +261,16 @@ def _windows(contexts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(text_key, start, end): spans of repeated bytes from rows (text_key, text), overlapping ones included."""
     with steps(texts.sparkSession) as keep:
-        found = materialise(_anchor_rows(texts), "anchors")
+        found = written(_anchor_rows(texts), "anchors")
         often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-        often = bounded(materialise(often, "shared-grams"))
+        often = bounded(written(often, "shared-grams"))
         rows = keep(found.join(often, "gram", "left_semi"), "shared-anchors")
-    kinds = materialise(rows.groupBy("gram", "around").agg(
+    kinds = written(rows.groupBy("gram", "around").agg(
         F.count("*").alias("n"), F.min(F.struct("text_key", "pos")).alias("at")), "surroundings")
     whole = rows.join(bounded(kinds.where("n > 1").select("gram", "around")), ["gram", "around"], "left_semi").select(
         "text_key", (c("pos") - F.least(c("pos"), F.lit(LENGTH - GRAM))).alias("start"), (c("pos") + c("room")).alias("end"))
     rivals = kinds.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    items = materialise(kinds.join(rivals, "gram", "left_semi").select("gram", "n", "at.text_key", "at.pos"), "items")
+    items = written(kinds.join(rivals, "gram", "left_semi").select("gram", "n", "at.text_key", "at.pos"), "items")
     n_items = items.count()
     if not n_items:
         return whole.distinct()
@@ -279,18 +279,19 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     some = texts.join(bounded(items.select("text_key").distinct()), "text_key", "left_semi")
     distinct = some.groupBy("text_key").agg(F.first("text").alias("text"))
     with steps(texts.sparkSession) as keep:
-        every = materialise(_contexts(distinct.join(wanted, "text_key").select("text_key", "text", "places")), "contexts")
-        hashes = every.select("text_key", "pos", F.explode("shorter").alias("h"))
+        every = _contexts(distinct.join(wanted, "text_key").select("text_key", "text", "places"))
+        every = written(every.withColumn("row", F.monotonically_increasing_id()), "contexts")
+        hashes = every.select("row", F.explode("shorter").alias("h"))
         again = hashes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-        open_ = hashes.join(bounded(materialise(again, "shorter")), "h", "left_semi").select("text_key", "pos").distinct()
-        contexts = keep(every.drop("shorter").join(bounded(materialise(open_, "open")), ["text_key", "pos"], "left_semi"), "contexts")
+        open_ = hashes.join(bounded(written(again, "shorter")), "h", "left_semi").select("row").distinct()
+        contexts = keep(every.drop("shorter").join(bounded(written(open_, "open")), "row", "left_semi").drop("row"), "contexts")
     buckets = max(1, contexts.count() * 2 * LENGTH // BUCKET_BYTES)
     to_right, to_left = _neighbours(contexts, buckets, True), _neighbours(contexts, buckets, False)
     both = to_right.select("*", c("best").alias("most_right"), F.lit(-1).cast("long").alias("most_left")).unionByName(
         to_left.select("*", F.lit(-1).cast("long").alias("most_right"), c("best").alias("most_left")))
     state = both.groupBy("text_key", "pos").agg(*(F.max(x).alias(x) for x in ("most_right", "most_left", "left", "right")))
     state = state.where(c("most_right") + c("most_left") >= LENGTH)
-    state = materialise(state.withColumn("settled", (c("left") == c("most_left")) & (c("right") == c("most_right"))), "matches")
+    state = written(state.withColumn("settled", (c("left") == c("most_left")) & (c("right") == c("most_right"))), "matches")
     settled = state.where("settled").select(
         "text_key", (c("pos") - c("left")).alias("start"), (c("pos") + c("right")).alias("end"))
     out = whole.union(settled)
@@ -298,7 +299,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     if not open_.isEmpty():
         of_gram = items.join(open_, ["text_key", "pos"], "left_semi").select("gram").distinct()
         near = items.join(of_gram, "gram", "left_semi").select("text_key", "pos")
-        windows = materialise(_windows(contexts.join(near, ["text_key", "pos"], "left_semi")), "windows")
+        windows = written(_windows(contexts.join(near, ["text_key", "pos"], "left_semi")), "windows")
         again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
         last = windows.join(open_, ["text_key", "pos"], "left_semi").join(again, "window", "left_semi").groupBy("text_key", "pos").agg(
             F.max("back").alias("most"), F.min("back").alias("least"))
