@@ -105,11 +105,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table, and the files of the shuffles behind it given back.
 
     Spark deletes a shuffle's files when the driver's collector finds that nothing refers to it any more, by
-    itself only every half hour (``spark.cleaner.periodicGC.interval``); a job of many levels asks after each one,
-    a moment later, when the listeners that are told of a query's end have let go of it.
+    itself only every half hour (``spark.cleaner.periodicGC.interval``); a job of many levels asks after each one:
+    twice, since what the first collection frees, and listeners told of the query's end, held on to it.
     """
     out = materialise(df, name)
     gc.collect()
-    time.sleep(0.5)
-    df.sparkSession._jvm.java.lang.System.gc()
+    for _ in range(2):
+        time.sleep(0.3)
+        df.sparkSession._jvm.java.lang.System.gc()
     return out
