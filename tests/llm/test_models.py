@@ -125,7 +125,7 @@ def test_cross_entropies_by_hand(spark):
     texts = [(1, "a b a b c"), (2, "A b"), (3, "c c c"), (4, None), (5, ""), (None, "a"), (1, "zz"), (6, "w" * 5000 + " b")]
     docs = spark.createDataFrame([(a, b, 1, 0) for a, b in texts], "doc_id long, text string, in_target int, n_tokens int")
     target = spark.createDataFrame([(1,), (3,), (None,), (3,)], "doc_id long")
-    words = [(i, [M.xxhash.xxh3_64_intdigest(w.encode()) & (M.WORDS - 1) for w in (t or "").lower().split()]) for i, t in texts]
+    words = [(i, M.tokens((t or "").encode()).tolist()) for i, t in texts]
     slots = lambda w: M.pairs(np.array(w, np.int64)).tolist()
 
     def losses(chosen, w, own):
@@ -157,6 +157,29 @@ def test_cross_entropies_by_hand(spark):
     assert len(M.cross_entropy_difference(docs, target.limit(0)).collect()) == len(texts)
 
 
+def test_cross_entropy_does_not_depend_on_chunks_and_ranges(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(5)
+    target = docs.where("doc_id % 3 = 0").select("doc_id")
+
+    def rows():
+        found = M.cross_entropy_difference(docs, target).orderBy("doc_id").collect()
+        return [r.doc_id for r in found], [x if x is not None else -1 for r in found for x in r[1:]]
+
+    ids, whole = rows()
+    monkeypatch.setattr(M, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(M, "RANGE_BYTES", 7000)
+    again, parts = rows()
+    assert ids == again and whole == pytest.approx(parts)
+
+
+def test_packed_numbers_come_back():
+    r = np.random.default_rng(3)
+    key = np.unique(r.integers(-(1 << 63), (1 << 63) - 1, 5000))
+    back = M.unpack(M.pack(np.diff(key, prepend=np.int64(0)), np.arange(len(key))), 2)
+    assert (np.cumsum(back[0]) == key).all() and (back[1] == np.arange(len(key))).all()
+    assert M.unpack(M.pack(key[:0], key[:0]), 2).shape == (2, 0)
+
+
 def test_cross_entropy_prefers_the_target(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = M.cross_entropy_difference(docs, docs.where("lang = 'de' and doc_id % 2 = 0").select("doc_id")).collect()
