@@ -246,6 +246,46 @@ def test_autocorrelation_across_blocks(series):
             assert np.isclose(got[k][lag], np.dot(xs[: len(xs) - lag], xs[lag:]) if lag < len(xs) else 0)
 
 
+def test_lagged_sums_against_loops():
+    r = np.random.default_rng(5)
+    whole = [r.normal(size=n) * 10.0 ** (n % 7 - 3) for n in (1, 2, 7, 64, 333, 5000)] + [np.zeros(9), np.array([1.0, np.nan, 2.0, np.inf])]
+    own = [x[: max(1, len(x) * 2 // 3)] for x in whole]
+    got = SP.lagged_sums(own, whole, 40)
+    for row, (o, w) in enumerate(zip(own, whole)):
+        for lag in range(40):
+            want = sum(float(a) * float(b) for a, b in zip(o, w[lag:]))
+            room = 1e-12 * (w @ w) if np.isfinite(w).all() else 0.0
+            assert np.isclose(got[row, lag], want, rtol=0, atol=room, equal_nan=True)
+    assert not SP.lagged_sums([np.array([1.0, 0, 0, 0])], [np.array([1.0, 0, 0, 0])], 3)[0, 1:].any()
+    assert SP.lagged_sums([], [], 4).shape == (0, 4)
+
+
+def test_differences_against_loops():
+    r = np.random.default_rng(6)
+    m = r.normal(size=(6, 150))
+    m[1] = 3.0  # no lag differs
+    m[2] = np.tile(m[2, :25], 6)
+    m[3, 140] = np.nan
+    got = SP.normalised_differences(m, 100)
+    for row in range(6):
+        d = [((m[row, :100] - m[row, k : k + 100]) ** 2).sum() for k in range(1, 51)]
+        for k in range(1, 51):
+            mean = sum(d[:k]) / k
+            want = 1.0 if mean == 0 or np.isnan(mean) else d[k - 1] / mean
+            assert np.isclose(got[row, k - 1], want, atol=1e-9)
+    assert got[2, 24] == 0.0 and SP.normalised_differences(m[:0], 100).shape == (0, 50)
+
+
+def test_pitch_both_ways(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame(
+        [(k, t, float(x)) for k in (1, 2) for t, x in enumerate(r.normal(size=300))], "series_id long, t long, x double")
+    rows = lambda: sorted((x.series_id, x.frame, x.f0) for x in SP.pitch(df, 1000.0, 20, 8).collect())
+    small = rows()
+    monkeypatch.setattr(SP, "SMALL_TRANSFORM", 0)
+    assert small and small == rows()
+
+
 def test_voiced_drops_nan_and_infinite(spark):
     xs = [1.0, float("nan"), 2.0, float("inf"), 0.0, -float("inf"), -1.0, 3.0]
     df = spark.createDataFrame([(1, t, x) for t, x in enumerate(xs)], "series_id long, t long, x double")

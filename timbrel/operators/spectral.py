@@ -224,30 +224,61 @@ def pool(df: DataFrame, column: str, names: str, keys: Sequence[str] = KEYS) ->
 # --- autocorrelation ----------------------------------------------------------------------------
 
 
+# Numbers that one transform of many rows holds at a time.
+TRANSFORM_NUMBERS = 1 << 20
+# A transform errs by some 1e-15 of the energy; what is below this share of it is zero.
+NOISE = 1e-13
+
+
+def lagged_sums(own: list[np.ndarray], whole: list[np.ndarray], lags: int) -> np.ndarray:
+    """Per row and lag the sum of own[j] * whole[j + lag], by transforms of the padded rows.
+
+    Costs n log n a row whatever the number of lags. Rows with NaN or infinite samples are added up directly.
+    """
+    out = np.zeros((len(own), lags))
+    need = max((max(len(w), len(o) + lags) for o, w in zip(own, whole)), default=1)
+    n = 1 << (need - 1).bit_length()
+    step = max(1, TRANSFORM_NUMBERS // n)
+    for lo in range(0, len(own), step):
+        a, b = (np.zeros((min(step, len(own) - lo), n)) for _ in range(2))
+        for row, (o, w) in enumerate(zip(own[lo : lo + step], whole[lo : lo + step])):
+            a[row, : len(o)], b[row, : len(w)] = o, w
+        rough = ~(np.isfinite(a).all(axis=1) & np.isfinite(b).all(axis=1))
+        energy = np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))[:, None]
+        for row in np.flatnonzero(rough):
+            o, w = own[lo + row], whole[lo + row]
+            for lag in range(lags):
+                rest = w[lag : lag + len(o)]
+                out[lo + row, lag] = (o[: len(rest)] * rest).sum()
+        a[rough], b[rough] = 0.0, 0.0
+        spectrum = np.conj(np.fft.rfft(a, axis=1)) * np.fft.rfft(b, axis=1)
+        sums = np.fft.irfft(spectrum, n, axis=1)[:, :lags]
+        sums[np.abs(sums) <= NOISE * np.where(rough[:, None], 0.0, energy)] = 0.0
+        out[lo : lo + step][~rough] = sums[~rough]
+    return out
+
+
 def autocorrelation(
     df: DataFrame, lags: int, keys: Sequence[str] = KEYS, pos: str = "t", value: str = "x"
 ) -> DataFrame:
     """(keys, lag, r) for lags 0..lags-1.
 
-    Partial sums per block (with the following samples at hand) add up to the exact sums,
-    so a long series spreads over many tasks and no pairs are emitted.
+    Every block (with the following samples at hand) gives its sums for all lags by one
+    transform. They add up to the sums of the series, so a long series spreads over many
+    tasks and no pairs are emitted. A null sample adds nothing.
     """
     blocks = block_arrays(df, keys, pos, value, ahead=lags)
-    own = F.slice("xs", 1, F.col("own"))
-    per_lag = F.transform(
-        F.sequence(F.lit(0), F.lit(lags - 1)),
-        lambda lag: F.struct(
-            lag.cast("long").alias("lag"),
-            F.aggregate(
-                F.zip_with(own, F.slice("xs", lag + 1, F.col("own")),
-                           lambda a, b: F.coalesce(a * b, F.lit(0.0))),
-                F.lit(0.0), lambda s, v: s + v,
-            ).alias("r"),
-        ),
-    )
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def sums(xs: pd.Series, own: pd.Series) -> pd.Series:
+        whole = [np.asarray(x, float) for x in xs]
+        return pd.Series(list(lagged_sums([x[:n] for x, n in zip(whole, own)], whole, lags)), dtype=object)
+
+    present = F.transform("xs", lambda x: F.coalesce(x, F.lit(0.0)))
     return (
-        blocks.select(*keys, F.inline(per_lag))
-        .groupBy(*keys, "lag")
+        blocks.select(*keys, sums(present, "own").alias("r"))
+        .select(*keys, F.posexplode("r").alias("lag", "r"))
+        .groupBy(*keys, F.col("lag").cast("long").alias("lag"))
         .agg(F.sum("r").alias("r"))
     )
 
@@ -279,15 +310,42 @@ def harmonicity(
     )
 
 
+def normalised_differences(m: np.ndarray, window: int) -> np.ndarray:
+    """Per row and lag 1, 2, ...: the squared difference of the first ``window`` samples and those a lag later, over
+    the mean of the differences up to that lag; 1 where that mean is zero or a sample is missing."""
+    high = m.shape[1] - window
+    lags = np.arange(1, high + 1)
+    rough = ~np.isfinite(m).all(axis=1)
+    safe = np.where(rough[:, None], 0.0, m)
+    energy = np.cumsum(np.pad(safe * safe, ((0, 0), (1, 0))), axis=1)
+    both = energy[:, window, None] + energy[:, window + lags] - energy[:, lags]
+    d = both - 2 * lagged_sums(list(safe[:, :window]), list(safe), high + 1)[:, 1:]
+    d[d <= NOISE * energy[:, -1:]] = 0.0
+    for row in np.flatnonzero(rough):
+        d[row] = [((m[row, :window] - m[row, lag : lag + window]) ** 2).sum() for lag in lags]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        v = d * lags / np.cumsum(d, axis=1)
+    return np.where(np.isnan(v), 1.0, v)
+
+
 def pitch(
     df: DataFrame, rate: float, window: int, hop: int, fmin: float = 75.0, fmax: float = 500.0,
     limit: float = 0.1, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """(keys, frame, f0) by the cumulative-mean-normalised difference function."""
+    """(keys, frame, f0) by the cumulative-mean-normalised difference function.
+
+    Long frames get the differences of all lags from one transform, short ones from array
+    expressions. A lag whose samples are not all known counts as 1.
+    """
     low, high = max(1, int(rate / fmax)), int(rate / fmin)
     cut = frames(df, window + high, hop, keys)
     lags = F.sequence(F.lit(1), F.lit(high))
 
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def normalised(xs: pd.Series) -> pd.Series:
+        m = np.stack(xs.to_numpy()) if len(xs) else np.zeros((0, window + high))
+        return pd.Series(list(normalised_differences(m, window)), dtype=object)
+
     def difference(lag: Column) -> Column:
         return F.aggregate(
             F.zip_with(
@@ -297,21 +355,27 @@ def pitch(
             F.lit(0.0), lambda s, v: s + v,
         )
 
-    diffs = cut.select(*keys, "frame", F.transform(lags, difference).alias("d"))
-    running = diffs.select(
-        *keys, "frame",
-        F.transform(
-            lags,
-            lambda lag: F.struct(
-                lag.alias("lag"),
-                F.coalesce(
-                    F.get("d", lag - 1) * lag
-                    / F.nullif(total(F.slice("d", F.lit(1), lag)), F.lit(0.0)),
-                    F.lit(1.0),
-                ).alias("v"),
-            ),
-        ).alias("c"),
-    )
+    if window + high > SMALL_TRANSFORM:
+        running = cut.select(*keys, "frame", normalised("xs").alias("v")).select(
+            *keys, "frame",
+            F.transform("v", lambda v, i: F.struct((i + 1).alias("lag"), v.alias("v"))).alias("c"),
+        )
+    else:
+        diffs = cut.select(*keys, "frame", F.transform(lags, difference).alias("d"))
+        running = diffs.select(
+            *keys, "frame",
+            F.transform(
+                lags,
+                lambda lag: F.struct(
+                    lag.alias("lag"),
+                    F.coalesce(
+                        F.get("d", lag - 1) * lag
+                        / F.nullif(total(F.slice("d", F.lit(1), lag)), F.lit(0.0)),
+                        F.lit(1.0),
+                    ).alias("v"),
+                ),
+            ).alias("c"),
+        )
     searched = F.filter("c", lambda s: s["lag"] >= low)
     under = F.filter(searched, lambda s: s["v"] < limit)
     least = F.array_min(F.transform(searched, lambda s: F.struct(s["v"], s["lag"])))

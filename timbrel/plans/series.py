@@ -557,6 +557,11 @@ def feature_row(contour, signal, rate: float, n_fft: int, hop: int):
     out = SR.jitter(contour)
     for part in parts:
         out = out.join(part, "series_id", "left")
+    # fixed values: harmonicity of a series without pitch
+    pitched = F.coalesce(c("fo_mean"), F.lit(0.0)) > 0
+    out = out.withColumns({
+        "hnr": F.when(pitched, c("hnr")).otherwise(0.0), "nhr": F.when(pitched, c("nhr")).otherwise(99.0),
+    })
     # fixed values: what a series without voiced samples or without a whole frame gets
     return out.na.fill({"rpde": 0.5, "dfa": 0.7, "d2": 2.3}).na.fill(0.0)
 
@@ -572,17 +577,19 @@ def _on(sql: str, view: str, other: str) -> str:
 
 
 def _feature_sql() -> str:
+    contour = with_views("series_ev", """
+        select series_id, round(avg(x) filter (x > 0), 6) as fo_mean, round(max(x) filter (x > 0), 6) as fhi,
+          round(min(x) filter (x > 0), 6) as flo from series_ev group by series_id""")
     parts = {
         "j": SQL["w1_jitter"], "r": SQL["w2_rap_ddp"], "q": SQL["w3_ppq"],
         "s": SQL["w4_shimmer"], "a": SQL["w5_apq_dda"],
-        "f": with_views("series_ev", """
-            select series_id, round(avg(x) filter (x > 0), 6) as fo_mean, round(max(x) filter (x > 0), 6) as fhi,
-              round(min(x) filter (x > 0), 6) as flo from series_ev group by series_id"""),
+        "f": contour,
         "p": SQL["a14_period_entropy"],
         "e": _on(SQL["a15_recurrence_entropy"], "series_li", "voiced_ev"),
         "d": _on(SQL["a22_detrended_fluctuation"], "series_li", "voiced_ev"),
         "c": SQL["a21_correlation_dimension"], "v": SQL["a20_spread_measures"],
-        "h": _on(SQL["g8_harmonicity"], "series_li", "signal_ev"),
+        "h": f"select series_id, case when fo_mean > 0 then hnr else 0 end as hnr, case when fo_mean > 0 then nhr else 99 end as nhr "
+             f"from ({_on(SQL['g8_harmonicity'], 'series_li', 'signal_ev')}) join ({contour}) using (series_id)",
         "m": with_views("signal_ev", """
             select series_id, round(avg(rms), 6) as energy from energy group by series_id""", FRAMES_SQL),
         "b": SQL["g4_centroid_bandwidth"], "z": SQL["w16_zero_crossings"],
