@@ -27,7 +27,7 @@ from timbrel.session import materialise
 
 c = F.col
 WORDS = 1 << 18  # kinds of words that the smoothing counts on at least; more if the corpus has more
-CHUNK_BYTES = 16 << 20  # of text
+CHUNK_BYTES = 8 << 20  # of text
 RANGE_BYTES = 8 << 20  # of text whose keys meet in one range
 ADDED = 0.05  # count that every word has beforehand
 BACKOFF = 8.0  # pairs that a context takes from the unigram model
