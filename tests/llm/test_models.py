@@ -224,8 +224,24 @@ def test_licence_expressions():
     assert set(found[5].split(",")) == {"mit", "apache-2.0", "apache", "gpl-2.0"} and found[6] == 0.6
 
 
-def test_all_ten_queries_are_registered():
-    assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 11))
+def test_unlisted_licences_are_reserved():
+    read = lambda t: A.scan(t.encode())[5:7]
+    assert read("SPDX-License-Identifier: Proprietary") == ("proprietary", 0.0)
+    assert read("SPDX-License-Identifier: LicenseRef-Acme\nnext") == ("licenseref-acme", 0.0)
+    assert read("license expression: the author agrees") == ("", 0.5)
+    assert read("SPDX-License-Identifier: MIT AND\n") == ("mit", 1.0)
+    assert read("SPDX-License-Identifier: MIT AND OR GPL-2.0") == ("mit", 1.0)
+    assert read("SPDX-License-Identifier: (MIT OR GPL-2.0-or-later) AND (") == ("gpl-2.0-or-later,mit", 1.0)
+    assert read("SPDX-License-Identifier: Acme WITH Classpath") == ("acme-with-classpath", 0.0)
+    assert read("SPDX-License-Identifier: MIT\nAll rights reserved") == ("mit,reserved", 0.0)
+    assert read("SPDX-License-Identifier: " + "( " * 200_000) == ("", 0.5)
+    for name in ("mit", "mit-0", "bsd-3-clause", "apache-2.0+", "gpl-3.0-only", "cc-by-4.0", "cc0-1.0"):
+        assert A.listed(name)
+    assert not any(map(A.listed, ("mitx", "the", "", "gpl-acme")))
+
+
+def test_all_queries_are_registered():
+    assert sorted({int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES}) == list(range(1, 14))
 
 
 def test_no_two_words_or_pairs_share_a_count(spark):

@@ -50,6 +50,14 @@ TAGS = {"spdx license identifier": "tag", "license expression": "tag"}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 # how free a label leaves the reader: 1 permissive, 0 reserved; others lie between
 FREEDOM = {"reserved": 0.0, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "gpl": 0.6, "agpl": 0.5, "lgpl": 0.7, "mpl": 0.7}
+# Names of public licences; a version, "+", "-only" or "-or-later" may follow.
+NAMES = frozenset("""
+    0bsd aal afl agpl apache apsl artistic beerware bittorrent blessing blueoak bsd bsl cc-by cc-by-nc cc-by-nc-nd cc-by-nc-sa
+    cc-by-nd cc-by-sa cc0 cddl cecill cecill-b cecill-c cpl curl ecl efl epl eupl fsfap ftl gfdl gpl hpnd icu ijg imagemagick
+    intel ipl isc lgpl libpng libtiff lppl mit mpl ms-pl ms-rl mulanpsl naist ncsa nposl odbl odc-by ofl openssl osl pddl php
+    postgresql psf python qpl ruby sgi-b sissl sleepycat spl tcl unicode unicode-dfs unlicense upl vim w3c wtfpl x11 zlib zpl
+""".split())
+_VERSION = re.compile(r"-[0-9][a-z0-9.-]*$")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 _TAG = re.compile(
     rb"(?<![0-9a-z\x80-\xff])(?:spdx[^0-9a-z\x80-\xff]+license[^0-9a-z\x80-\xff]+identifier|license[^0-9a-z\x80-\xff]+expression)"
@@ -94,6 +102,32 @@ def _postfix(parts: Iterable[str]) -> list[str]:
     return out + ops[::-1]
 
 
+def longest(parts: Iterable[str]) -> tuple[list[str], bool]:
+    """The longest well-formed beginning in postfix order, and whether the expression runs into prose."""
+    kept, good, depth, operand_next = [], 0, 0, True
+    for part in parts:
+        if part == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif part == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif part in PRECEDENCE:
+            if operand_next:
+                break
+            operand_next = True
+        elif operand_next:
+            operand_next = False
+        else:
+            return _postfix(kept[:good]), True
+        kept.append(part)
+        if not operand_next and not depth:
+            good = len(kept)
+    return _postfix(kept[:good]), False
+
+
 def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
     """The licences an expression names and how free it leaves the reader: ``or`` lets one choose the freest,
     ``and`` binds to all, ``with`` adds an exception to its licence. None if it is malformed."""
@@ -108,15 +142,25 @@ def _value(parts: list[str]) -> tuple[frozenset[str], float] | None:
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if part == "with":
-            stack.append((frozenset(f"{x}-with-{y}" for x in left for y in right), min(1.0, a + 0.1)))
+            eased = min(1.0, a + 0.1) if a else a
+            stack.append((frozenset(f"{x}-with-{y}" for x in left for y in right), eased))
         else:
             stack.append((left | right, max(a, b) if part == "or" else min(a, b)))
     return stack[0] if stack else None
 
 
+def listed(name: str) -> bool:
+    """Whether ``name`` is a public licence, of any version."""
+    name = name.rstrip("+").removesuffix("-only").removesuffix("-or-later")
+    return name in NAMES or _VERSION.sub("", name) in NAMES
+
+
 def freedom(label: str) -> float:
+    """What is not listed is as strict as reserved rights, references to own terms too."""
     known = [k for k in FREEDOM if label == k or label.startswith(k + "-")]
-    return FREEDOM[max(known, key=len)] if known else 1.0
+    if known:
+        return FREEDOM[max(known, key=len)]
+    return 1.0 if label in NOTICES.values() or listed(label) else 0.0
 
 
 @lru_cache(maxsize=1)
@@ -129,12 +173,15 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def _expressions(low: bytes) -> Iterator[list[str]]:
-    """What follows each tag, in postfix order: up to prose, the end of the line or the next tag."""
+    """What follows each tag, in postfix order: up to prose, the end of the line or the next tag. Unlisted names that
+    run into prose are prose themselves."""
     tags = list(_TAG.finditer(low))
     for tag, following in zip(tags, [*(m.start() for m in tags[1:]), len(low)]):
         line = low.find(b"\n", tag.end(), following)
         parts = _PART_BYTES.finditer(low, tag.end(), following if line < 0 else line)
-        yield _postfix(m[0].decode() for m in parts)
+        found, prose = longest(m[0].decode() for m in parts)
+        if not prose or any(map(listed, found)):
+            yield found
 
 
 def scan(data: bytes) -> tuple:
@@ -151,16 +198,16 @@ def scan(data: bytes) -> tuple:
             base.add(BASE[phrase])
         else:
             labels.add(NOTICES[phrase])
-    least, found = 1.0, []
+    labels |= base
+    values, found = [*map(freedom, labels)], []
     if tagged:
         for parts in _expressions(data.lower()):
             value = _value(parts)
             if value:
                 labels |= value[0]
-                least = min(least, value[1])
+                values.append(value[1])
                 found.append(" ".join(parts))
-    labels |= base
-    score = min([least, *map(freedom, labels)]) if labels else 0.5
+    score = min(values, default=0.5)
     at = [line.count(" ", 0, x) for x in (min(starts), max(starts))] if starts else [None, None]
     return len(words), len(starts), *at, ",".join(sorted(base)), ",".join(sorted(labels)), float(score), found
 
@@ -175,8 +222,10 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Words are runs of digits, letters a-z (after lower-casing A-Z) and non-ASCII characters of the whole
     text. Base places all count, overlapping ones and repetitions too; first_word and last_word are the
     least and largest start, null without any. ``labels`` holds the base labels, those of notices and
-    those of expressions after identifier tags, in postfix form in ``expressions``. ``score`` is the freedom of the strictest
-    label, 0.5 without labels. Null counts as empty; no rows give none; repeated rows each get a row.
+    those of expressions after identifier tags, in postfix form in ``expressions``: the longest well-formed beginning counts, and
+    names that are in no list stand for reserved rights. ``score`` is the freedom of the strictest notice or expression, 0.5
+    without any. Null counts as empty; no rows give none; repeated rows each get a row; texts are read whole; other columns
+    are not looked at, whatever their names.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.string())]
