@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from timbrel.functions import fixed
 from timbrel.functions import rules as R
 from timbrel.functions import scalars as S
+from timbrel.operators import cells as CE
 from timbrel.operators import vectors as VE
 from timbrel.operators.ordered import quantiles
 from timbrel.plans.registry import query
@@ -94,6 +95,14 @@ def j3(spark, folder):
     )
 
 
+@query("j3_pruned_nearest", with_views("neighbours", """
+    select row_id, rank, ref_id, cohort as label, round(similarity, 6) as similarity from neighbours"""))
+def j3p(spark, folder):
+    refs = V.refs(spark, folder)
+    return rounded(CE.nearest_pruned(refs, refs, 5, row_id="vec_id", skip_self=True)
+                   .withColumnRenamed("cohort", "label"))
+
+
 @query("k2_mean_top_similarity", with_views("neighbours", """
     select row_id as vec_id, round(avg(similarity), 6) as similarity from neighbours group by row_id"""))
 def k2(spark, folder):
@@ -203,11 +212,14 @@ def f6(spark, folder):
         "vec_id", sim.alias("similarity"), (1 - sim).alias("distance")))
 
 
-@query("j8_nearest_within_radius", with_views("flatpoints", """
+_WITHIN = with_views("flatpoints", """
     select row_id, ref_id, round(d, 6) as distance from (
       select a.vec_id as row_id, b.vec_id as ref_id, sqrt(pow(a.x + 0.3 - b.x, 2) + pow(a.y - 0.2 - b.y, 2)) as d,
         row_number() over (partition by a.vec_id order by sqrt(pow(a.x + 0.3 - b.x, 2) + pow(a.y - 0.2 - b.y, 2)), b.vec_id) as rn
-      from flatpoints a, flatpoints b) where rn = 1 and d < 0.8"""))
+      from flatpoints a, flatpoints b) where rn = 1 and d < 0.8""")
+
+
+@query("j8_nearest_within_radius", _WITHIN)
 def j8(spark, folder):
     p = points(spark, folder)
     rows = p.select(c("vec_id").alias("row_id"), F.array(c("x") + 0.3, c("y") - 0.2).alias("xy"))
@@ -215,6 +227,13 @@ def j8(spark, folder):
     return rounded(VE.nearest_within(rows, refs, 0.8))
 
 
+@query("j8_grid_nearest", _WITHIN)
+def j8g(spark, folder):
+    p = points(spark, folder)
+    rows = p.select(c("vec_id").alias("row_id"), (c("x") + 0.3).alias("x"), (c("y") - 0.2).alias("y"))
+    return rounded(CE.nearest_on_grid(rows, p.withColumnRenamed("vec_id", "point_id"), 0.8))
+
+
 def points(spark, folder):
     return V.refs(spark, folder).select(
         "vec_id", "cohort", VE.half_sum_projection().alias("p")
