@@ -21,8 +21,10 @@ MAX_PIVOTS = 2048
 # Distances come from cosines, whose rounding shows in the root.
 SLACK = 1e-7
 # Most points of a grid cell that is not split, and the depth at which splitting ends.
-LEAF = 1024
-DEEPEST = 40
+LEAF = 16
+DEEPEST = 16
+# Halvings of a side from one depth of the grid to the next: sixteen parts a cell.
+HALVINGS = 2
 
 
 # --- vectors: cells around pivots ---------------------------------------------------------------
@@ -272,16 +274,16 @@ def nearest_on_grid(
     """Nearest point strictly nearer than ``radius``: (row_id, ref_id, distance).
 
     Both sides have finite ``x`` and ``y`` (other rows have no answer); equal distances go to the
-    lower id, and ``row_id`` is unique. Rows start from the nine cells around them, as wide as the
-    radius. A cell with more than ``leaf`` different points is quartered, and a row keeps the
-    quarters whose nearest possible point is not farther than the farthest possible one of
-    another. Only the cells left at the end are compared point by point.
+    lower id, ``row_id`` is unique, and coordinates stay below 2^31 radii. Rows start from the nine
+    cells around them, as wide as the radius. A cell with more than ``leaf`` different points is
+    cut into sixteen, and a row keeps the parts whose nearest possible point is not farther than
+    the farthest possible one of another. Only the cells left at the end are compared point by point.
     """
     side = radius * (1 + 1e-9)
     finite = F.col("x").between(-1e300, 1e300) & F.col("y").between(-1e300, 1e300)
 
     def cell(level: int) -> list[Column]:
-        scale = F.lit(float(2**level))
+        scale = F.lit(float(2 ** (HALVINGS * level)))
         return [F.floor(F.col(a) / side * scale).alias(f"c{a}") for a in ("x", "y")]
 
     open_points = materialise(
@@ -329,18 +331,18 @@ def nearest_on_grid(
         open_points = materialise(
             placed.join(split, ["cx", "cy"], "left_semi").select("x", "y", "ref_id"), "points"
         )
-        half = F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
-        around = kept.filter(large).withColumn("_i", F.explode(half)).withColumn(
-            "_j", F.explode(half)
+        parts = F.array(*[F.lit(i).cast("long") for i in range(2**HALVINGS)])
+        around = kept.filter(large).withColumn("_i", F.explode(parts)).withColumn(
+            "_j", F.explode(parts)
         ).select(
-            "row_id", "x", "y", (F.col("cx") * 2 + F.col("_i")).alias("cx"),
-            (F.col("cy") * 2 + F.col("_j")).alias("cy"), "bound",
+            "row_id", "x", "y", (F.col("cx") * 2**HALVINGS + F.col("_i")).alias("cx"),
+            (F.col("cy") * 2**HALVINGS + F.col("_j")).alias("cy"), "bound",
         )
 
-    def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
+    def union(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for frame in frames[1:]:
+            out = out.unionByName(frame)
         return out
 
     open_cells = (
