@@ -44,18 +44,28 @@ def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def _bundles(counts: dict[int, int], pivots: int, block: int) -> tuple[np.ndarray, list[int]]:
-    """(bundle of every cell or -1, splits of every bundle): small cells together, large ones cut."""
-    of_cell, splits, filled = np.full(pivots, -1), [], block
-    for cell in sorted(counts):
-        n = counts[cell]
-        if n > block or filled + n > block:
-            splits.append(math.ceil(n / block))
-            filled = n
+def _bundles(
+    counts: dict[int, int], centres: np.ndarray, block: int
+) -> tuple[np.ndarray, list[int]]:
+    """(bundle of every cell or -1, parts of every bundle).
+
+    Cells are halved along their widest direction until a bundle holds ``block`` references; a
+    cell that is larger alone is a bundle of several parts.
+    """
+    of_cell, parts = np.full(len(centres), -1), []
+    groups = [np.array(sorted(counts), dtype=np.int64)]
+    while groups:
+        group = groups.pop()
+        n = sum(counts[cell] for cell in group)
+        if n > block and len(group) > 1:
+            spread = centres[group] - centres[group].mean(axis=0)
+            along = spread @ np.linalg.eigh(spread.T @ spread)[1][:, -1]
+            order = np.argsort(along, kind="stable")
+            groups += [group[order[: len(group) // 2]], group[order[len(group) // 2 :]]]
         else:
-            filled += n
-        of_cell[cell] = len(splits) - 1
-    return of_cell, splits
+            of_cell[group] = len(parts)
+            parts.append(math.ceil(n / block))
+    return of_cell, parts
 
 
 def visits(
@@ -63,15 +73,16 @@ def visits(
     vec: str = "embedding", skip_self: bool = False, max_pivots: int = MAX_PIVOTS,
     block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Best references of every visited bundle: (row_id, ref_id, cohort, similarity, visited).
+    """Candidates among which are the k best: (row_id, ref_id, cohort, similarity, visited).
 
     The root of the number of references, ``max_pivots`` at most, serve as pivots (picked by
-    hash); every reference belongs to its nearest one. The k nearest pivots bound the answer of
-    a row, and a cell whose ring around its pivot lies farther away is not visited. Small cells
-    travel in bundles of ``block`` references; larger cells are cut by hash, and so are the rows
-    of a bundle. ``visited`` counts comparisons on the first line of a row and bundle, whose
-    ``ref_id`` is null where nothing came near enough. Of equal reference vectors only the
-    lowest ids that can be asked for take part. Rows and references without a vector are left out.
+    hash); every reference belongs to its nearest one. Near cells travel in bundles of ``block``
+    references; larger cells are cut by hash, and so are the rows of a bundle. A row first meets
+    one part of the bundle around its nearest pivot. The k best found bound its answer, and of
+    the other cells it meets those whose ring around their pivot is not farther away.
+    ``visited`` counts comparisons; a line without ``row_id`` counts those of rows that found
+    nothing nearer in a group. Of equal reference vectors only the lowest ids that can be asked
+    for take part. Rows and references without a vector are left out; ``row_id`` is unique.
     """
     spark = rows.sparkSession
     want = k + 1 if skip_self else k
@@ -121,7 +132,7 @@ def visits(
     low, high = np.full(len(picked), np.inf), np.full(len(picked), -np.inf)
     low[rings["cell"]], high[rings["cell"]] = rings["low"], rings["high"]
     of_cell, splits = _bundles(
-        dict(zip(rings["cell"].tolist(), rings["n"].tolist(), strict=True)), len(picked), block
+        dict(zip(rings["cell"].tolist(), rings["n"].tolist(), strict=True)), pivots.value[0], block
     )
     filled = of_cell >= 0
 
@@ -132,70 +143,113 @@ def visits(
         near = np.maximum((d - own) / 2, np.maximum(d - high, low - d))
         return np.where(filled, np.maximum(near, 0.0), np.inf)
 
-    def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, ids = pivots.value
         for part in parts:
-            step = max(1, CELLS // len(centres))
-            for start in range(0, len(part), step):
-                piece = part.iloc[start : start + step]
-                d = _chords(_lifted(_unit(_stack(piece["v"])), 1), centres)
-                known = d
+            for piece, d in _slices(part, centres):
+                home = of_cell[np.where(filled, d, np.inf).argmin(axis=1)]
                 if skip_self:
-                    known = np.where(piece["row_id"].to_numpy()[:, None] == ids[None, :], np.inf, d)
+                    d = np.where(piece["row_id"].to_numpy()[:, None] == ids[None, :], np.inf, d)
                 bound = np.full(len(d), np.inf)
-                if known.shape[1] >= k:
-                    bound = np.partition(known, k - 1, axis=1)[:, k - 1]
-                open_ = gaps(d) <= bound[:, None] + SLACK
-                yield piece.assign(
-                    bound=bound, bundles=[np.unique(of_cell[o]).tolist() for o in open_]
-                )
+                if d.shape[1] >= k:
+                    bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+                yield piece.assign(bound=bound, bundle=home)
+
+    def others(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for piece, d in _slices(part, pivots.value[0]):
+                open_ = gaps(d) <= piece["bound"].to_numpy()[:, None] + SLACK
+                yield piece.assign(bundles=[np.unique(of_cell[o]).tolist() for o in open_])
 
-    kind_row = rows.schema["v"].dataType.simpleString()
-    routed = materialise(
-        rows.mapInPandas(
-            route, f"row_id long, v {kind_row}, bound double, bundles array<int>"
-        ),
-        "routed",
-    )
-    each = routed.select("row_id", "v", "bound", F.explode("bundles").alias("bundle"))
     # one row per bundle, of which there are no more than pivots
-    load = {r["bundle"]: r["n"] for r in each.groupBy("bundle").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    plan = F.broadcast(spark.createDataFrame(
-        [(b, s, max(1, math.ceil(load.get(b, 0) / ROWS_PER_BLOCK))) for b, s in enumerate(splits)],
-        "bundle int, ref_parts int, row_parts int",
-    ))
+    sizes = F.broadcast(spark.createDataFrame(list(enumerate(splits)), "bundle int, ref_parts int"))
     places = F.broadcast(spark.createDataFrame(
         [(int(i), int(b)) for i, b in enumerate(of_cell) if b >= 0], "cell int, bundle int"
     ))
+    keys = ["bundle", "row_part", "ref_part"]
 
-    def parts_of(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    def meet(each: DataFrame, answer, schema: str) -> DataFrame:
+        """Rows (bundle, ref_part, row_id, v, bound) with the references of their parts."""
+        load = each.groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect()
+        cut = F.broadcast(spark.createDataFrame(
+            [(r["bundle"], math.ceil(r["n"] / splits[r["bundle"]] / ROWS_PER_BLOCK)) for r in load],
+            "bundle int, row_parts int",
+        ))
+        left = each.join(cut, "bundle").withColumn(
+            "row_part", F.pmod(F.xxhash64("row_id"), F.col("row_parts")).cast("int"))
+        right = index.join(places, "cell").join(sizes, "bundle").join(cut, "bundle").withColumn(
+            "ref_part", F.pmod(F.xxhash64("ref_id"), F.col("ref_parts")).cast("int")
+        ).withColumn("row_part", F.explode(F.sequence(F.lit(0), F.col("row_parts") - 1)))
+
+        def group(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+            centres = pivots.value[0]
+            cells = [(cell, t["ref_id"].to_numpy(), t["cohort"].to_numpy(), _unit(_stack(t["v"])))
+                     for cell, t in table.groupby("cell")]
+            out = [answer(piece, *_visit(piece, d, cells, gaps, k, skip_self))
+                   for piece, d in _slices(part, centres, len(table))]
+            return pd.concat(out) if out else answer(part, *_visit(part, None, [], gaps, k, skip_self))
+
+        return left.select(*keys, "row_id", "v", "bound").groupBy(*keys).cogroup(
+            right.select(*keys, "ref_id", "cohort", "v", "cell").groupBy(*keys)
+        ).applyInPandas(group, schema)
+
+    def at_home(piece, top, visited, bound):
+        hits = [[] for _ in range(len(piece))]
+        for at, *hit in top.itertuples(index=False):
+            hits[at].append(tuple(hit))
+        return piece[["bundle", "ref_part", "row_id", "v"]].assign(
+            bound=bound, visited=visited, hits=hits)
+
+    def elsewhere(piece, top, visited, bound):
+        at = top["at"].to_numpy()
+        new = ~pd.Series(at).duplicated().to_numpy()
+        rest = visited.sum() - visited[at[new]].sum()
+        found = pd.DataFrame({
+            "row_id": pd.array(piece["row_id"].to_numpy()[at], dtype="Int64"),
+            "ref_id": top["ref_id"].array, "cohort": top["cohort"].array,
+            "similarity": top["similarity"].to_numpy(), "visited": np.where(new, visited[at], 0)})
+        none = pd.array([None], dtype="Int64")
+        return pd.concat([found, pd.DataFrame({
+            "row_id": none, "ref_id": none, "cohort": none, "similarity": [np.nan],
+            "visited": [rest]})]) if rest else found
 
-    left = each.join(plan, "bundle").withColumn(
-        "row_part", F.pmod(F.xxhash64("row_id", "v"), F.col("row_parts")).cast("int")
-    ).withColumn("ref_part", parts_of("ref_parts"))
-    right = index.join(places, "cell").join(plan, "bundle").withColumn(
-        "ref_part", F.pmod(F.xxhash64("ref_id"), F.col("ref_parts")).cast("int")
-    ).withColumn("row_part", parts_of("row_parts"))
-    keys = ["bundle", "row_part", "ref_part"]
+    kind_row = rows.schema["v"].dataType.simpleString()
+    start = materialise(
+        rows.mapInPandas(first, f"row_id long, v {kind_row}, bound double, bundle int"), "start")
+    home = materialise(
+        meet(
+            start.join(sizes, "bundle").withColumn(
+                "ref_part", F.pmod(F.xxhash64("row_id"), F.col("ref_parts")).cast("int")),
+            at_home,
+            f"bundle int, ref_part int, row_id long, v {kind_row}, bound double, visited long, "
+            "hits array<struct<ref_id: long, cohort: long, similarity: double>>",
+        ),
+        "home",
+    )
+    routed = materialise(
+        home.select("row_id", "v", "bound", F.col("bundle").alias("own"),
+                    F.col("ref_part").alias("own_part"))
+        .mapInPandas(others, f"row_id long, v {kind_row}, bound double, own int, own_part int, "
+                             "bundles array<int>"),
+        "routed",
+    )
+    each = (
+        routed.withColumn("bundle", F.explode("bundles")).join(sizes, "bundle")
+        .withColumn("ref_part", F.explode(F.sequence(F.lit(0), F.col("ref_parts") - 1)))
+        .filter((F.col("bundle") != F.col("own")) | (F.col("ref_part") != F.col("own_part")))
+    )
+    near = home.select("row_id", "visited", F.posexplode_outer("hits").alias("p", "h")).select(
+        "row_id", "h.ref_id", "h.cohort", "h.similarity",
+        F.when(F.coalesce("p", F.lit(0)) == 0, F.col("visited")).otherwise(0).alias("visited"))
+    return near.unionByName(meet(each, elsewhere, schema))
 
-    def meet(part: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(table):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        centres = pivots.value[0]
-        cells = [(cell, t["ref_id"].to_numpy(), t["cohort"].to_numpy(), _unit(_stack(t["v"])))
-                 for cell, t in table.groupby("cell")]
-        out = []
-        step = max(1, CELLS // max(len(table), len(centres)))
-        for start in range(0, len(part), step):
-            piece = part.iloc[start : start + step]
-            out.append(_visit(piece, cells, gaps, centres, k, skip_self))
-        return pd.concat(out)
 
-    return left.select(*keys, "row_id", "v", "bound").groupBy(*keys).cogroup(
-        right.select(*keys, "ref_id", "cohort", "v", "cell").groupBy(*keys)
-    ).applyInPandas(meet, schema)
+def _slices(part: pd.DataFrame, centres: np.ndarray, width: int = 0):
+    """Pieces of rows with their distances from the pivots, small enough for one matrix each."""
+    step = max(1, CELLS // max(width, len(centres)))
+    for start in range(0, len(part), step):
+        piece = part.iloc[start : start + step]
+        yield piece, _chords(_lifted(_unit(_stack(piece["v"])), 1), centres)
 
 
 def _lines(at, ref_ids, cohorts, similarity) -> pd.DataFrame:
@@ -207,15 +261,21 @@ def _lines(at, ref_ids, cohorts, similarity) -> pd.DataFrame:
     })
 
 
-def _visit(piece: pd.DataFrame, cells: list, gaps, centres: np.ndarray, k: int, skip_self: bool):
-    """Compare rows with the cells they need, nearest cells first by their pivots' mean distance."""
-    ids, unit = piece["row_id"].to_numpy(), _unit(_stack(piece["v"]))
-    d = _chords(_lifted(unit, 1), centres)
-    gap, bound = gaps(d), piece["bound"].to_numpy().copy()
-    best = np.full((len(ids), k), -np.inf)
-    visited = np.zeros(len(ids), dtype=np.int64)
-    found = []
-    for cell, ref_ids, cohorts, refs in sorted(cells, key=lambda c: d[:, c[0]].mean()):
+def _visit(piece: pd.DataFrame, d, cells: list, gaps, k: int, skip_self: bool):
+    """(best references of the rows by place, comparisons, bounds): near cells come first.
+
+    ``d`` are the distances of the rows from the pivots. Only references that are at least as
+    near as the bound, or as the k-th found so far, are looked at any further.
+    """
+    ids, visited = piece["row_id"].to_numpy(), np.zeros(len(piece), dtype=np.int64)
+    bound = piece["bound"].to_numpy(dtype=np.float64).copy()
+    found = [_lines(*[np.zeros(0, dtype=np.int64)] * 4)]
+    if cells and len(piece):
+        unit, gap = _unit(_stack(piece["v"])), gaps(d)
+        best = np.full((len(ids), k), -np.inf)
+        # products of matrices differ in the last digits with the place of a pair
+        floor = np.where(np.isfinite(bound), 1.0 - bound * bound / 2, -np.inf) - 1e-9
+    for cell, ref_ids, cohorts, refs in sorted(cells, key=lambda c: gap[:, c[0]].mean()):
         need = np.flatnonzero(gap[:, cell] <= bound + SLACK)
         if not len(need):
             continue
@@ -223,30 +283,20 @@ def _visit(piece: pd.DataFrame, cells: list, gaps, centres: np.ndarray, k: int,
         visited[need] += len(ref_ids)
         if skip_self:
             sims[ids[need][:, None] == ref_ids[None, :]] = -np.inf
+        some = np.flatnonzero(sims.max(axis=1) >= floor[need])
+        need, sims = need[some], sims[some]
         merged = np.hstack([best[need], sims])
         best[need] = -np.sort(np.partition(-merged, k - 1, axis=1)[:, :k], axis=1)
-        least = best[need, k - 1]
-        full = np.isfinite(least)
-        chord = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.where(full, least, -1.0)))
-        bound[need] = np.where(full, np.minimum(bound[need], chord), bound[need])
-        at, ref = np.nonzero((sims >= least[:, None] - 1e-9) & np.isfinite(sims))
-        # products of single pairs do not depend on the pair's place in a matrix
+        floor[need] = np.maximum(floor[need], best[need, k - 1] - 1e-9)
+        chord = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * np.maximum(best[need, k - 1], -1.0)))
+        bound[need] = np.minimum(
+            bound[need], np.where(np.isfinite(best[need, k - 1]), chord, np.inf))
+        at, ref = np.nonzero((sims >= floor[need][:, None]) & np.isfinite(sims))
         exact = (unit[need[at]] * refs[ref]).sum(axis=1)
         found.append(_lines(need[at], ref_ids[ref], cohorts[ref], exact))
-    top = pd.concat(found) if found else _lines(*[np.zeros(0, dtype=np.int64)] * 4)
-    top = top.sort_values(["at", "similarity", "ref_id"], ascending=[True, False, True])
-    top = top.groupby("at", sort=False).head(k)
-    bare = np.setdiff1d(np.arange(len(ids)), top["at"].to_numpy())
-    if len(bare):
-        none = [None] * len(bare)
-        top = pd.concat([top, _lines(bare, none, none, np.full(len(bare), np.nan))])
-    at = top["at"].to_numpy()
-    first = ~pd.Series(at).duplicated().to_numpy()
-    return pd.DataFrame({
-        "row_id": ids[at], "ref_id": top["ref_id"].array, "cohort": top["cohort"].array,
-        "similarity": top["similarity"].to_numpy(),
-        "visited": np.where(first, visited[at], 0),
-    })
+    top = pd.concat(found).sort_values(
+        ["at", "similarity", "ref_id"], ascending=[True, False, True])
+    return top.groupby("at", sort=False).head(k), visited, bound
 
 
 def nearest_pruned(
