@@ -339,17 +339,21 @@ def nearest_on_grid(
     open_points = materialise(
         points.filter(finite).groupBy("x", "y").agg(F.min(ref_id).alias("ref_id")), "points"
     )
-    near = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    around = rows.filter(finite).select(F.col(row_id).alias("row_id"), "x", "y", *cell(0))
-    around = around.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).select(
-        "row_id", "x", "y", (F.col("cx") + F.col("_i")).alias("cx"),
-        (F.col("cy") + F.col("_j")).alias("cy"), F.lit(radius).alias("bound"),
+    around = rows.filter(finite).select(F.col(row_id).alias("row_id"), "x", "y", *cell(0)).select(
+        "row_id", "x", "y", F.col("cx").alias("kx"), F.col("cy").alias("ky"),
+        F.lit(float(radius)).alias("bound"),
     )
-    dx = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0))
-    dy = F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0))
-    fx = F.greatest(F.abs(F.col("x") - F.col("x0")), F.abs(F.col("x") - F.col("x1")))
-    fy = F.greatest(F.abs(F.col("y") - F.col("y0")), F.abs(F.col("y") - F.col("y1")))
+
+    def nearest(b: Column) -> Column:
+        return F.hypot(F.greatest(b["x0"] - F.col("x"), F.col("x") - b["x1"], F.lit(0.0)),
+                       F.greatest(b["y0"] - F.col("y"), F.col("y") - b["y1"], F.lit(0.0)))
+
+    def farthest(b: Column) -> Column:
+        return F.hypot(F.greatest(F.abs(F.col("x") - b["x0"]), F.abs(F.col("x") - b["x1"])),
+                       F.greatest(F.abs(F.col("y") - b["y0"]), F.abs(F.col("y") - b["y1"])))
+
     own = Window.partitionBy("row_id")
+    aside = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
     done, leaves = [], []
     for level in range(DEEPEST + 1):
         boxed = materialise(
@@ -359,12 +363,22 @@ def nearest_on_grid(
             ),
             "boxes",
         )
+        # at most nine boxes around a cell of the first depth, sixteen within a cell of a later one
+        if level == 0:
+            keyed = boxed.withColumn("_i", F.explode(aside)).withColumn("_j", F.explode(aside))
+            key = [F.col("cx") + F.col("_i"), F.col("cy") + F.col("_j")]
+        else:
+            keyed = boxed
+            key = [F.shiftright("cx", HALVINGS), F.shiftright("cy", HALVINGS)]
+        boxes = keyed.groupBy(key[0].alias("kx"), key[1].alias("ky")).agg(
+            F.collect_list(F.struct("cx", "cy", "n", "x0", "x1", "y0", "y1")).alias("boxes"))
+        sure = F.array_min(F.transform("boxes", farthest)) * (1 + 1e-12)
         kept = materialise(
-            around.join(boxed, ["cx", "cy"])
-            .withColumn("low", F.hypot(dx, dy))
-            .withColumn("bound", F.min(F.least("bound", F.hypot(fx, fy) * (1 + 1e-12))).over(own))
-            .filter(F.col("low") <= F.col("bound"))
-            .select("row_id", "x", "y", "cx", "cy", "low", "bound", "n"),
+            around.join(boxes, ["kx", "ky"])
+            .withColumn("bound", F.min(F.least("bound", sure)).over(own))
+            .withColumn("b", F.explode(F.filter("boxes", lambda b: nearest(b) <= F.col("bound"))))
+            .select("row_id", "x", "y", "b.cx", "b.cy", nearest(F.col("b")).alias("low"),
+                    "bound", "b.n"),
             "kept",
         )
         large = (F.col("n") > leaf) & F.lit(level < DEEPEST)
@@ -381,13 +395,8 @@ def nearest_on_grid(
         open_points = materialise(
             placed.join(split, ["cx", "cy"], "left_semi").select("x", "y", "ref_id"), "points"
         )
-        parts = F.array(*[F.lit(i).cast("long") for i in range(2**HALVINGS)])
-        around = kept.filter(large).withColumn("_i", F.explode(parts)).withColumn(
-            "_j", F.explode(parts)
-        ).select(
-            "row_id", "x", "y", (F.col("cx") * 2**HALVINGS + F.col("_i")).alias("cx"),
-            (F.col("cy") * 2**HALVINGS + F.col("_j")).alias("cy"), "bound",
-        )
+        around = kept.filter(large).select(
+            "row_id", "x", "y", F.col("cx").alias("kx"), F.col("cy").alias("ky"), "bound")
 
     def union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
