@@ -114,3 +114,20 @@ def test_attributions_add_up(d, most):
     got = C.attributions_of(x, f, centres, shares, z, C.solver(z, weights) if d > 1 else np.zeros((1, 1)))
     assert np.allclose(got.sum(axis=1), f(x) - shares @ f(centres))
     assert np.allclose(got, (x - shares @ centres) * w)  # a linear model's attributions are known
+
+
+def test_mixed_rows_are_scored_from_shared_factors(spark, monkeypatch):
+    """The mean score over coalitions equals that of the mixed rows themselves, in blocks too; rows are dealt over all cores."""
+    x, _, df = table(spark, 60)
+    d = x.shape[1]
+    model = K.KernelProbability(K.fit_margin(df, landmarks=20))
+    z, _ = C.coalitions(d, 40)
+    centres, shares = x[:3] + 0.1, np.array([0.2, 0.5, 0.3])
+    want = np.array([[shares @ model(np.where(c > 0, row, centres)) for c in z] for row in x])
+    assert np.allclose(model.over_coalitions(x, centres, shares, z), want, atol=1e-12)
+    monkeypatch.setattr(K, "MIXED", 300)
+    assert np.allclose(model.over_coalitions(x, centres, shares, z), want, atol=1e-12)
+    base = list(zip(centres.tolist(), shares))
+    out = C.kernel_attributions(df.coalesce(1), "vec_id", model, base)
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert out.count() == 60 * d

@@ -2,7 +2,8 @@
 
 Coalitions of features and their weights are the same for every row, so the weighted normal equations are inverted once:
 a row's attributions are one matrix product with its coalitions' scores. The background is a few weighted
-centres; a coalition's score is the weighted mean over all of them.
+centres; a coalition's score is the weighted mean over all of them. A scorer may bring ``over_coalitions``, which gives
+the same means without the mixed rows, if its form allows to share the work between them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PROBES = 1 << 16  # rows that a scorer is given at once
+ROWS_PER_TASK = 4096
 Scorer = Callable[[np.ndarray], np.ndarray]
 
 
@@ -77,6 +79,8 @@ def attributions_of(x: np.ndarray, score: Scorer, centres: np.ndarray, shares: n
     whole = score(x) - base
     if d == 1:
         return whole[:, None]
+    if hasattr(score, "over_coalitions"):
+        return np.column_stack([score.over_coalitions(x, centres, shares, z) - base, whole]) @ solve.T
     out = np.zeros((n, len(z)))
     step = max(1, PROBES // max(1, len(z)))
     for lo in range(0, n, step):
@@ -92,7 +96,7 @@ def kernel_attributions(
 ) -> DataFrame:
     """(ident, i, value) for every row with a vector; ``base`` are (centre, share) pairs.
 
-    The scorer runs on numpy matrices inside the tasks. No row is shuffled: its coalitions live and end in its batch.
+    The scorer runs on numpy matrices inside the tasks. A row's coalitions live and end in its batch.
     """
     centres = np.array([b[0] for b in base], float)
     shares = np.array([b[1] for b in base], float)
@@ -112,4 +116,7 @@ def kernel_attributions(
                 names=[ident, "i", "value"])
 
     rows = df.where(F.col(vec).isNotNull()).select(ident, F.col(vec).cast("array<double>").alias("features"))
+    # a row takes long and few bytes: files would put all rows into a few tasks
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_TASK)
+    rows = rows.repartition(parts)
     return rows.mapInArrow(run, f"`{ident}` {kind}, i int, value double")
