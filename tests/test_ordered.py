@@ -362,3 +362,24 @@ def test_windows_are_cut_into_blocks(series):
     for line in windows:
         for spec in line.split("windowspecdefinition(")[1:]:
             assert spec.split(", ")[1].startswith("_block"), spec[:80]
+
+
+def test_drawn_pairs_are_read_from_arrays_and_never_broadcast(spark):
+    """Short keys read their pairs from one array, longer ones join them; both give the same pairs."""
+    rows = [(s, t, float((t * t * 7 + s * 3) % 101 + 1)) for s, n in ((1, 40), (2, 90), (3, 3), (4, 5000), (5, 2)) for t in range(n)]
+    rows += [(None, t, float(t + 1)) for t in range(40)]
+    vectors = SR.delay_vectors(spark.createDataFrame(rows, "series_id long, t long, x double"))
+    near, far = SR.drawn_pairs(vectors)
+    assert {r[0] for r in near.select("series_id").distinct().collect()} == {1, 2}
+    assert {r[0] for r in far.select("series_id").distinct().collect()} == {4}
+    got = sorted(map(tuple, SR.sampled_pairs(vectors).collect()))
+    joined = [x for part in SR.drawn_pairs(vectors, reach=0) for x in part.collect()]
+    assert got == sorted(map(tuple, joined)) and len(got) > 900
+    x = {(s, t): v for s, t, v in rows}
+    s, k, dist = got[0]
+    u, w = (k + 1) * 48271 % SR._M, (k + 1) * 40692 % SR._M
+    p, q = u * u % SR._M, (w * w + w) % SR._M
+    i, j = ((v * 2147483648 + v * 69621 % SR._M) % 38 for v in (p, q))
+    assert s == 1 and abs(dist - sum((x[s, i + d] - x[s, j + d]) ** 2 for d in range(3)) ** 0.5) < 1e-12
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") + plan.count("leftHint=(strategy=merge)") == 2
