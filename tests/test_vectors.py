@@ -200,3 +200,54 @@ def test_patient_round_trip(spark):
     assert {r["baseline"][0] for r in kept.collect()} == {0.5, -1.0}
     twice = df.unionByName(df.withColumn("us", F.col("us") + 10))
     assert {r["us"] for r in PA.last_wins(twice).collect()} == {11, 12}
+
+
+def test_greatest_by_groups_equals_a_full_sort():
+    r = np.random.default_rng(4)
+    for width in (5, 320, 321, 383, 1000, 4096):
+        for sims in (r.normal(size=(20, width)), r.integers(0, 9, (20, width)) / 9.0, np.ones((20, width))):
+            sims[3, : width // 2] = -np.inf
+            assert (VE._greatest(sims, 5) == np.argsort(-sims, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_references_are_made_ready_once_a_task(spark, refs, monkeypatch):
+    """Small tiles, ties and several tasks from one file: the answer is that of one matrix, each block made ready once."""
+    monkeypatch.setattr(VE, "WIDE", 70)
+    monkeypatch.setattr(VE, "GROUP", 4)
+    monkeypatch.setattr(VE, "TILE", 7)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(400, 4)).round(1)
+    x[300:] = x[:100]
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, cohort long, embedding array<double>").coalesce(1)
+    made = spark.sparkContext.accumulator(0)
+    unit = VE._unit
+    monkeypatch.setattr(VE, "_unit", lambda m: made.add(len(m) == 400) or unit(m))
+    found = VE.nearest_references(df, df, 5, row_id="vec_id", skip_self=True)
+    got = {}
+    for row in found.collect():
+        got.setdefault(row.row_id, []).append((row["rank"], row.ref_id, row.similarity))
+    u = unit(x)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -np.inf)
+    assert sorted(got) == list(range(400))
+    for i in range(400):
+        best = [s for _, _, s in sorted(got[i])]
+        assert np.allclose(best, np.sort(sims[i])[::-1][:5]) and all(abs(sims[i, j] - s) < 1e-12 for _, j, s in got[i])
+    assert 1 < made.value <= 2 * spark.sparkContext.defaultParallelism  # a task's rows are spread, its references made ready once
+
+
+@pytest.mark.parametrize("limit", [VE.BROADCAST_BYTES, 3000])
+def test_nearest_within_by_strips(spark, limit):
+    r = np.random.default_rng(8)
+    pts = np.concatenate([r.normal(0, 3, (300, 2)).round(1), [[np.nan, 1.0], [0.5, 0.5], [-0.5, 0.5]]])
+    points = spark.createDataFrame([(1000 - i, p.tolist()) for i, p in enumerate(pts)], "point_id long, xy array<double>")
+    own = np.concatenate([r.normal(0, 3, (200, 2)).round(1), [[0.0, 0.5], [np.inf, 0.0]]])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(own)], "row_id long, xy array<double>")
+    got = {x.row_id: (x.ref_id, x.distance) for x in VE.nearest_within(rows, points, 0.5, limit=limit).collect()}
+    want = {}
+    for i, p in enumerate(own[:-1]):
+        d = np.sqrt(((p - pts) ** 2).sum(axis=1))
+        at = min((d[j], 1000 - j) for j in range(len(pts)) if not np.isnan(d[j]))
+        if at[0] < 0.5:
+            want[i] = (at[1], at[0])
+    assert got == want and len(want) > 100
