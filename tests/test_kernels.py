@@ -131,3 +131,17 @@ def test_mixed_rows_are_scored_from_shared_factors(spark, monkeypatch):
     out = C.kernel_attributions(df.coalesce(1), "vec_id", model, base)
     assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert out.count() == 60 * d
+
+
+def test_scores_hold_few_kernel_values_at_once(monkeypatch):
+    """Whatever the size of a batch, a matrix of rows by support rows has no more cells than the bound."""
+    x = np.random.default_rng(3).normal(size=(500, 4))
+    sizes = []
+    def score(rows):
+        sizes.append(len(rows))
+        return K.gaussian(rows, x[:50], 0.3) @ np.ones(50)
+    monkeypatch.setattr(K, "CELLS", 1000)
+    got = K._in_slices(score, x, 50)
+    assert max(sizes) * 50 <= 1000 and sum(sizes) == 500
+    assert np.allclose(got, K.gaussian(x, x[:50], 0.3) @ np.ones(50))
+    assert K._in_slices(score, x[:0], 50).shape == (0,)

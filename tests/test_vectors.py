@@ -239,7 +239,7 @@ def test_references_are_made_ready_once_a_task(spark, refs, monkeypatch):
 @pytest.mark.parametrize("limit", [VE.BROADCAST_BYTES, 3000])
 def test_nearest_within_by_strips(spark, limit):
     r = np.random.default_rng(8)
-    pts = np.concatenate([r.normal(0, 3, (300, 2)).round(1), [[np.nan, 1.0], [0.5, 0.5], [-0.5, 0.5]]])
+    pts = np.concatenate([r.normal(0, 3, (300, 2)).round(1), [[np.inf, 1.0], [0.5, 0.5], [-0.5, 0.5]]])
     points = spark.createDataFrame([(1000 - i, p.tolist()) for i, p in enumerate(pts)], "point_id long, xy array<double>")
     own = np.concatenate([r.normal(0, 3, (200, 2)).round(1), [[0.0, 0.5], [np.inf, 0.0]]])
     rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(own)], "row_id long, xy array<double>")
