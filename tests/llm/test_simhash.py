@@ -172,3 +172,16 @@ def test_pairs_inside_a_loose_group_are_found(spark):
     assert all(jaccard(rows[0][1], t) > 0.6 for _, t in rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(x.doc_id for x in S.drop_similar(docs).collect()) == list(range(0, 80, 2))
+
+
+def test_near_copies_come_through_the_fingerprints(spark, monkeypatch):
+    """Documents with like fingerprints are verified and linked by them, bands left out; those that only look alike are not."""
+    monkeypatch.setattr(S, "_all_pairs", lambda shared: shared.select(shared.doc_id.alias("a"), shared.doc_id.alias("b")).limit(0))
+    r = np.random.default_rng(12)
+    base = [f"w{x}" for x in r.integers(0, 50_000, 3000)]
+    other = [f"v{x}" for x in r.integers(0, 50_000, 3000)]
+    copy = [*base[:1500], "altered", *base[1501:]]
+    docs = spark.createDataFrame([(5, " ".join(base)), (7, " ".join(copy)), (9, " ".join(other)), (None, " ".join(base))], "doc_id long, text string")
+    prints = {x.doc_id: x.component_id for x in S.near_duplicates(docs).collect()}
+    assert prints[7] == 5 and prints[9] == 9
+    assert sorted(map(tuple, S.similar_pairs(docs).distinct().collect())) == [(5, 7)]
