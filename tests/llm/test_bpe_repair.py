@@ -124,3 +124,27 @@ def test_pairs_are_replaced_until_none_is_frequent():
     assert block.lengths.max() > 2000
     pairs = Counter(p for i in range(len(docs)) for s in [block.symbols[slice(*block._bounds(i))].tolist()] for p in zip(s, s[1:]))
     assert max(pairs.values(), default=0) < R.LEAST
+
+
+def test_batches_encode_like_texts_alone(monkeypatch):
+    coder = B.Codec(B.vocabulary_file())
+    monkeypatch.setattr(B, "KNOWN", 3)
+    monkeypatch.setattr(B, "WHOLE", 60)
+    texts = [
+        "", " ", "\n", "one two one", " led by a blank", "two  blanks", "a\nb\n\nc", "tab\tand　wide", "ends \n", "x" * 61,
+        "it's 1,000 né 名前 \U0001f600! <|endoftext|> <|end", "\x1c a\x85b", "two one's", "a b", "été été"]
+    for _ in range(2):
+        assert coder.encode_all(texts) == [coder.encode(t) for t in texts]
+    monkeypatch.setattr(coder, "join_whole", None)
+    assert coder.encode_all(texts) == [coder.encode(t) for t in texts]
+
+
+def test_rounds_look_only_at_what_may_be_frequent(monkeypatch):
+    looked = []
+    once = R._frequent
+    monkeypatch.setattr(R, "_frequent", lambda key: looked.append(len(key)) or once(key))
+    rng = np.random.default_rng(5)
+    docs = [np.r_[rng.integers(1000, 40_000, 20_000), np.tile(rng.integers(3, 9, 12), 60)].astype(np.uint32) for _ in range(3)]
+    got = R.Block(R.compress(docs))
+    assert all(np.array_equal(got.document(i), d) for i, d in enumerate(docs))
+    assert len(looked) > 2 and max(looked[1:]) < looked[0] / 10

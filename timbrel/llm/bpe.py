@@ -31,6 +31,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CACHED = 100_000  # pieces that each of the two caches of a worker keeps, about 15 MB; beyond it the cache starts anew
 CACHED_LENGTH = 48
+KNOWN = 300_000  # words of which a worker that encodes batches keeps the ids, besides those of one batch; about 45 MB
+WHOLE = 200_000  # characters of a text that the library joins at once; its pattern keeps a state for each one of a run
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,12 +81,18 @@ class Codec:
         in_order = made == sorted(set(made)) and min(made, default=256) > max(self.byte_ids)
         joiner = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if in_order else None
         self.join = joiner._core_bpe.encode_single_piece if joiner else None
+        self.join_whole = joiner._core_bpe.encode_ordinary if joiner else None
+        # tokens that begin with white space, by id: a piece's first token does, and no other one of it
+        self.begins = np.zeros(max(self.tokens, default=0) + 1, bool)
+        self.begins[[i for i, t in self.tokens.items() if t[:1] in (b" ", b"\n")]] = True
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.other_spaces = [x for x in SPACES if x not in " \n"]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.after_blank = Kept(lambda s: self._piece(s if s[:1] == "\n" else " " + s))
         self.pieces = Kept(self._piece)
+        self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of the known words
 
     def forced_cuts(self, raw: bytes) -> list[bytes]:
         """``raw`` cut wherever two neighbouring bytes occur inside no token."""
@@ -142,6 +150,48 @@ class Codec:
             for x in self.specials.split(text) if x
         )
 
+    def _learn(self, words: set[str]) -> None:
+        """Keeps the ids of words that follow a blank (or begin with a line break), all new ones encoded as one text.
+
+        The pattern never crosses into white space, so a word's ids are the same in any text that goes on with white space.
+        """
+        if len(self.known) > KNOWN or self.held > KNOWN * 16:
+            self.known, self.held = {}, 0
+        new = [w for w in words if w not in self.known]
+        if not new:
+            return
+        ids = np.array(self.join_whole("".join([w if w[0] == "\n" else " " + w for w in new])), "<u4")
+        raw = ids.tobytes()
+        edges = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(raw)]
+        self.held += sum(map(len, new))
+        self.known |= zip(new, [raw[i:j] for i, j in zip(edges, edges[1:])])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of every text, new words of all texts encoded together where a library can join bytes.
+
+        Only single blanks and line breaks are cut at; a text with other white space is joined whole, very long ones
+        and ones with special tokens by ``encode``.
+        """
+        if not self.join_whole:
+            return [self.encode(t) for t in texts]
+        out, waiting, words = [b""] * len(texts), [], set()
+        for k, text in enumerate(texts):
+            if len(text) > WHOLE or self.specials is not None and self.specials.search(text):
+                out[k] = self.encode(text)
+                continue
+            parts = text.replace("\n", " \n").split(" ")
+            if parts[0] in ("", "\n") or any(x in text for x in self.other_spaces) or "" in parts or "\n" in parts:
+                out[k] = np.array(self.join_whole(text), "<u4").tobytes()
+            else:
+                out[k] = np.array(self.join_whole(parts[0]), "<u4").tobytes()
+                del parts[0]
+                words.update(parts)
+                waiting.append((k, parts))
+        self._learn(words)
+        for k, parts in waiting:
+            out[k] += b"".join(map(self.known.__getitem__, parts))
+        return out
+
     def decode(self, ids: bytes) -> str:
         """The text of the ids; bytes that are no UTF-8 become U+FFFD, ids outside the vocabulary nothing."""
         get = self.tokens.get

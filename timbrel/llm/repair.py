@@ -35,61 +35,97 @@ LEAST = 24  # occurrences that make a pair frequent
 SLOTS = 20  # bits of the hashed count that precedes the exact one
 
 
-def _frequent(x: np.ndarray, last: np.ndarray):
-    """Frequent pairs with their counts, and the places of all of them: (pairs, counts, place, pair index)."""
-    key = x[:-1] << 32 | x[1:]
-    # a cheap count over hashed keys first: few of the rare pairs reach the sort
-    slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
-    often = np.bincount(slot, minlength=1 << SLOTS) >= LEAST
-    place = np.flatnonzero(often[slot] & ~last[:-1])
-    some = key[place]
+def _frequent(key: np.ndarray):
+    """Frequent pairs with their counts, and which of the keys are among them: (pairs, counts, kept keys, pair index)."""
+    among, some, slot = np.arange(len(key)), key, None
+    if len(key) >> SLOTS - 4:
+        # a cheap count over hashed keys first: few of the rare pairs reach the sort
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)
+        among = np.flatnonzero((np.bincount(slot, minlength=1 << SLOTS) >= LEAST)[slot])
+        some, slot = key[among], slot[among]
     ranked = np.sort(some)
     edge = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
     n = np.diff(np.r_[edge, len(ranked)])
     pairs, counts = ranked[edge[n >= LEAST]], n[n >= LEAST]
     if not len(pairs):
-        return pairs, counts, place[:0], place[:0]
-    at = np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)
+        return pairs, counts, among[:0], among[:0]
+    if slot is None:
+        at = np.minimum(np.searchsorted(pairs, some), len(pairs) - 1)
+    else:
+        # most slots hold one frequent pair; only keys of the others are searched for
+        number = np.zeros(1 << SLOTS, np.int32)
+        number[(pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOTS)).view(np.int64)] = np.arange(len(pairs))
+        at = number[slot].astype(np.int64)
+        other = np.flatnonzero(pairs[at] != some)
+        at[other] = np.minimum(np.searchsorted(pairs, some[other]), len(pairs) - 1)
     match = pairs[at] == some
-    return pairs, counts, place[match], at[match]
+    return pairs, counts, among[match], at[match]
+
+
+def _in_order(places: np.ndarray, n: int) -> np.ndarray:
+    """The distinct places below ``n``, ascending."""
+    if len(places) < n >> 5:
+        return np.unique(places)
+    seen = np.zeros(n, bool)
+    seen[places] = True
+    return np.flatnonzero(seen)
 
 
 def compress(documents: list[np.ndarray]) -> bytes:
-    """One block of the documents' ids."""
+    """One block of the documents' ids.
+
+    A round looks only at places whose pair was frequent in the round before or holds a symbol made by it: any other
+    pair was rare and has not become more frequent, and a new symbol occurs nowhere else. Symbols keep their
+    places; ``after`` and ``before`` lead past those that went into others.
+    """
     ends = np.cumsum([len(d) for d in documents], dtype=np.int64)
-    x = np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.int64)
+    x = np.concatenate([*documents, np.zeros(0, np.uint32)]).astype(np.int32)  # ids and rules of a block are below 2^31
     base = int(x.max(initial=0)) + 1
     last = np.zeros(len(x), bool)
     last[ends[ends > 0] - 1] = True
+    after, before = np.arange(1, len(x) + 1, dtype=np.int32), np.arange(-1, len(x) - 1, dtype=np.int32)
+    alive = np.ones(len(x), bool)
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    while len(x) > 1:
-        pairs, counts, place, at = _frequent(x, last)
+    look = np.flatnonzero(~last)
+    while len(look):
+        key = x[look].astype(np.int64)
+        key <<= 32
+        key |= x[after[look]]
+        pairs, counts, found, at = _frequent(key)
         if not len(pairs):
             break
+        place = look[found].astype(np.int32)
         # of overlapping pairs the more frequent goes first; among equals every other one
-        touch = np.r_[False, place[1:] == place[:-1] + 1]
-        index = np.arange(len(place))
-        begin = np.maximum.accumulate(np.where(touch, 0, index))
-        rank = counts[at] * 2 + ((index - begin) % 2 == 0)
-        before = np.where(touch, np.r_[0, rank[:-1]], 0)
-        after = np.where(np.r_[touch[1:], False], np.r_[rank[1:], 0], 0)
-        taken = (rank > before) & (rank >= after)
-        taken &= ~(touch & np.r_[False, taken[:-1]])
+        touch = np.zeros(len(place) + 1, bool)
+        np.equal(place[1:], after[place[:-1]], out=touch[1:-1])
+        index = np.arange(len(place), dtype=np.int32)
+        begin = np.maximum.accumulate(np.where(touch[:-1], 0, index))
+        rank = counts.astype(np.int32)[at] * 2 + ((index - begin) & 1 == 0)
+        taken = np.ones(len(place), bool)
+        taken[1:] = ~touch[1:-1] | (rank[1:] > rank[:-1])
+        taken[:-1] &= ~touch[1:-1] | (rank[:-1] >= rank[1:])
+        taken[1:] &= ~(touch[1:-1] & taken[:-1])
         used = np.bincount(at[taken], minlength=len(pairs)) >= 2
         if not used.any():
             break
         taken &= used[at]
-        number = np.cumsum(used) - 1 + base + len(rules)
+        number = (np.cumsum(used) - 1 + base + len(rules)).astype(np.int32)
         here, at = place[taken], at[taken]
         made = np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1)
+        gone = after[here]
         x[here] = number[at]
-        last[here] = last[here + 1]
-        keep = np.ones(len(x), bool)
-        keep[here + 1] = False
-        x, last = x[keep], last[keep]
+        last[here] = last[gone]
+        alive[gone] = False
+        follows = after[gone]
+        after[here] = follows
+        inner = follows < len(x)
+        before[follows[inner]] = here[inner]
+        look = _in_order(np.concatenate([place, here, before[here[before[here] >= 0]]]), len(x))
+        look = look[alive[look] & ~last[look]]
         size = lambda s: np.where(s < base, 1, lengths[np.maximum(s - base, 0)] if len(lengths) else 1)
         lengths = np.r_[lengths, size(made[:, 0]) + size(made[:, 1])]
         rules = np.vstack([rules, made])
+    x, last = x[alive], last[alive]
     closing = np.cumsum(last)  # empty documents end where the one before them ends
     filled = np.searchsorted(closing, np.cumsum([len(d) > 0 for d in documents])) + 1
     symbol_ends = np.where(np.cumsum([len(d) > 0 for d in documents]) > 0, filled, 0)
@@ -173,7 +209,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = codec(vocabulary), TaskContext.get().partitionId()
-        end, waiting, names, count, start, part = np.array([END], "<u4"), [], [], 0, 0, 0
+        end, waiting, names, count, start, part = END.to_bytes(4, "little"), [], [], 0, 0, 0
 
         def block():
             return pa.RecordBatch.from_pydict({
@@ -184,8 +220,9 @@ def write(
 
         for b in batches:
             id_type = b[0].type
-            for name, data in zip(b[0], b[1].to_pylist()):
-                ids = np.r_[np.frombuffer(coder.encode(data.decode("utf-8", "replace")), "<u4"), end]
+            texts = [t.decode("utf-8", "replace") for t in b[1].to_pylist()]
+            for name, data in zip(b[0], coder.encode_all(texts)):
+                ids = np.frombuffer(data + end, "<u4")
                 waiting.append(ids)
                 names.append(name)
                 count += len(ids)
