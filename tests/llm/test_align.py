@@ -126,3 +126,15 @@ def test_odd_rows(spark):
     got = A.link_strength(docs, *FILES).collect()
     assert sorted((str(r.doc_id), r.n_a > 0, r.n_links > 80_000) for r in got) == [("1", False, False), ("1", True, False), ("1", True, False), ("2", True, True), ("None", True, False)]
     assert A.link_strength(docs.limit(0), *FILES).collect() == []
+
+
+def test_sides_and_segments_agree_however_they_are_read(monkeypatch):
+    texts = ["one two\tthree", "a  b", "line \n next", "", "x" * 50 + " y", "名前 é\xa0 z", "<|endoftext|> 1,000 'll", "  w\x85 v", "▁ ▁a"]
+    for t in texts:
+        assert [" " + s for s in A.segmented(t and " " + t)] == A.SEGMENTS.findall(t and " " + t)
+    one, two = A.ByteLevel(FILES[0]), A.Pieces(FILES[1])
+    assert one.join is not None
+    parts = [[" " + s for s in A.segmented(" " + t)] for t in texts if t and t[-1] not in A.SPACES and "▁" not in t]
+    plain = [A.entries(one, two, p) for p in parts]
+    monkeypatch.setattr(A, "WHOLE", 0)  # every segment by the library and its offsets
+    assert [A.entries(one, two, p) for p in parts] == plain and None not in sum(plain, [])

@@ -1,9 +1,9 @@
 """Alignment of two tokenizers by the spans of their tokens.
 
 A byte-level BPE (A) reads a space and the text, a sentencepiece model (B) reads the text and adds that space
-itself. The character offsets of the one and the spans of the other's proto are coarse cuts: they say which
-tokens stand alone on a stretch of text. Where several tokens share characters - parts of a multibyte character,
-byte-fallback tokens - the decoded bytes of the tokens place the cuts inside. Tokens whose byte ranges overlap are
+itself. A's tokens are placed by their bytes. The spans of B's proto are coarse cuts: they say which
+tokens stand alone on a stretch of text. Where several tokens share characters - byte-fallback tokens -
+the decoded bytes of the tokens place the cuts inside. Tokens whose byte ranges overlap are
 linked, and byte offsets where tokens of both end cut a text into groups.
 
 Texts are read in segments at whose edges both tokenizers are known to cut: before spaces that follow no other
@@ -13,10 +13,12 @@ white space. Groups and links therefore stay inside a segment, and one that come
 from __future__ import annotations
 
 import gc
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from timbrel.llm.bpe import SPACES, byte_letters
+from timbrel.llm.bpe import SPACES, WHOLE, byte_letters, codec
 from timbrel.llm.common import arrow_map, utf8
 from timbrel.session import materialise
 
@@ -36,8 +38,18 @@ BATCH_BYTES = 4 << 20  # texts are aligned together up to so many bytes; a longe
 FREQUENT = 500_000  # pairs that at most are broadcast: those with at least 1 / FREQUENT of all links
 B_BITS = 15  # ids of B in a pair's number
 OTHER_SPACES = SPACES.replace(" ", "")
+FIELDS_OF_PIECE = attrgetter("id", "begin", "end")
+BEFORE_BLANK = [x + " " for x in OTHER_SPACES]
 SEGMENTS = re.compile(f" +[^ ]*(?:(?<=[{OTHER_SPACES}]) +[^ ]*)*")
 
+
+def segmented(text: str) -> list[str]:
+    """The segments of a text that begins with a blank, each without its first blank."""
+    if "  " in text or any(x in text for x in BEFORE_BLANK):
+        return [s[1:] for s in SEGMENTS.findall(text)]
+    return text.split(" ")[1:]
+
+
 def token_ends(raw: bytes, begin: np.ndarray, end: np.ndarray, tokens: list[bytes]) -> np.ndarray | None:
     """Where each token ends in ``raw``; None if the tokens' bytes are not ``raw``.
 
@@ -59,17 +71,27 @@ class Side:
 
     bytes: dict[int, bytes] | list[bytes]
 
-    def encode(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids and ends of the tokens of ``text``, None where their bytes are not ``raw``."""
+    def encode(self, text: str, raw: bytes, longest: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and ends of the tokens of ``text``, None where their bytes are not ``raw``; ``longest`` bounds its segments."""
         ids, begin, end = self.tokens(text)
         ends = token_ends(raw, begin, end, [self.bytes[i] for i in ids.tolist()])
         return None if ends is None else (ids, ends)
 
 
 class ByteLevel(Side):
-    """A byte-level BPE file; spans are those of the library's offsets."""
+    """A byte-level BPE file. Its tokens are byte strings of the vocabulary, so each one's own bytes place it.
+
+    The codec of ``bpe`` gives the ids of the plain form that it knows, for segments up to ``WHOLE`` characters; for
+    others, and other forms, the library does, with spans by its offsets.
+    """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        known = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        cut = spec.get("pre_tokenizer") or {}
+        plain = spec.get("normalizer") is None and known == {k: cut.get(k) for k in known}
+        self.join = codec(path).join_whole if plain else None
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -79,6 +101,15 @@ class ByteLevel(Side):
             i: bytes(letters[x] for x in t) if all(x in letters for x in t) else t.encode()
             for t, i in self.library.get_vocab().items()}
 
+    def encode(self, text: str, raw: bytes, longest: int) -> tuple[np.ndarray, np.ndarray] | None:
+        if self.join is None or longest > WHOLE:
+            return super().encode(text, raw, longest)
+        ids = self.join(text)
+        tokens = [self.bytes[i] for i in ids]
+        if b"".join(tokens) != raw:
+            return None
+        return np.array(ids, np.int64), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))
+
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         found = self.library.encode(text, add_special_tokens=False)
         spans = np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
@@ -106,7 +137,7 @@ class Pieces(Side):
             return np.array([self.blank]), np.array([0]), np.array([1])
         # the first space is the one that the model adds itself; its spans count the text's bytes without it
         proto = self.library.encode(text[1:], return_type="proto", num_threads=1).pieces
-        found = np.fromiter(chain.from_iterable([(x.id, x.begin, x.end) for x in proto]), np.int64).reshape(-1, 3)
+        found = np.fromiter(chain.from_iterable(map(FIELDS_OF_PIECE, proto)), np.int64).reshape(-1, 3)
         begin, end = found[:, 1] + 1, found[:, 2] + 1
         begin[0] = 0
         return found[:, 0], begin, end
@@ -143,7 +174,8 @@ def entries(a: Side, b: Side, segments: list[str]) -> list[Entry]:
         return []
     parts = [s.encode() for s in segments]
     text, raw = "".join(segments), b"".join(parts)
-    found = [a.encode(text, raw), b.encode(text, raw)]
+    longest = max(map(len, segments))
+    found = [a.encode(text, raw, longest), b.encode(text, raw, longest)]
     stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
     fits = lambda x: x is not None and np.isin(stops, x[1], assume_unique=True).all()
     if not all(map(fits, found)):  # some segment differs: it is looked for
@@ -175,20 +207,24 @@ class Store:
 
     def align(self, texts: list[str]) -> list[list[Entry]]:
         """The entries of every text; each text begins with the space that belongs to it."""
-        lists = [SEGMENTS.findall(t) for t in texts]
+        lists = [segmented(t) for t in texts]
         segments = set(chain.from_iterable(lists))
-        known = {s: self.young[s] for s in segments if s in self.young}
-        known |= {s: self.old[s] for s in segments if s in self.old}
-        new = [s for s in segments if s not in known]
+        again = segments & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        new = segments - self.young.keys()
         # white space at a segment's end would run on into the next one; the letter for a space is not the text's own
-        single = [s for s in new if s[-1] in SPACES or "▁" in s]
-        joint = [s for s in new if s[-1] not in SPACES and "▁" not in s]
-        known |= zip(joint, entries(self.a, self.b, joint))
-        known |= {s: entries(self.a, self.b, [s])[0] for s in single}
-        self.young |= {s: e for s, e in known.items() if len(s) <= CACHED_LENGTH}
+        single = [s for s in new if s[-1:] in SPACES or "▁" in s]
+        joint = list(new.difference(single))
+        known = dict(zip(joint, entries(self.a, self.b, [" " + s for s in joint])))
+        known |= {s: entries(self.a, self.b, [" " + s])[0] for s in single}
+        self.young |= known
+        found = [list(map(self.young.__getitem__, x)) for x in lists]
+        for s in known:
+            if len(s) > CACHED_LENGTH:
+                del self.young[s]
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
-        return [[known[s] for s in x] for x in lists]
+        return found
 
 
 @lru_cache(maxsize=2)
@@ -198,10 +234,10 @@ def store(a: str, b: str) -> Store:
 
 def summed(lists: list[list[Entry]]) -> tuple:
     """Per text: numbers of A and B tokens, groups and links, the groups' text, distinct pairs; then all pairs and their numbers of links."""
-    lists = [() if None in x else x for x in lists]
-    counts = [sum(e[0] for e in x) for x in lists]
-    groups = [";".join([e[1] for e in x]) for x in lists]
-    flat = [b"".join([e[2] for e in x]) for x in lists]
+    columns = [((), (), ()) if not x or None in x else tuple(zip(*x)) for x in lists]
+    counts = [sum(n) for n, _, _ in columns]
+    groups = [";".join(g) for _, g, _ in columns]
+    flat = [b"".join(x) for _, _, x in columns]
     n_links = np.array([len(x) // 4 for x in flat], np.int64)
     links = np.repeat(np.arange(len(lists)), n_links) << 32 | np.frombuffer(b"".join(flat), "<i4").astype(np.int64)
     links.sort()
