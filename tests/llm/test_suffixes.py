@@ -89,3 +89,13 @@ def test_no_rows_and_repeated_rows(spark):
     assert S.remove_repeats(none).collect() == []
     same = spark.createDataFrame([(1, "k" * 500), (1, "k" * 500), (None, "w" * 10)], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.n_removed) for r in S.remove_repeats(same).collect()) == [("1", 500), ("1", 500), ("None", 0)]
+
+
+def test_only_windows_that_are_asked_for_are_hashed(spark):
+    text = bytes(i * 7 % 251 for i in range(900))
+    after, before = bytearray(text[400:800]), bytearray(text[128:528][::-1])
+    rows = [(1, True, after, before, 20, 200, 10, 22, 199, 260), (2, False, after, before, 20, 200, None, None, 30, 30), (3, True, after, before, 20, 200, None, None, 260, 272)]
+    kind = "row long, open boolean, after binary, before binary, lo long, hi long, far_from long, far_to long, near_from long, near_to long"
+    got = S._windows(spark.createDataFrame(rows, kind)).collect()
+    assert sorted((r.row, r.back) for r in got) == [(1, 20), (1, 21), (1, 22), (1, 199), (1, 200), (2, 30)]
+    assert len({(r.h0, r.h1) for r in got}) == 6
