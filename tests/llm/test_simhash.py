@@ -185,3 +185,12 @@ def test_near_copies_come_through_the_fingerprints(spark, monkeypatch):
     prints = {x.doc_id: x.component_id for x in S.near_duplicates(docs).collect()}
     assert prints[7] == 5 and prints[9] == 9
     assert sorted(map(tuple, S.similar_pairs(docs).distinct().collect())) == [(5, 7)]
+
+
+def test_stars_need_no_round_and_long_chains_settle(spark):
+    stars = [(1, 5), (6, 1), (2, 9), (2, 9), (3, 3)]
+    got = components(spark.createDataFrame(stars, "a long, b long"), "a", "b", rounds=1)
+    assert {x.node: x.component for x in got.collect()} == {1: 1, 5: 1, 6: 1, 2: 2, 9: 2}
+    chain = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 80)]
+    got = components(spark.createDataFrame(chain, "a long, b long"), "a", "b")
+    assert {x.node: x.component for x in got.collect()} == {i: 0 for i in range(41)} | {i: 80 for i in (80, 90, 100)}

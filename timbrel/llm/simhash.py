@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import arrow_map, utf8
+from timbrel.llm.common import arrow_map, utf8, written
 from timbrel.llm.components import components
 from timbrel.llm.decontaminate import bounded
 from timbrel.session import materialise, steps
@@ -238,23 +238,25 @@ def similar_pairs(
     sets = materialise(_shingle_sets(texts.join(named, "doc_id", "left_semi"), words), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return materialise(_verified(_close(pairs.distinct(), sketches, similarity), sets, similarity), "links")
+        return written(_verified(_close(pairs.distinct(), sketches, similarity), sets, similarity), "links")
 
     near = near_duplicates(docs, doc_id, text).where("component_id <> doc_id").select(
         c("component_id").alias("a"), c("doc_id").alias("b"))
-    links = equal.union(check(near))
-    links = links.union(check(_all_pairs(shared.where(c("n") <= SMALL))))
+    links = equal.union(check(near)).union(check(_all_pairs(shared.where(c("n") <= SMALL))))
     weights = materialise(shared.groupBy("doc_id").agg(F.sum("n").alias("weight")), "weights")
     groups = materialise(shared.where(c("n") > SMALL).join(weights, "doc_id").select("key", "doc_id", "weight"), "groups")
     for turn in range(STARS + 1):
         if groups.isEmpty():
             break
-        parts = _unlinked(groups, links)
+        # components stand for the links that they were made from
+        found = components(links, "a", "b")
+        links = found.where("node <> component").select(c("component").alias("a"), c("node").alias("b"))
+        parts = _unlinked(groups, found)
         if turn == STARS:
             links = links.union(check(_across(parts)))
             break
         hubs = parts.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id", "part")).alias("hub"))
-        starred = materialise(parts.join(hubs, "key"), "starred")
+        starred = written(parts.join(hubs, "key"), "starred")
         pairs = starred.where(c("part") != c("hub.part")).select(c("doc_id").alias("a"), c("hub.doc_id").alias("b"))
         links = links.union(check(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
         groups = starred.where(c("doc_id") != c("hub.doc_id")).select("key", "doc_id", "weight")
@@ -266,9 +268,8 @@ def _all_pairs(shared: DataFrame) -> DataFrame:
     return side("a").join(side("b"), "key").where("a < b").select("a", "b")
 
 
-def _unlinked(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """``groups`` with the ``part`` that links connect each document to; only keys that hold several parts."""
-    found = components(links, "a", "b")
+def _unlinked(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """``groups`` with the ``part`` of ``found`` components that each document is in; only keys that hold several parts."""
     parts = materialise(groups.join(found, c("doc_id") == c("node"), "left").select(
         *groups.columns, F.coalesce("component", "doc_id").alias("part")), "parts")
     mixed = parts.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
