@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import written
+from timbrel.llm.common import settled
 
 c = F.col
 ROWS_PER_FILE = 500_000
@@ -57,13 +57,13 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """
     x, y = c(a), c(b)
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v").distinct()
-    now = written(now, "edges")
+    now = settled(now, "edges")
     for _ in range(rounds):
         # rounds only shorten the table, so its size bounds the files of the next round
-        n, settled = _state(now)
-        if settled:
+        n, stars = _state(now)
+        if stars:
             break
-        now = written(_small(_large(now)).coalesce(1 + n // ROWS_PER_FILE), "edges")
+        now = settled(_small(_large(now)).coalesce(1 + n // ROWS_PER_FILE), "edges")
     else:
         raise RuntimeError("the components did not settle")
     stars = now.select(c("u").alias("node"), c("v").alias("component"))

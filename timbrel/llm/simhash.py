@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.llm.common import arrow_map, utf8, written
+from timbrel.llm.common import arrow_map, settled, utf8
 from timbrel.llm.components import components
 from timbrel.llm.decontaminate import bounded
 from timbrel.session import materialise, steps
@@ -238,7 +238,7 @@ def similar_pairs(
     sets = materialise(_shingle_sets(texts.join(named, "doc_id", "left_semi"), words), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
-        return written(_verified(_close(pairs.distinct(), sketches, similarity), sets, similarity), "links")
+        return settled(_verified(_close(pairs.distinct(), sketches, similarity), sets, similarity), "links")
 
     near = near_duplicates(docs, doc_id, text).where("component_id <> doc_id").select(
         c("component_id").alias("a"), c("doc_id").alias("b"))
@@ -256,7 +256,7 @@ def similar_pairs(
             links = links.union(check(_across(parts)))
             break
         hubs = parts.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id", "part")).alias("hub"))
-        starred = written(parts.join(hubs, "key"), "starred")
+        starred = settled(parts.join(hubs, "key"), "starred")
         pairs = starred.where(c("part") != c("hub.part")).select(c("doc_id").alias("a"), c("hub.doc_id").alias("b"))
         links = links.union(check(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
         groups = starred.where(c("doc_id") != c("hub.doc_id")).select("key", "doc_id", "weight")
