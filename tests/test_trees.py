@@ -108,3 +108,17 @@ def test_rows_without_values_and_constant_labels(spark, one):
     model, base = T.boost(df, T.Boosting(rounds=2, growth=growth))
     assert np.isfinite(model.value).all() and np.isfinite(base)
     T.balanced_forest(df, trees=2, growth=growth)
+
+
+def test_rows_keep_bin_numbers_that_route_as_their_values_do(spark):
+    x = np.array([[0.0, 5.0], [1.0, np.nan], [2.0, 7.0], [1.5, 6.0]])
+    cuts = [np.array([0.5, 1.5]), np.array([5.0, 6.5])]
+    df = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>")
+    rows = T.binned(df, cuts, 8, "binned")
+    assert rows.columns == ["id", "codes"]  # passes over the rows read one byte a feature
+    got = {r.id: np.frombuffer(r.codes, np.int8).tolist() for r in rows.collect()}
+    assert got == {0: [0, 0], 1: [1, -1], 2: [2, 2], 3: [1, 1]}
+    trees = T.Trees(np.array([[0, -1, -1], [1, -1, -1]]), np.array([[1.5, 0, 0], [5.0, 0, 0]]), np.zeros((2, 3)))
+    codes = np.array([got[i] for i in range(4)], np.int8)
+    for t in range(2):
+        assert (trees.coded(cuts).leaves(codes, t) == trees.leaves(x, t)).all()

@@ -1,6 +1,6 @@
 """Trees grown from histograms: regularised second-order boosting and class-balanced forests.
 
-Rows stay where they are. For every level each task adds up two sums (gradient and curvature, or weighted
+Rows stay where they are, with their features written once as bin numbers of a byte. For every level each task adds up two sums (gradient and curvature, or weighted
 label and weight) per tree, node, feature and bin; one grouped aggregation joins the tasks' sums, and the best
 cut of every node is read from a table whose size the parameters bound, whatever the rows. Random draws come
 from a stable hash of row id and tree, so a lost task draws the same again. All trees of a forest
@@ -75,6 +75,13 @@ class Trees:
             out += self.value[t, self.leaves(x, t)]
         return out
 
+    def coded(self, cuts: Sequence[np.ndarray]) -> Trees:
+        """The same trees over bin numbers: a value lies above a cut where its bin number is above the cut's place."""
+        cut = self.cut.copy()
+        for t, n in zip(*np.nonzero(self.feature >= 0)):
+            cut[t, n] = np.searchsorted(cuts[self.feature[t, n]], self.cut[t, n])
+        return Trees(self.feature, cut, self.value)
+
     def join(self, other: Trees) -> Trees:
         return Trees(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("feature", "cut", "value")))
 
@@ -111,8 +118,39 @@ def cut_points(df: DataFrame, bins: int, vec: str = "features") -> list[np.ndarr
     return [np.unique(x) for x in found]
 
 
-def _binned(x: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(c, x[:, i]) for i, c in enumerate(cuts)], axis=1) if len(cuts) else np.zeros((len(x), 0), np.int64)
+def _code_type(bins: int) -> np.dtype:
+    return np.min_scalar_type(-max(1, bins))
+
+
+def binned(rows: DataFrame, cuts: Sequence[np.ndarray], bins: int, name: str) -> DataFrame:
+    """``rows`` written with ``codes``, the bin number of each feature in binary, in place of ``features``.
+
+    A missing value or NaN has the number -1: cuts send it left, while it counts in the last bin.
+    """
+    d, kind = len(cuts), _code_type(bins)
+    others = [n for n in rows.columns if n != "features"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b["features"], d)
+            codes = np.empty(x.shape, kind)
+            for i, edges in enumerate(cuts):
+                codes[:, i] = np.searchsorted(edges, x[:, i])
+            codes[np.isnan(x)] = -1
+            width = codes.itemsize * d
+            raw = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in others), raw], names=[*others, "codes"])
+
+    schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in others) + ", codes binary"
+    return materialise(rows.select(*others, "features").mapInArrow(run, schema), name)
+
+
+def _codes(column: pa.Array, d: int, bins: int) -> np.ndarray:
+    """The matrix of bin numbers of a batch."""
+    lo, hi = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)[[0, -1]] if len(column) else (0, 0)
+    kind = _code_type(bins)
+    flat = np.frombuffer(column.buffers()[2], kind, (hi - lo) // kind.itemsize, lo) if hi > lo else np.zeros(0, kind)
+    return flat.reshape(len(column), d)
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
@@ -129,24 +167,26 @@ Stats = Callable[[pa.RecordBatch, np.ndarray, int], tuple[np.ndarray, np.ndarray
 
 
 def _level_sums(rows: DataFrame, trees: Trees, first: int, level: int, cuts, growth: Growth, stats: Stats) -> dict[str, np.ndarray]:
-    """The two sums by cell, the cell being (tree, node of the level, drawn feature, bin)."""
+    """The two sums by cell, the cell being (tree, node of the level, drawn feature, bin); ``rows`` as ``binned`` gives them."""
     d, bins = len(cuts), growth.bins
     nodes, width = 2**level, growth.width(len(cuts))
     count = len(trees.feature)
     drawn = np.array([[drawn_features(growth, d, first + t, nodes - 1 + n) for n in range(nodes)] for t in range(count)])
     size = nodes * width * bins
+    last = np.array([len(x) for x in cuts], _code_type(bins))
+    coded = trees.coded(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, count, size))
         for b in batches:
-            x = _matrix(b["features"], d)
-            binned = _binned(x, cuts)
+            x = _codes(b["codes"], d, bins)
+            place = np.where(x < 0, last, x) if len(x) and x.min(initial=0) < 0 else x
             for t in range(count):
-                at = trees.leaves(x, t) - (nodes - 1)
+                at = coded.leaves(x, t) - (nodes - 1)
                 g, h = stats(b, x, first + t)
                 live = (at >= 0) & ((g != 0) | (h != 0))
                 n = at[live]
-                cell = (n[:, None] * width + np.arange(width)) * bins + np.take_along_axis(binned[live], drawn[t, n], 1)
+                cell = (n[:, None] * width + np.arange(width)) * bins + np.take_along_axis(place[live], drawn[t, n], 1)
                 for k, v in enumerate((g[live], h[live])):
                     sums[k, t] += np.bincount(cell.ravel(), np.repeat(v, width), minlength=size)
         flat = sums.reshape(2, -1)
@@ -237,6 +277,7 @@ def boost(df: DataFrame, spec: Boosting = Boosting(), ident: str = "vec_id", vec
     share = rows.agg(F.sum(w * F.col("y")) / F.sum(w)).first()[0] or 0.5
     base = float(np.log(share / (1 - share))) if 0 < share < 1 else 0.0
     cuts = cut_points(rows, spec.growth.bins)
+    rows = binned(rows, cuts, spec.growth.bins, "binned")
     model, since = empty(spec.growth.depth), empty(spec.growth.depth)
     lam, rate = spec.growth, spec.rate
     leaf = lambda g, h: -rate * _shrunk(g, lam) / (h + lam.reg_lambda + 1e-300)
@@ -248,13 +289,23 @@ def boost(df: DataFrame, spec: Boosting = Boosting(), ident: str = "vec_id", vec
             return (p - y) * used, np.maximum(p * (1 - p), 1e-16) * used
 
         new = grow(rows, cuts, spec.growth, stats, 1, t, leaf)
-        model, since = model.join(new), since.join(new)
+        model, since = model.join(new), since.join(new.coded(cuts))
         if (t + 1) % spec.refresh == 0 and t + 1 < spec.rounds:
-            rows = materialise(rows.withColumn("margin", F.col("margin") + tree_sum(since, "features")), "margin")
+            rows = _with_margin(rows, since, len(cuts), spec.growth.bins)
             since = empty(spec.growth.depth)
     return model, base
 
 
+def _with_margin(rows: DataFrame, since: Trees, d: int, bins: int) -> DataFrame:
+    """``rows`` written with the leaf values of coded trees added to ``margin``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            margin = b["margin"].to_numpy() + since.values(_codes(b["codes"], d, bins))
+            yield b.set_column(b.schema.get_field_index("margin"), "margin", pa.array(margin))
+
+    return materialise(rows.mapInArrow(run, rows.schema), "margin")
+
+
 def tree_sum(trees: Trees, vec: str = "features") -> Column:
     """The sum of the leaf values, as a column."""
     @F.pandas_udf("double")
@@ -299,6 +350,7 @@ def balanced_forest(
     rows = materialise(known.select(
         F.xxhash64(ident).alias("id"), F.col(label).cast("double").alias("y"), rate.alias("rate"), F.col(vec).cast("array<double>").alias("features")), "forest")
     cuts = cut_points(rows, growth.bins)
+    rows = binned(rows, cuts, growth.bins, "binned")
 
     def stats(b: pa.RecordBatch, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         w = poisson(b["id"].to_numpy(), growth.seed * 1_000_003 + tree, b["rate"].to_numpy())
