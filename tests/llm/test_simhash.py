@@ -194,3 +194,28 @@ def test_stars_need_no_round_and_long_chains_settle(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 90), (100, 80)]
     got = components(spark.createDataFrame(chain, "a long, b long"), "a", "b")
     assert {x.node: x.component for x in got.collect()} == {i: 0 for i in range(41)} | {i: 80 for i in (80, 90, 100)}
+
+
+def test_altered_copies_below_the_similarity_are_told_apart_by_their_parities(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        w = list(base)
+        for at in rng.sample(range(100), 3):
+            w[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(w)))
+    rows.append((60, " ".join([*base, "tail"])))
+    sets = {i: set(S.shingles(t.encode(), 5)) for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if like(a, b) >= 0.8}
+    assert len(want) < 100
+    tried, verified = [], S._verified
+    monkeypatch.setattr(S, "_verified", lambda pairs, *rest: (tried.extend(map(tuple, pairs.collect())), verified(pairs, *rest))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = components(S.similar_pairs(docs), "a", "b")
+    assert {(r.component, r.node) for r in found.collect()} >= {(0, 60)}
+    assert len(set(tried)) < len(want) + 60  # of 1830 pairs; parities lose none that is similar
+    for a, b in want:
+        p, q = (np.unpackbits(np.frombuffer(S.parities(S._grams([dict(rows)[k].encode()], 5)), np.uint8)) for k in (a, b))
+        assert (p != q).sum() <= len(sets[a] ^ sets[b]) <= (len(sets[a]) + len(sets[b])) / 9 + 1e-6

@@ -140,6 +140,9 @@ CHUNK = 256  # shingles put in all orders at once
 SKETCH = ("s0", "s1", "s2", "s3")
 # One bit of each of the 240 minima is kept: of these 24 differ on average at similarity 0.8 (deviation 4.6).
 FAR = 64
+# The parity of the number of shingles in each of 512 hashed bins. Where two texts' parities differ, a shingle is in one
+# set alone, so their difference is at least that large: a bound that loses nothing.
+PARITY = tuple(f"p{i}" for i in range(8))
 _ORDERS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 _ORDERS[1] |= np.uint64(1)
 
@@ -160,6 +163,13 @@ def band_keys(least: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.tobytes(), i) - (1 << 63) for i, x in enumerate(rows)]
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """One bit for each bin of the distinct shingles' hashes: whether it holds an odd number of them."""
+    width = 64 * len(PARITY)
+    bins = (grams.view(np.uint64) >> np.uint64(65 - width.bit_length())).view(np.int64)
+    return np.packbits((np.bincount(bins, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
 def _grams(texts: list[bytes], words: int) -> np.ndarray:
     """Hashes of the distinct shingles of all texts together, in order."""
     return np.unique(np.frombuffer(b"".join(_xxh64(g) for t in texts for g in set(shingles(t, words))), "<i8"))
@@ -174,27 +184,29 @@ def _by_document(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _set_prints(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h0, h1, size, s0 .. s3, keys): hash and size of the shingle set, its sketch and its bands; no bands if it is empty."""
+    """(doc_id, h0, h1, size, s0 .. s3, p0 .. p7, keys): hash and size of the shingle set, its sketch, its parities and its bands; no bands if it is empty."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "h0", "h1", "size", *SKETCH, "keys"]
+    names = ["doc_id", "h0", "h1", "size", *SKETCH, *PARITY, "keys"]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            whole, sizes, sketches, keys = [], [], [], []
+            whole, sizes, sketches, odd, keys = [], [], [], [], []
             for t in b[1].to_pylist():
                 grams = _grams(t, words)
                 least = minima(grams)
                 whole.append(xxhash.xxh3_128_digest(grams.tobytes()))
                 sizes.append(len(grams))
                 sketches.append(np.packbits((least >> np.uint64(7) & np.uint64(1)).astype(np.uint8)).tobytes().ljust(32, b"\0"))
+                odd.append(parities(grams))
                 keys.append(band_keys(least) if len(grams) else [])
             h = np.frombuffer(b"".join(whole), "<i8").reshape(-1, 2)
             s = np.frombuffer(b"".join(sketches), "<i8").reshape(-1, 4)
+            p = np.frombuffer(b"".join(odd), "<i8").reshape(-1, len(PARITY))
             yield pa.RecordBatch.from_arrays(
                 [b[0], *(pa.array(h[:, i]) for i in range(2)), pa.array(sizes, pa.int32()), *(pa.array(s[:, i]) for i in range(4)),
-                 pa.array(keys, pa.list_(pa.int64()))], names=names)
+                 *(pa.array(p[:, i]) for i in range(len(PARITY))), pa.array(keys, pa.list_(pa.int64()))], names=names)
 
-    return arrow_map(texts, prints, f"doc_id {kind}, h0 long, h1 long, size int, " + ", ".join(f"{x} long" for x in SKETCH) + ", keys array<long>")
+    return arrow_map(texts, prints, f"doc_id {kind}, h0 long, h1 long, size int, " + ", ".join(f"{x} long" for x in (*SKETCH, *PARITY)) + ", keys array<long>")
 
 
 def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -222,7 +234,8 @@ def similar_pairs(
 
     Of a key with more than 16 documents the one that shares most is verified against all that no link connects
     to it, and leaves; in a group of altered copies it is their original, which links most of them. After
-    three such turns what is still unlinked in a key is verified against all others of it.
+    three such turns what is still unlinked in a key is verified against all others of it whose sketches and
+    parities allow the similarity.
     """
     texts = _by_document(docs, doc_id, text)
     prints = materialise(_set_prints(texts, words), "prints")
@@ -234,7 +247,7 @@ def similar_pairs(
     met = bounded(materialise(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "met"))
     shared = materialise(bands.join(met, "key"), "shared")
     named = bounded(materialise(shared.select("doc_id").distinct(), "named"))
-    sketches = materialise(prints.select("doc_id", "size", *SKETCH).join(named, "doc_id", "left_semi"), "sketches")
+    sketches = materialise(prints.select("doc_id", "size", *SKETCH, *PARITY).join(named, "doc_id", "left_semi"), "sketches")
     sets = materialise(_shingle_sets(texts.join(named, "doc_id", "left_semi"), words), "sets")
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -253,7 +266,9 @@ def similar_pairs(
         links = found.where("node <> component").select(c("component").alias("a"), c("node").alias("b"))
         parts = _unlinked(groups, found)
         if turn == STARS:
-            links = links.union(check(_across(parts)))
+            sketched = materialise(parts.join(sketches, "doc_id"), "sketched")
+            found = settled(_verified(_across(sketched, similarity).distinct(), sets, similarity), "links")
+            links = links.union(found)
             break
         hubs = parts.groupBy("key").agg(F.max(F.struct("weight", F.xxhash64("doc_id").alias("h"), "doc_id", "part")).alias("hub"))
         starred = settled(parts.join(hubs, "key"), "starred")
@@ -276,24 +291,35 @@ def _unlinked(groups: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(parts.join(mixed, "key", "left_semi"), "mixed")
 
 
-def _across(parts: DataFrame) -> DataFrame:
-    """(a, b): every two documents of different parts of a key; its largest part is not paired with itself."""
-    sizes = parts.groupBy("key", "part").agg(F.count("*").alias("n"))
+def _across(sketched: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the close documents of different parts of a key; its largest part is not paired with itself.
+
+    The join itself holds sketches against each other, so pairs that are not close are never rows.
+    """
+    sizes = sketched.groupBy("key", "part").agg(F.count("*").alias("n"))
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"))
-    rest = parts.join(top, "key").where(c("part") != c("top.part")).select("key", c("doc_id").alias("x"), c("part").alias("own"))
-    met = rest.join(parts, "key").where(c("own") != c("part"))
-    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
+    side = lambda rows, k: rows.select("key", *(c(x).alias(f"{k}_{x}") for x in ("doc_id", "part", "size", *SKETCH, *PARITY)))
+    rest = side(sketched.join(top, "key").where(c("part") != c("top.part")), "a").withColumnRenamed("key", "own")
+    met = rest.join(side(sketched, "b"), (c("own") == c("key")) & (c("a_part") != c("b_part")) & _may_be(similarity))
+    return met.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b"))
 
 
-def _close(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose sizes allow the similarity and whose sketches are no farther apart than those of similar texts.
+def _may_be(similarity: float):
+    """Whether sizes, sketches and parities of the sides ``a_`` and ``b_`` allow the similarity.
 
-    Of 240 bits more than 64 differ with a probability below 1e-13 at similarity 0.8.
+    Of 240 sketched bits more than 64 differ with a probability below 1e-13 at similarity 0.8. Sets of similarity s
+    differ in at most (1 - s) / (1 + s) of their sizes' sum, and in no fewer shingles than their parities do.
     """
-    side = lambda k: sketches.select(c("doc_id").alias(k), *(c(x).alias(f"{k}_{x}") for x in ("size", *SKETCH)))
-    apart = sum((F.bit_count(c(f"a_{x}").bitwiseXOR(c(f"b_{x}"))) for x in SKETCH), F.lit(0))
+    apart = lambda names: sum((F.bit_count(c(f"a_{x}").bitwiseXOR(c(f"b_{x}"))) for x in names), F.lit(0))
     sized = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((apart <= FAR) & sized).select("a", "b")
+    most = (1 - similarity) / (1 + similarity) * (c("a_size") + c("b_size")) + 1e-6
+    return (apart(SKETCH) <= FAR) & sized & (apart(PARITY) <= most)
+
+
+def _close(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs whose sizes, sketches and parities allow the similarity."""
+    side = lambda k: sketches.select(c("doc_id").alias(k), *(c(x).alias(f"{k}_{x}") for x in ("size", *SKETCH, *PARITY)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_be(similarity)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
