@@ -148,3 +148,23 @@ def test_rounds_look_only_at_what_may_be_frequent(monkeypatch):
     got = R.Block(R.compress(docs))
     assert all(np.array_equal(got.document(i), d) for i, d in enumerate(docs))
     assert len(looked) > 2 and max(looked[1:]) < looked[0] / 10
+
+
+def test_a_batch_looks_every_word_up_once():
+    coder, r = B.Codec(B.vocabulary_file()), random.Random(4)
+    words = ["one", "one's", "né", "a\nb", "c\nd\ne", "\0", "名前", "x" * 30]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(1, 30))) for _ in range(200)] + ["one", "a\nb", "lone first"]
+    asked = []
+
+    class Known(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+        def get(self, key, other=None):
+            asked.append(key)
+            return super().get(key, other)
+
+    coder.known = Known()
+    assert coder.encode_all(texts) == [coder.encode(t) for t in texts]
+    assert asked and len(asked) == len(set(asked))

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -88,6 +89,7 @@ class Codec:
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
         self.other_spaces = [x for x in SPACES if x not in " \n"]
+        self.runs = [*self.other_spaces, "  ", " \n", "\n ", "\n\n"]
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.after_blank = Kept(lambda s: self._piece(s if s[:1] == "\n" else " " + s))
         self.pieces = Kept(self._piece)
@@ -150,21 +152,26 @@ class Codec:
             for x in self.specials.split(text) if x
         )
 
-    def _learn(self, words: set[str]) -> None:
-        """Keeps the ids of words that follow a blank (or begin with a line break), all new ones encoded as one text.
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words that follow a blank (or begin with a line break), all new ones encoded as one text.
 
         The pattern never crosses into white space, so a word's ids are the same in any text that goes on with white space.
         """
         if len(self.known) > KNOWN or self.held > KNOWN * 16:
             self.known, self.held = {}, 0
-        new = [w for w in words if w not in self.known]
-        if not new:
-            return
-        ids = np.array(self.join_whole("".join([w if w[0] == "\n" else " " + w for w in new])), "<u4")
+        made = list(map(self.known.get, words))
+        at = [i for i, x in enumerate(made) if x is None]
+        if not at:
+            return made
+        new = [words[i] for i in at]
+        joined = "".join([w if w[0] == "\n" else " " + w for w in new])
+        ids = np.array(self.join_whole(joined), "<u4")
         raw = ids.tobytes()
         edges = [*(np.flatnonzero(self.begins[ids]) * 4).tolist(), len(raw)]
-        self.held += sum(map(len, new))
-        self.known |= zip(new, [raw[i:j] for i, j in zip(edges, edges[1:])])
+        self.held += len(joined)
+        for i, w, x, y in zip(at, new, edges, edges[1:]):
+            made[i] = self.known[w] = raw[x:y]
+        return made
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """``encode`` of every text, new words of all texts encoded together where a library can join bytes.
@@ -174,22 +181,33 @@ class Codec:
         """
         if not self.join_whole:
             return [self.encode(t) for t in texts]
-        out, waiting, words = [b""] * len(texts), [], set()
+        out, waiting, lines = [b""] * len(texts), [], []
         for k, text in enumerate(texts):
             if len(text) > WHOLE or self.specials is not None and self.specials.search(text):
                 out[k] = self.encode(text)
-                continue
-            parts = text.replace("\n", " \n").split(" ")
-            if parts[0] in ("", "\n") or any(x in text for x in self.other_spaces) or "" in parts or "\n" in parts:
+            elif not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.runs):
                 out[k] = np.array(self.join_whole(text), "<u4").tobytes()
             else:
-                out[k] = np.array(self.join_whole(parts[0]), "<u4").tobytes()
-                del parts[0]
-                words.update(parts)
-                waiting.append((k, parts))
-        self._learn(words)
-        for k, parts in waiting:
-            out[k] += b"".join(map(self.known.__getitem__, parts))
+                waiting.append(k)
+                lines.append(text.replace("\n", " \n"))
+        if not waiting:
+            return out
+        split = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        words, begin = split.flatten(), split.offsets.to_numpy()[:-1]
+        # a word is looked up once a batch; its places hold numbers
+        numbered = words.dictionary_encode()
+        number, distinct = numbered.indices.to_numpy(), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = self._learn(distinct)
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[number]
+        n[begin] = 0  # no blank precedes a text's first word
+        ends = np.cumsum(n)
+        places = np.repeat(starts[number] - ends + n, n) + np.arange(ends[-1])
+        raw = np.frombuffer(b"".join(made), "<u4")[places].tobytes()
+        edges = (np.r_[ends[begin], ends[-1]] * 4).tolist()
+        for k, first, i, j in zip(waiting, words.take(pa.array(begin)).to_pylist(), edges, edges[1:]):
+            out[k] = np.array(self.join_whole(first), "<u4").tobytes() + raw[i:j]
         return out
 
     def decode(self, ids: bytes) -> str:
