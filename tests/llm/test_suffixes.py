@@ -99,3 +99,25 @@ def test_only_windows_that_are_asked_for_are_hashed(spark):
     got = S._windows(spark.createDataFrame(rows, kind)).collect()
     assert sorted((r.row, r.back) for r in got) == [(1, 20), (1, 21), (1, 22), (1, 199), (1, 200), (2, 30)]
     assert len({(r.h0, r.h1) for r in got}) == 6
+
+
+def test_copies_of_a_passage_look_their_windows_up_once(spark, monkeypatch):
+    """Rows of windows follow the places where surroundings differ, not the copies of what they share."""
+    made, written = {}, S.written
+
+    def counted(df, name):
+        out = written(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(S, "written", counted)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, texts = word(1000), []
+    for i in range(60):  # some end early, some begin late, each pair with text of its own beside it
+        a, b = ((0, 560 + 7 * (i // 4)), (440 - 5 * (i // 4), 1000))[i % 2]
+        texts.append(word(40) + passage[a:b] + word(40))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: tuple(x)[1:5] for x in S.remove_repeats(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == brute([t.encode() for t in texts])
+    assert made["near"] and made["blocks"] + made["windows"] < 40 * made["near"], made
