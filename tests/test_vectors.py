@@ -1,6 +1,7 @@
 """Vectors, metrics, splits and models against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,45 @@ def test_nearest_within_by_strips(spark, limit):
         if at[0] < 0.5:
             want[i] = (at[1], at[0])
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("skip_self", [False, True])
+def test_blocks_of_one_table_meet_themselves(spark, tmp_path, skip_self):
+    """k2's rows and references are one table: block by block they give what one matrix gives."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(700, 4)).round(1)
+    x[600:] = x[:100]
+    made = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "vec_id long, label int, embedding array<float>")
+    made.write.parquet(f"{tmp_path}/embeddings.parquet")
+    refs = spark.read.parquet(f"{tmp_path}/embeddings.parquet").select(
+        "vec_id", (F.col("label") >= 1).cast("long").alias("cohort"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = refs.select(F.col("vec_id").alias("row_id"), "embedding").withColumnRenamed("row_id", "vec_id")
+    found = VE.nearest_references(rows, refs, 5, row_id="vec_id", skip_self=skip_self, limit=3000)
+    means = VE.mean_top_similarity(refs.select("vec_id"), found, "vec_id")
+    got = {a.vec_id: a.similarity for a in means.collect()}
+    u = VE._unit(x.astype(np.float32).astype(float))
+    sims = u @ u.T
+    if skip_self:
+        np.fill_diagonal(sims, -np.inf)
+    assert np.allclose([got[i] for i in range(700)], np.sort(sims, axis=1)[:, -5:].mean(axis=1))
+    gamma = VE.kernel_width(refs)
+    raw = {a.row_id: a.raw for a in VE.density_score(refs, refs, gamma, row_id="vec_id", limit=3000).collect()}
+    whole = {a.row_id: a.raw for a in VE.density_score(refs, refs, gamma, row_id="vec_id").collect()}
+    assert np.allclose([raw[i] for i in range(700)], [whole[i] for i in range(700)])
+
+
+def test_few_finds_are_merged_as_many_are(monkeypatch):
+    """Whether a tile's finds are sorted singly or as a matrix, ties included, the answer is the same."""
+    taken = {}
+    monkeypatch.setattr(VE, "against_references", lambda *a: taken.update(prepare=a[5], partial=a[6]) or a[0])
+    monkeypatch.setattr(VE, "WIDE", 100)
+    with pytest.raises(AttributeError):
+        VE.nearest_references(None, None, 5, skip_self=True)
+    r = np.random.default_rng(13)
+    x = r.integers(-2, 3, size=(900, 3)).astype(float)
+    ready = taken["prepare"](pd.DataFrame({"vec_id": np.arange(900), "cohort": 0}), x)
+    answers = []
+    for few in (0, 1, 16, 900):
+        monkeypatch.setattr(VE, "FEW", few)
+        answers.append(taken["partial"](np.arange(900), x, ready))
+    assert len(answers[0]) == 4500 and all(a.equals(answers[0]) for a in answers)
