@@ -294,3 +294,17 @@ def test_few_finds_are_merged_as_many_are(monkeypatch):
         monkeypatch.setattr(VE, "FEW", few)
         answers.append(taken["partial"](np.arange(900), x, ready))
     assert len(answers[0]) == 4500 and all(a.equals(answers[0]) for a in answers)
+
+
+def test_oversampling_block_by_block(spark, tmp_path, monkeypatch):
+    """m15 oversamples folds whose smaller class is too large to be broadcast: the synthetic rows are the same."""
+    r = np.random.default_rng(14)
+    x = r.normal(size=(300, 4))
+    made = spark.createDataFrame([(i, i % 12, int(i % 3 == 0), v.tolist()) for i, v in enumerate(x)], "vec_id long, subject long, y long, features array<double>")
+    made.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    whole = {(a.source, a.copy): a.features for a in SP.oversample(rows, "vec_id", "y", "features").collect()}
+    monkeypatch.setattr(SP, "nearest_references", lambda *a, **b: VE.nearest_references(*a, **b, limit=1000))
+    parts = {(a.source, a.copy): a.features for a in SP.oversample(rows, "vec_id", "y", "features").collect()}
+    assert len(whole) == 100 and parts.keys() == whole.keys()
+    assert all(np.allclose(parts[k], whole[k]) for k in whole)
