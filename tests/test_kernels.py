@@ -6,6 +6,7 @@ import pytest
 
 from timbrel.operators import coalitions as C
 from timbrel.operators import kernels as K
+from timbrel.plans import models as M
 
 
 def table(spark, n=300, d=6, seed=1):
@@ -53,6 +54,36 @@ def test_search_orders_the_grid(spark):
     assert len(K.GRID) == 70
 
 
+def test_search_takes_every_cell(spark, folder, monkeypatch):
+    seen = []
+    monkeypatch.setattr(K, "search_margin", lambda df, grid: seen.extend(grid) or df.selectExpr("0.5d as roc_auc").limit(1))
+    M.m10_kernel(spark, folder).collect()
+    assert seen == K.GRID and len({tuple(g.values()) for g in seen}) == 70
+
+
+def test_cells_share_maps_and_fits(spark, monkeypatch):
+    """Areas are those of one fit a cell; a linear cell's gamma makes no fit of its own."""
+    x, y, df = table(spark, 120)
+    folded = df.selectExpr("*", "vec_id % 3 as fold")
+    grid = [{"cost": c, "gamma": g, "kernel": k} for c, g, k in (
+        (0.5, "scale", "rbf"), (5.0, "scale", "rbf"), (5.0, "scale", "linear"), (5.0, "auto", "linear"), (5.0, "auto", "rbf"), (0.5, 0.1, "linear"))]
+    fits, hinge = [], K._hinge
+    monkeypatch.setattr(K, "_hinge", lambda rows, space, cost, *more: fits.append((space and space.gamma, cost)) or hinge(rows, space, cost, *more))
+    found = {r.cell: r for r in K.search_margin(folded, grid, rounds=20, landmarks=40).collect()}
+    assert len(fits) == 15 and sorted(found) == list(range(6))
+    for i, g in enumerate(grid):
+        assert (found[i].cost, found[i].gamma, found[i].kernel) == (g["cost"], str(g["gamma"]), g["kernel"])
+    for i in (0, 2, 4):
+        areas = []
+        for k in range(3):
+            model = K.fit_margin(folded.where(f"fold != {k}"), rounds=20, landmarks=40, **grid[i])
+            rows = model.score(folded.where(f"fold = {k}")).collect()
+            above = [(a.margin > b.margin) + (a.margin == b.margin) / 2 for a in rows for b in rows if a.y > b.y]
+            areas.append(np.mean(above))
+        assert abs(found[i].roc_auc - np.mean(areas)) < 2e-3
+    assert found[2].roc_auc == found[3].roc_auc
+
+
 @pytest.mark.parametrize("nu", [0.05, 0.3, 0.9])
 def test_one_class_conditions_hold(spark, nu):
     x, _, _ = table(spark, 200)
